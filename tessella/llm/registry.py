@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, prefix_bpe, wavelet
+from . import packing, prefix_bpe, quality, wavelet
 from .common import buffers, spread
 from .tokenizing import public_file
 
@@ -26,6 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 @query
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.token_store(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
