@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import packing, prefix_bpe, quality, wavelet
+from . import jaccard, packing, prefix_bpe, quality, wavelet
 from .common import buffers, spread
 from .tokenizing import public_file
 
@@ -33,6 +33,11 @@ def op1_line_field_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+@query
+def op6_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = wavelet.token_store(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"))
