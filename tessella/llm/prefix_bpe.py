@@ -20,51 +20,56 @@ from pyspark.sql import DataFrame
 from .common import buffers, rest, runs, spread
 from .tokenizing import PIECE_BYTES, PieceCache, cuts, _loaded
 
+#: Pairs whose validity, and pre-tokens whose ids, a worker remembers.
+VALID_PAIRS = 400_000
+WORDS = 200_000
+
 
 class PrefixBpe:
     """Vocabulary of mergeable ranks with the split of each token into the pair that makes it."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.bytes = {i: b for b, i in ranks.items()}
+        self.size = {i: len(b) for b, i in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.pair: dict[tuple[int, int], int] = {}
+        #: Merged token by left << 32 | right, and the parts of each token.
+        self.pair: dict[int, int] = {}
         self.split: dict[int, tuple[int, int]] = {}
-        self._valid: dict[tuple[int, int], bool] = {}
+        self.valid: dict[int, bool] = {}
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) > 1:
-                left, right = self._parts(token, rank)
+                left, right = self._parts(token)
                 self.split[rank] = (left, right)
-                self.pair[left, right] = rank
+                self.pair[left << 32 | right] = rank
 
-    def _parts(self, token: bytes, rank: int) -> tuple[int, int]:
+    def _parts(self, token: bytes) -> tuple[int, int]:
         """The two tokens that merges of lower rank leave of a token."""
         parts = [self.ranks[token[i : i + 1]] for i in range(len(token))]
         while len(parts) > 2:
-            at = min(range(len(parts) - 1), key=lambda i: self.pair.get((parts[i], parts[i + 1]), 1 << 60))
-            parts[at : at + 2] = [self.pair[parts[at], parts[at + 1]]]
+            at = min(range(len(parts) - 1), key=lambda i: self.pair.get(parts[i] << 32 | parts[i + 1], 1 << 60))
+            parts[at : at + 2] = [self.pair[parts[at] << 32 | parts[at + 1]]]
         return parts[0], parts[1]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether left and then right is the encoding of their bytes: no merge across the border comes before both are whole."""
-        found = self._valid.get((left, right))
-        if found is None:
-            found = self._valid[left, right] = self._check(left, right)
+        found = self._check(left, right)
+        if len(self.valid) < VALID_PAIRS:
+            self.valid[left << 32 | right] = found
         return found
 
     def _check(self, a: int, b: int) -> bool:
         # Take apart the younger of the two bordering tokens until a merge over the border would have come first.
-        pair, split, limit = self.pair, self.split, 1 << 60
+        pair, split, limit = self.pair.get, self.split.get, 1 << 60
         while True:
-            merged = pair.get((a, b))
+            merged = pair(a << 32 | b)
             if merged is not None and merged < limit:
                 return False
             if a > b:
                 limit = a
-                parts = split.get(a)
+                parts = split(a)
                 if parts is None:
                     limit = b + 1
-                    parts = split.get(b)
+                    parts = split(b)
                     if parts is None:
                         return True
                     b = parts[0]
@@ -72,10 +77,10 @@ class PrefixBpe:
                     a = parts[1]
             else:
                 limit = b + 1
-                parts = split.get(b)
+                parts = split(b)
                 if parts is None:
                     limit = a
-                    parts = split.get(a)
+                    parts = split(a)
                     if parts is None:
                         return True
                     a = parts[1]
@@ -83,6 +88,38 @@ class PrefixBpe:
                     b = parts[0]
 
 
+def last_tokens(bpe: PrefixBpe, whole: bytes, last: list[int]) -> list[int]:
+    """Extends ``last``, the last tokens of a bytes string's first prefixes, to all prefixes."""
+    token_of, known, compatible, longest = bpe.ranks.get, bpe.valid.get, bpe.compatible, bpe.longest
+    for end in range(len(last) + 1, len(whole) + 1):
+        for begin in range(end - longest if end > longest else 0, end):
+            token = token_of(whole[begin:end])
+            if token is None:
+                continue
+            if begin:
+                before = last[begin - 1]
+                valid = known(before << 32 | token)
+                if valid is None:
+                    valid = compatible(before, token)
+                if not valid:
+                    continue
+            last.append(token)
+            break
+        else:
+            raise ValueError("a byte isn't in the vocabulary")
+    return last
+
+
+def walk_back(bpe: PrefixBpe, last: list[int]) -> list[int]:
+    out, at, size = [], len(last), bpe.size
+    while at:
+        token = last[at - 1]
+        out.append(token)
+        at -= size[token]
+    out.reverse()
+    return out
+
+
 class PrefixEncoder:
     """Encoding of one growing and editable byte string; ``last[i]`` is the last token of the prefix of i + 1 bytes."""
 
@@ -91,26 +128,8 @@ class PrefixEncoder:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        bpe, data, last = self.bpe, self.data, self.last
-        token_of, compatible, known, longest = bpe.ranks.get, bpe.compatible, bpe._valid.get, bpe.longest
-        start = len(data)
-        data += more
-        whole = bytes(data)
-        for end in range(start + 1, len(whole) + 1):
-            for begin in range(max(0, end - longest), end):
-                token = token_of(whole[begin:end])
-                if token is None:
-                    continue
-                if begin:
-                    valid = known((last[begin - 1], token))
-                    if valid is None:
-                        valid = compatible(last[begin - 1], token)
-                    if not valid:
-                        continue
-                last.append(token)
-                break
-            else:
-                raise ValueError("a byte isn't in the vocabulary")
+        self.data += more
+        last_tokens(self.bpe, bytes(self.data), self.last)
 
     def edit(self, start: int, end: int, new: bytes) -> None:
         """Replaces bytes start to end; prefixes before start keep their entries, and the rest is done again."""
@@ -119,11 +138,7 @@ class PrefixEncoder:
         self.append(new + tail)
 
     def ids(self) -> list[int]:
-        out, at = [], len(self.data)
-        while at:
-            out.append(self.last[at - 1])
-            at -= len(self.bpe.bytes[out[-1]])
-        return out[::-1]
+        return walk_back(self.bpe, self.last)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -136,17 +151,23 @@ def rank_tokenizer(path: str, pattern: str) -> tuple[PieceCache, PrefixBpe]:
     if (key := ("ranks", path, pattern)) not in _loaded:
         bpe, find = PrefixBpe(load_ranks(path)), regex.compile(pattern).findall
 
+        words: dict[str, list[int]] = {}
+
         def encode_pieces(pieces: list[bytes]):
-            ids = []
+            ids, lengths = [], []
+            if len(words) > WORDS:
+                words.clear()
             for piece in pieces:
-                own = []
+                before = len(ids)
                 for match in find(piece.decode()):
-                    raw = match.encode()
-                    token = bpe.ranks.get(raw)
-                    own += [token] if token is not None else PrefixEncoder(bpe, raw).ids()
-                ids.append(own)
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum())), lengths, range(len(pieces))
+                    own = words.get(match)
+                    if own is None:
+                        raw = match.encode()
+                        token = bpe.ranks.get(raw)
+                        own = words[match] = [token] if token is not None else walk_back(bpe, last_tokens(bpe, raw, []))
+                    ids += own
+                lengths.append(len(ids) - before)
+            return np.array(ids, np.uint32), np.array(lengths, np.int64), range(len(pieces))
 
         _loaded[key] = (PieceCache(encode_pieces), bpe)
     return _loaded[key]
@@ -177,19 +198,25 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _loaded[key]
 
 
+def decode_batch(batch: pa.RecordBatch, ranks: str):
+    """(first row, ids, id offsets, bytes, byte offsets) of runs of rows; the second column holds the ids."""
+    flat, starts, lengths = token_bytes(ranks)
+    data, offs = buffers(batch.column(1))
+    for i, j in runs(offs, PIECE_BYTES):
+        ids = data[offs[i] : offs[j]].view("<u4")
+        at = (offs[i : j + 1] - offs[i]) // 4
+        sizes = lengths[ids]
+        yield i, ids, at, flat[spread(starts[ids], sizes)], np.concatenate([[0], np.cumsum(sizes)])[at]
+
+
 def decode_documents(encoded: DataFrame, ranks: str, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_tokens, ids as read, and their bytes."""
+    """doc_id, n_tokens and the bytes that the ids stand for."""
 
     def decode(batches):
-        flat, starts, lengths = token_bytes(ranks)
         for batch in batches:
-            data, offs = buffers(batch.column(1))
-            for i, j in runs(offs, 4 * PIECE_BYTES):
-                ids = data[offs[i] : offs[j]].view("<u4")
-                at = (offs[i : j + 1] - offs[i]) // 4
-                sizes = lengths[ids]
-                ends = np.concatenate([[0], np.cumsum(sizes)])[at]
-                raw = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(flat[spread(starts[ids], sizes)])])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at)), batch.column(1).slice(i, j - i), raw], ["doc_id", "n_tokens", "ids", "bytes"])
-
-    return encoded.select(id_col, "ids").mapInArrow(decode, "doc_id long, n_tokens long, ids binary, bytes binary")
+            for i, _, at, raw, ends in decode_batch(batch, ranks):
+                n = len(at) - 1
+                text = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, n), pa.array(np.diff(at)), text], ["doc_id", "n_tokens", "bytes"])
+
+    return encoded.select(id_col, "ids").mapInArrow(decode, "doc_id long, n_tokens long, bytes binary")

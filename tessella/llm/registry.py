@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import jaccard, packing, prefix_bpe, quality, suffix_dedup, wavelet
-from .common import buffers, spread
+from . import chat_tree, jaccard, maxscore, packing, prefix_bpe, quality, suffix_dedup, wavelet
+from .common import spread
 from .tokenizing import public_file
 
 #: Runs a query by name; SQL by name. Filled below.
@@ -57,22 +57,11 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def decimal_digest(batches):
-    """SHA-256 of each row's ids in decimal with single spaces between."""
-    table = [str(i).encode() + b" " for i in range(1 << 16)]
+def decimal_texts(most: int):
+    """Every number below most in decimal with a space after it, in one buffer, with starts and lengths."""
+    table = [str(i).encode() + b" " for i in range(most)]
     lengths = np.array([len(x) for x in table], np.int64)
-    flat, starts = np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths
-    for batch in batches:
-        data, offs = buffers(batch.column(2))
-        out = []
-        for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
-            ids = data[a:b].view("<u4")
-            if len(ids) and ids.max() >= len(table):
-                text = " ".join(map(str, ids.tolist())).encode() + b" "
-            else:
-                text = flat[spread(starts[ids], lengths[ids])].tobytes()
-            out.append(hashlib.sha256(text[:-1]).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), batch.column(3)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
 @query
@@ -81,5 +70,52 @@ def op10_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_file("byte_bpe_50k.tiktoken")
     encoded = prefix_bpe.encode_documents(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    decoded = prefix_bpe.decode_documents(encoded, ranks)
-    return decoded.select("doc_id", "n_tokens", "ids", F.sha2("bytes", 256).alias("decoded_sha256")).mapInArrow(decimal_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+    def digests(batches):
+        flat, starts, lengths = decimal_texts(len(prefix_bpe.token_bytes(ranks)[1]))
+        for batch in batches:
+            for i, ids, at, raw, ends in prefix_bpe.decode_batch(batch, ranks):
+                sizes = lengths[ids]
+                text = flat[spread(starts[ids], sizes)].tobytes()
+                marks = np.concatenate([[0], np.cumsum(sizes)])[at].tolist()
+                spelled = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(marks, marks[1:])]
+                raw, marks = raw.tobytes(), ends.tolist()
+                decoded = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(marks, marks[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(spelled)), pa.array(np.diff(at)), pa.array(spelled), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return maxscore.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, 5)
+
+
+ORACLE["op3_maxscore"] = """
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
+), r as (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
+)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5
+"""
+
+
+@query
+def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    nodes, paths = chat_tree.prefix_tree(turns.union(extra), public_file("byte_bpe_50k.json"))
+    back = chat_tree.read_back(nodes, paths, public_file("byte_bpe_50k.json"))
+    joined = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    return back.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )

@@ -12,8 +12,9 @@ import numpy as np
 
 from .common import runs, spread
 
-PIECE_BYTES = 8 << 20
-CACHE_PIECES = 1_500_000
+PIECE_BYTES = 4 << 20
+#: Pieces a worker remembers: this many recent ones, and as many older ones.
+CACHE_PIECES = 250_000
 #: Pieces that the library encodes in one call.
 GROUP = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -65,40 +66,29 @@ class PieceCache:
 
     def __init__(self, encode_pieces):
         self.encode_pieces = encode_pieces
-        self.clear()
-
-    def clear(self):
-        self.known: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
-
-    def add(self, pieces: list[bytes]):
-        flat, lengths, order = self.encode_pieces(pieces)
-        k, n = len(self.known), len(pieces)
-        while self.used + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        while k + n > len(self.start):
-            self.start, self.length = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.length))
-        self.flat[self.used : self.used + len(flat)] = flat
-        ends = np.cumsum(lengths)
-        self.start[k : k + n] = self.used + ends - lengths
-        self.length[k : k + n] = lengths
-        self.used += len(flat)
-        self.known.update(zip((pieces[i] for i in order), range(k, k + n)))
-
-    def places(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Each piece's index into start and length."""
+        self.older: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+
+    def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of distinct pieces and their counts."""
         if len(self.known) > CACHE_PIECES:
-            self.clear()
-        first, inverse = distinct(data, starts)
-        ends = np.append(starts[1:], len(data))
-        raw = data.tobytes()
-        pieces = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
-        known = self.known
-        novel = list(dict.fromkeys(p for p in pieces if p not in known))
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        novel = []
+        for p in pieces:
+            if p not in known:
+                if p in older:
+                    known[p] = older[p]
+                else:
+                    novel.append(p)
         if novel:
-            self.add(novel)
-        return np.fromiter((known[p] for p in pieces), np.int64, len(pieces))[inverse]
+            flat, lengths, order = self.encode_pieces(novel)
+            raw = flat.astype("<u4").tobytes()
+            ends = np.cumsum(lengths) * 4
+            for i, a, b in zip(order, (ends - lengths * 4).tolist(), ends.tolist()):
+                known[novel[i]] = raw[a:b]
+        found = [known[p] for p in pieces]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None):
         """Yields (first row, flat ids, id offsets) for runs of rows; end_id is put after each row."""
@@ -106,9 +96,11 @@ class PieceCache:
             part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if len(part):
                 starts = cuts(part, offs)
-                at = self.places(part, starts)
-                lengths = self.length[at]
-                ids = self.flat[spread(self.start[at], lengths)]
+                first, inverse = distinct(part, starts)
+                raw, ends = part.tobytes(), np.append(starts[1:], len(part))
+                flat, counts = self.lookup([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+                lengths = counts[inverse]
+                ids = flat[spread((np.cumsum(counts) - counts)[inverse], lengths)]
                 sums = np.concatenate([[0], np.cumsum(lengths)])
                 id_offs = sums[np.searchsorted(starts, offs)]
             else:

@@ -1,6 +1,7 @@
 """Token store, packing and prefix encoding against the libraries and brute force."""
 
 import functools
+import hashlib
 import random
 import zlib
 
@@ -146,9 +147,10 @@ def test_encode_decode_documents(spark, docs, bpe):
     encoded = prefix_bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
     rows = prefix_bpe.decode_documents(encoded, P.path("byte_bpe_50k.tiktoken")).collect()
     lib = library(bpe)
-    want = sorted(((t or "").encode(), lib.encode_ordinary(t or "")) for _, t in TEXTS)
-    assert sorted((bytes(r.bytes), np.frombuffer(r.ids, "<u4").tolist()) for r in rows) == want
-    assert all(r.n_tokens == len(r.ids) // 4 for r in rows)
+    want = sorted(((t or "").encode(), len(lib.encode_ordinary(t or ""))) for _, t in TEXTS)
+    assert sorted((bytes(r.bytes), r.n_tokens) for r in rows) == want
+    ids = [np.frombuffer(r.ids, "<u4").tolist() for r in encoded.collect()]
+    assert sorted(ids) == sorted(lib.encode_ordinary(t or "") for _, t in TEXTS)
 
 
 def test_queries_on_a_table(spark, sf):
@@ -158,3 +160,7 @@ def test_queries_on_a_table(spark, sf):
     text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in registry.QUERIES["op8_wavelet_tokens"](spark, sf).collect():
         assert r.ids_crc32 == zlib.crc32(np.array(reference("byte_bpe_50k.json", text[r.doc_id]), "<u4").tobytes())
+    lib = library(prefix_bpe.rank_tokenizer(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)[1])
+    for r in registry.QUERIES["op10_prefix_bpe"](spark, sf).collect():
+        ids = lib.encode_ordinary(text[r.doc_id] or "")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text[r.doc_id] or "").encode()).hexdigest())
