@@ -32,7 +32,7 @@ from .shingles import mix
 LENGTH = 200
 GRAM = 40
 BLOCK_BYTES = 1 << 20
-HOT = 2000
+HOT = 8192
 RUN_BYTES = 2 << 20
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)

@@ -42,7 +42,7 @@ def test_repeated_starts():
         assert [g.tolist() for g in suffix_dedup.repeated_starts(contexts, weights, 8)] == want
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
+@pytest.mark.parametrize("hot", [8192, 3])
 def test_against_all_windows(spark, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
