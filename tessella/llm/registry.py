@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_tree, jaccard, maxscore, packing, prefix_bpe, quality, suffix_dedup, wavelet
+from . import chat_tree, images, jaccard, licenses, maxscore, packing, prefix_bpe, quality, suffix_dedup, wavelet
 from .common import spread
 from .tokenizing import public_file
 
@@ -119,3 +119,14 @@ def op4_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(joined, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op7_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no images, so every embedding vector is drawn as one."""
+    return images.copies(images.rendered(table(spark, sf_dir, "embeddings")))
