@@ -9,7 +9,8 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 3. Each set's shingles are hashed into GROUPS groups; the counts are a point. Among the sets that share a
    shingle, an R-tree over the points yields the pairs whose summed coordinate minima reach the overlap
    that the threshold needs.
-4. Those pairs are verified on the whole sets.
+4. Of those pairs the same bound is taken over many more groups (about twice the set's size), and what is left is
+   verified on the whole sets.
 
 First each point takes two partners only: the one of highest random priority, which makes stars, and the one
 with the most room over the threshold. Verified pairs are contracted to components, and that goes on while
@@ -76,6 +77,23 @@ def point(tokens: np.ndarray) -> tuple[bytes, int]:
     return (-(-counts // scale)).astype(np.uint8).tobytes(), scale
 
 
+def fine_point(tokens: np.ndarray) -> bytes:
+    """Counts by many groups, up to 255 each; their number is a power of two, so a longer one folds to a shorter."""
+    groups = 1 << min(max(int(2 * len(tokens) - 1).bit_length(), 6), 16)
+    counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    # A count over 255 (never seen below millions of shingles) leaves the set without a fine point: no bound.
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def fine_overlap(a: bytes, b: bytes) -> float:
+    """Most overlap that two fine points allow."""
+    if not a or not b:
+        return np.inf
+    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
+    n = min(len(x), len(y))
+    return np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum()
+
+
 def set_id(tokens: np.ndarray) -> int:
     """64 bits that stand for a set."""
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
@@ -83,7 +101,7 @@ def set_id(tokens: np.ndarray) -> int:
 
 def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """doc_id, set size n, id of the set (null when empty), prefix, point and its scale."""
-    schema = "doc_id long, n long, id long, prefix array<long>, point binary, scale int"
+    schema = "doc_id long, n long, id long, prefix array<long>, point binary, scale int, fine binary"
 
     def summed(batches):
         for batch in batches:
@@ -93,8 +111,8 @@ def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 n = np.array([len(s) for s in sets])
                 prefixes = [prefix(s, common).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 points = [point(s) if len(s) else (b"", 1) for s in sets]
-                columns = [batch.column(0).slice(i, j - i), pa.array(n), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), lists(prefixes), pa.array([p for p, _ in points], pa.binary()), pa.array([s for _, s in points], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "id", "prefix", "point", "scale"])
+                columns = [batch.column(0).slice(i, j - i), pa.array(n), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), lists(prefixes), pa.array([p for p, _ in points], pa.binary()), pa.array([s for _, s in points], pa.int32()), pa.array([fine_point(s) if len(s) else b"" for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "id", "prefix", "point", "scale", "fine"])
 
     return docs.select("doc_id", "text").mapInArrow(summed, schema)
 
@@ -245,26 +263,42 @@ def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def promising(pairs: DataFrame, fine: DataFrame) -> DataFrame:
+    """Pairs whose fine points allow the overlap that they need."""
+
+    def bound(batches):
+        for batch in batches:
+            m, n, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
+            keep = [fine_overlap(p, q) >= needed(i, j) for i, j, p, q in zip(m, n, x, y)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda i, n, p: fine.select(F.col("id").alias(i), F.col("n").alias(n), F.col("fine").alias(p))
+    return pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(bound, "a long, b long")
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough, by their true overlap."""
     a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
     b = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
     overlap = F.size(F.array_intersect("ta", "tb"))
-    return pairs.join(a, "a").join(b, "b").where(7 * overlap >= 3 * (F.size("ta") + F.size("tb"))).select("a", "b")
+    return pairs.join(a, "a").join(b, "b").where(7 * overlap >= 3 * (F.size("ta") + F.size("tb"))).select("a", "b").distinct()
 
 
 def full_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, tokens) of the sets of the documents in names (doc_id), each set once."""
+    """(id, tokens) of the sets in names (id, doc_id), each read from the document named there."""
 
     def made(batches):
         for batch in batches:
-            data, offs = buffers(batch.column(0))
+            data, offs = buffers(batch.column(1))
+            wanted = batch.column(0).to_numpy()
             for i, j in runs(offs, RUN_BYTES):
-                sets = [s for s in shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) if len(s)]
+                sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                # Another text under the same id isn't the one that is meant.
+                sets = [s for k, s in enumerate(sets, i) if len(s) and set_id(s) == wanted[k]]
                 if sets:
                     yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), lists([s.view(np.int64) for s in sets])], ["id", "tokens"])
 
-    return docs.join(names, "doc_id", "left_semi").select("text").mapInArrow(made, "id long, tokens array<long>").dropDuplicates(["id"])
+    return docs.join(names, "doc_id").select("id", "text").mapInArrow(made, "id long, tokens array<long>")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,20 +309,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = scratch.write(summaries(docs, common_shingles(docs)))
 
     # One representative per distinct set, with the least document id that has it.
-    reps = scratch.write(
-        base.where("doc_id is not null and id is not null").groupBy("id")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("point").alias("point"), F.first("scale").alias("scale"))
-    )
+    first = [F.first(c).alias(c) for c in ("n", "prefix", "point", "scale", "fine")]
+    reps = scratch.write(base.where("doc_id is not null and id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *first))
     small = scratch.write(base.select("doc_id", "n", "id"))
+    scratch.drop(base)
+    release(spark)
     tokens = reps.select(F.explode("prefix").alias("token"), "id", "n", "point", "scale")
     shared = scratch.write(tokens.groupBy("token").count().where("count > 1"))
-    scratch.drop(base)
     rows = scratch.write(tokens.join(shared, "token"))  # sets by the shingles that they share with others
-    names = scratch.write(reps.select("id", "doc_id"))
+    names = scratch.write(reps.select("id", "doc_id", "n", "fine"))
     scratch.drop(reps, shared)
     release(spark)
-    sets = scratch.write(full_sets(docs, names.join(rows.select("id").distinct(), "id", "left_semi").select("doc_id")))
-    release(spark)
 
     links, labels = None, None
     opened, step, last = rows.withColumn("component", F.col("id")), 0, False
@@ -303,8 +334,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             dealt = dealt.withColumn("key", F.xxhash64("token", "own")).withColumn("side", F.lit(2))
         pairs = scratch.write(candidates(dealt, None if last else step))
-        good = scratch.write(verified(pairs, sets))
-        scratch.drop(pairs)
+        fitting = scratch.write(promising(pairs, names))
+        ends = fitting.select(F.col("a").alias("id")).union(fitting.select("b")).distinct()
+        sets = scratch.write(full_sets(docs, names.join(ends, "id", "left_semi").select("id", "doc_id")))
+        good = scratch.write(verified(fitting, sets))
+        scratch.drop(pairs, fitting, sets)
         links = good if links is None else links.union(good)
         labels = scratch.write(components(links, scratch))
         release(spark)

@@ -41,17 +41,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
     n = len(words)
     total = np.zeros(max(0, n - size + 1), np.uint64)
     for k in range(size):
-        total += mix(words[k : k + len(total)] + np.uint64(k) * _P)
+        total += mix(words[k : k + len(total)] + np.arange(k, k + 1, dtype=np.uint64) * _P)
     total = mix(total)
     out = []
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= size:
             out.append(np.unique(total[a : b - size + 1]))
         elif b > a:
-            short = np.uint64(0)
-            for k in range(a, b):
-                short += mix(words[k : k + 1] + np.uint64(k - a + 101 * (b - a)) * _P)[0]
-            out.append(mix(np.array([short])))
+            place = np.arange(b - a, dtype=np.uint64) + np.uint64(101 * (b - a))
+            out.append(mix(mix(words[a:b] + place * _P).sum(keepdims=True, dtype=np.uint64)))
         else:
             out.append(np.empty(0, np.uint64))
     return out
