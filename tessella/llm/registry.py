@@ -94,11 +94,11 @@ def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["op3_maxscore"] = """
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
   where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) as bigint) as score
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and c.vec_id <> q.vec_id
 ), r as (
   select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s
