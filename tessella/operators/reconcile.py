@@ -112,3 +112,41 @@ def sql_patches(items: DataFrame, table: str, cfg: ReconcileConfig) -> DataFrame
     update = F.concat(F.lit(f"UPDATE {name} SET "), sets, F.lit(f" WHERE {key} = "), V.sql_literal(F.col("key")))
     insert = F.concat(F.lit(f"INSERT INTO {name} ({key}) VALUES ("), V.sql_literal(F.col("key")), F.lit(")"))
     return items.where(F.col("type").isin("ATTRIBUTE_MISMATCH", "ONLY_IN_SHP")).select("key", F.when(F.col("type") == "ONLY_IN_SHP", insert).otherwise(update).alias("statement"))
+
+
+#: Candidate pairs of one key beyond which no distances are taken.
+MOST_CANDIDATES = 40_000
+
+
+def nearest_pairs(t: DataFrame, s: DataFrame) -> DataFrame:
+    """Greedy pairing inside repeated keys of rows (key, rec, x, y, attributes): all edges by rounded distance, number of
+    differing attributes, target and source order; a key with too many candidates is reported and never gathered."""
+    counts = t.groupBy("key").agg(F.count("*").alias("tn")).join(s.groupBy("key").agg(F.count("*").alias("sn")), "key")
+    capped = counts.where(F.col("tn") * F.col("sn") > MOST_CANDIDATES).select("key")
+    fit = counts.where(F.col("tn") * F.col("sn") <= MOST_CANDIDATES).select("key")
+    side = lambda df, p: df.join(fit, "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rec", "x", "y", "attributes"))).alias(p))
+
+    def pair(frames):
+        import math
+
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for key, left, right in zip(frame.key, frame.t, frame.s):
+                edges = sorted(
+                    (math.floor(math.hypot(a["x"] - b["x"], a["y"] - b["y"]) * 1e4 + 0.5), sum(u != v for u, v in zip(a["attributes"], b["attributes"])), i, j)
+                    for i, a in enumerate(left) for j, b in enumerate(right)
+                )
+                used_a, used_b = set(), set()
+                for d, _, i, j in edges:
+                    if i not in used_a and j not in used_b:
+                        used_a.add(i)
+                        used_b.add(j)
+                        rows.append((key, "GEOMETRY", left[i]["rec"], right[j]["rec"], d / 1e4))
+            yield pd.DataFrame(rows, columns=["key", "method", "db_rec", "file_rec", "distance"])
+
+    schema = "key string, method string, db_rec long, file_rec long, distance double"
+    found = side(t, "t").join(side(s, "s"), "key").mapInPandas(pair, schema)
+    skipped = t.join(capped, "key", "left_semi").select("key", F.lit("SKIPPED_CAP").alias("method"), F.col("rec").alias("db_rec"), F.lit(None).cast("long").alias("file_rec"), F.lit(None).cast("double").alias("distance"))
+    return found.unionByName(skipped)

@@ -122,3 +122,18 @@ def p19_merge_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation")
     stored = n.where("n_nationkey % 4 <> 1").select((F.col("n_nationkey") + 3).cast("int").alias("n_nationkey"), F.lower("n_name").alias("label"), (F.col("n_nationkey") % 2 == 0).alias("is_default"))
     return loads.merge_overrides(n.select("n_nationkey", F.col("n_name").alias("label")), stored, "n_nationkey", ["label"])
+
+
+@query()
+def t04_stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of files, each event kept once; the batch ends with the input."""
+    import uuid
+
+    from ..streaming import pages
+
+    events = table(spark, sf_dir, "events")
+    name = f"events_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kept = pages.without_repeats(stream.select("event_id", "ts", "event_type"), "event_id", "ts", "3650 days")
+    kept.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name)

@@ -211,3 +211,12 @@ select a, b from (select *, count(*) over (partition by a) as x, count(*) over (
 def w07_mutual_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     return joins.mutual_unique(pairs, "a", "b")
+
+
+@query()
+def j03_nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem rows of an order, as points, paired with shifted copies."""
+    rec = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), rec.alias("rec"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.array("l_returnflag", "l_linestatus").alias("attributes"))
+    s = t.where("rec % 3 <> 0").withColumn("x", F.col("x") + (F.col("rec") % 5) / 10)
+    return reconcile.nearest_pairs(t, s)
