@@ -1,16 +1,11 @@
 """Value semantics: cleaning, encoding repair, equivalence and keys, as column expressions.
 
-The cheap rules stay inside Catalyst. Repair of mis-decoded text needs byte work and runs as an Arrow UDF,
-only on values that hold a suspicious character.
+All rules, repair of mis-decoded text included, are built-in functions, so comparisons stay in generated code.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column, functions as F
 
 #: Key parts that mean "nothing".
 PLACEHOLDERS = ("n/a", "s/n", "sn", "null", "")
@@ -26,33 +21,16 @@ def clean_value(c: Column) -> Column:
     return F.regexp_replace(c, r"\.0$", "")
 
 
-def repair_text(text: str | None) -> str | None:
-    """Undoes one UTF-8-read-as-Windows-1252 round; text that isn't such comes back as it is."""
-    if not text or ("Ã" not in text and "Â" not in text):
-        return text
-    raw = bytearray()
-    for ch in text:
-        code = ord(ch)
-        if code < 256:
-            raw.append(code)
-            continue
-        try:
-            raw += ch.encode("cp1252")
-        except UnicodeEncodeError:
-            return text
-    try:
-        return raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return text
-
-
-@pandas_udf(T.StringType())
-def _repair(texts: pd.Series) -> pd.Series:
-    return texts.map(repair_text)
+#: The characters that Windows-1252 has in places 80 to 9F, and those places.
+_CP1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_PLACES = "".join(chr(c.encode("cp1252")[0]) for c in _CP1252)
 
 
 def repair_encoding(c: Column) -> Column:
-    return F.when(c.rlike("[ÃÂ]"), _repair(c)).otherwise(c)
+    """Undoes one reading of UTF-8 as Windows-1252; a text that isn't such comes back as it is."""
+    bytes_ = F.translate(c, _CP1252, _PLACES)
+    text = F.encode(bytes_, "ISO-8859-1").cast("string")
+    return F.when(c.rlike("[ÃÂ]") & bytes_.rlike(r"^[\x00-\xff]*$") & F.is_valid_utf8(text), text).otherwise(c)
 
 
 def clean_key(c: Column, repair: bool = True) -> Column:
@@ -63,46 +41,28 @@ def clean_key(c: Column, repair: bool = True) -> Column:
 
 #: Characters that a wrong decoding leaves: replacement, Hangul, CJK, kana, private use, controls.
 GLYPH = "[�가-힯ᄀ-ᇿ一-鿿㐀-䶿぀-ヿ-\u0080-\u009f]"
-_GLYPH = re.compile(GLYPH)
 
 
 def has_glyphs(c: Column) -> Column:
     return F.coalesce(c.rlike(GLYPH), F.lit(False))
 
 
-def glyph_match(damaged: str, clean: str) -> bool:
+def glyph_match(damaged: Column, clean: Column) -> Column:
     """Whether a value with damaged characters can stand for the clean one: n of them in a row for n to 2n letters."""
-    if abs(len(damaged) - len(clean)) > 5:
-        return False
-    pattern, at = "", 0
-    for run in re.finditer(f"{_GLYPH.pattern}+", damaged):
-        n = len(run[0])
-        pattern += re.escape(damaged[at : run.start()]) + rf"[^\W\d_]{{{n},{2 * n}}}"
-        at = run.end()
-    return re.fullmatch(pattern + re.escape(damaged[at:]), clean) is not None
-
-
-@pandas_udf(T.BooleanType())
-def _damaged_equal(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(False)
-            continue
-        u, v = repair_text(x), repair_text(y)
-        da, db = bool(_GLYPH.search(x)), bool(_GLYPH.search(y))
-        out.append(u == v or (da != db and (glyph_match(x, y) if da else glyph_match(y, x))))
-    return pd.Series(out)
+    quoted = F.regexp_replace(damaged, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
+    pattern = F.concat(F.lit("^"), F.regexp_replace(quoted, GLYPH, r"\\p{L}{1,2}"), F.lit("$"))
+    return (F.abs(F.length(damaged) - F.length(clean)) <= 5) & F.regexp_like(clean, pattern)
 
 
 def equivalent(a: Column, b: Column, encoding: bool = True) -> Column:
-    """Equality of cleaned values, case kept; with ``encoding`` also through repair and damaged characters, for
-    which Python runs only where a suspicious character stands."""
+    """Equality of cleaned values, case kept; with ``encoding`` also through repair and damaged characters, which is
+    looked at only where a suspicious character stands."""
     x, y = clean_value(a), clean_value(b)
     if not encoding:
         return x == y
     odd = x.rlike(f"[ÃÂ]|{GLYPH}") | y.rlike(f"[ÃÂ]|{GLYPH}")
-    return F.when(x == y, True).when(odd, _damaged_equal(x, y)).otherwise(False)
+    damaged = F.when(has_glyphs(x) & ~has_glyphs(y), glyph_match(x, y)).when(has_glyphs(y) & ~has_glyphs(x), glyph_match(y, x)).otherwise(False)
+    return F.when(x == y, True).when(odd, (repair_encoding(x) == repair_encoding(y)) | damaged).otherwise(False)
 
 
 def composite_key(parts: list[Column], placeholders: bool = False, repair: bool = True) -> Column:

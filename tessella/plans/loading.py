@@ -134,6 +134,6 @@ def t04_stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     name = f"events_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    kept = pages.without_repeats(stream.select("event_id", "ts", "event_type"), "event_id", "ts", "3650 days")
+    kept = pages.without_repeats(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "event_id", "ts", "3650 days")
     kept.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.table(name)

@@ -25,9 +25,10 @@ def test_clean_values(spark):
 
 def test_repair_and_equivalence(spark):
     broken = "Peñarol áé".encode().decode("latin-1")
-    rows = [("Peñarol áé", broken, True), ("Pe�arol", "Peñarol", True), ("Pe�arol", "Pexx1rol", False), ("a", "A", False), (None, " ", True), ("5.0", "5", True), ("Ãx", "Ãx", True)]
+    rows = [("Peñarol áé", broken, True), ("Pe�arol", "Peñarol", True), ("Pe�arol", "Pexx1rol", False), ("(Pe�.)", "(Peña.)", True), ("(Pe�.)", "(Peñax)", False), ("a", "A", False), (None, " ", True), ("5.0", "5", True), ("Ãx", "Ãx", True)]
     assert [r[0] for r in one(spark, "a string, b string, w boolean", rows, V.equivalent(F.col("a"), F.col("b")))] == [r[2] for r in rows]
-    assert V.repair_text("Ã") == "Ã" and V.repair_text(broken) == "Peñarol áé"
+    texts = [("Ã", "Ã"), (broken, "Peñarol áé"), ("â‚¬ Â", "â‚¬ Â"), ("Ã±â‚¬", "ñ€"), ("Ã±日", "Ã±日"), (None, None), ("plain", "plain")]
+    assert one(spark, "t string", [(t,) for t, _ in texts], V.repair_encoding(F.col("t"))) == [(w,) for _, w in texts]
 
 
 def test_keys(spark):
