@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from .plans import carto, documents, loading, reconciling, sets  # noqa: E402, F401
+from .plans import carto, documents, loading, reconciling, reports, sets  # noqa: E402, F401
