@@ -39,13 +39,14 @@ from .shingles import mix, shingle_sets
 GROUPS = 32
 LEAF = 16
 BLOCK = 256
-#: A shingle in more than this share of the texts of some run of texts, and of all texts, goes last in the order.
-COMMON = 0.01
+#: A shingle in more than this share of all texts goes last in the order, as far as runs of texts show it.
+COMMON = 0.0005
 RUN_BYTES = 4 << 20
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in more than COMMON of all texts: at most 1 / COMMON times the mean set size, so they fit a broadcast."""
+    """Shingles in more than COMMON of all texts, counted in the runs of texts that hold them twice: at most 1 / COMMON
+    times the mean set size (8 MB at 500 words), so they fit a broadcast."""
 
     def local(batches):
         for batch in batches:
@@ -53,7 +54,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
             for i, j in runs(offs, RUN_BYTES):
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 found, times = np.unique(np.concatenate(sets), return_counts=True)
-                often = times > max(3, COMMON * (j - i))
+                often = times > max(1, COMMON * (j - i))
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["token", "n"])
 
     total = docs.count()
@@ -334,9 +335,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             dealt = dealt.withColumn("key", F.xxhash64("token", "own")).withColumn("side", F.lit(2))
         pairs = scratch.write(candidates(dealt, None if last else step))
+        release(spark)
         fitting = scratch.write(promising(pairs, names))
+        release(spark)
         ends = fitting.select(F.col("a").alias("id")).union(fitting.select("b")).distinct()
         sets = scratch.write(full_sets(docs, names.join(ends, "id", "left_semi").select("id", "doc_id")))
+        release(spark)
         good = scratch.write(verified(fitting, sets))
         scratch.drop(pairs, fitting, sets)
         links = good if links is None else links.union(good)
