@@ -9,7 +9,7 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 3. Each set's shingles are hashed into GROUPS groups; the counts are a point. Among the sets that share a
    shingle, an R-tree over the points yields the pairs whose summed coordinate minima reach the overlap
    that the threshold needs.
-4. Of those pairs the same bound is taken over many more groups (about twice the set's size), and what is left is
+4. Of those pairs the same bound is taken over many more groups (two to four times the set's size), and what is left is
    verified on the whole sets.
 
 First each point takes two partners only: the one of highest random priority, which makes stars, and the one
@@ -42,6 +42,8 @@ BLOCK = 256
 #: A shingle in more than this share of all texts goes last in the order, as far as runs of texts show it.
 COMMON = 0.0005
 RUN_BYTES = 4 << 20
+#: Names of sets (16 bytes each) are sent to every executor up to this number; more of them meet the texts in a shuffle.
+SENT_NAMES = 500_000
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -79,20 +81,22 @@ def point(tokens: np.ndarray) -> tuple[bytes, int]:
 
 
 def fine_point(tokens: np.ndarray) -> bytes:
-    """Counts by many groups, up to 255 each; their number is a power of two, so a longer one folds to a shorter."""
-    groups = 1 << min(max(int(2 * len(tokens) - 1).bit_length(), 6), 16)
+    """Which of many groups hold at least one shingle, then which hold at least two, a bit each. The number of groups is a
+    power of two, two to four times the set's size, so a longer point folds to a shorter."""
+    groups = 1 << min(max(int(2 * len(tokens) - 1).bit_length(), 6), 20)
     counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    # A count over 255 (never seen below millions of shingles) leaves the set without a fine point: no bound.
-    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+    return np.packbits([counts >= 1, counts >= 2]).tobytes()
 
 
-def fine_overlap(a: bytes, b: bytes) -> float:
-    """Most overlap that two fine points allow."""
-    if not a or not b:
-        return np.inf
-    x, y = np.frombuffer(a, np.uint8).astype(np.int32), np.frombuffer(b, np.uint8).astype(np.int32)
-    n = min(len(x), len(y))
-    return np.minimum(x.reshape(-1, n).sum(0), y.reshape(-1, n).sum(0)).sum()
+def fine_overlap(a: bytes, m: int, b: bytes, n: int) -> int:
+    """Most overlap that two fine points of sets of sizes m and n allow; shingles past two in a group count in full."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    extra = m - int(np.bitwise_count(x).sum()), n - int(np.bitwise_count(y).sum())
+    if len(x) == len(y):
+        return int(np.bitwise_count(x & y).sum()) + min(extra)
+    groups = min(len(x), len(y)) * 4
+    x, y = (np.unpackbits(z).reshape(2, -1, groups).sum((0, 1)) for z in (x, y))
+    return int(np.minimum(x, y).sum()) + sum(extra)
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -270,7 +274,7 @@ def promising(pairs: DataFrame, fine: DataFrame) -> DataFrame:
     def bound(batches):
         for batch in batches:
             m, n, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
-            keep = [fine_overlap(p, q) >= needed(i, j) for i, j, p, q in zip(m, n, x, y)]
+            keep = [fine_overlap(p, i, q, j) >= needed(i, j) for i, j, p, q in zip(m, n, x, y)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     side = lambda i, n, p: fine.select(F.col("id").alias(i), F.col("n").alias(n), F.col("fine").alias(p))
@@ -323,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     release(spark)
 
     links, labels = None, None
-    opened, step, last = rows.withColumn("component", F.col("id")), 0, False
+    held, opened, step, last = rows, rows.withColumn("component", F.col("id")), 0, False
     size = rows.count()
     while size:
         blocks = F.ceil(F.col("count") / BLOCK)
@@ -339,17 +343,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fitting = scratch.write(promising(pairs, names))
         release(spark)
         ends = fitting.select(F.col("a").alias("id")).union(fitting.select("b")).distinct()
-        sets = scratch.write(full_sets(docs, names.join(ends, "id", "left_semi").select("id", "doc_id")))
+        wanted = scratch.write(names.join(ends, "id", "left_semi").select("id", "doc_id"))
+        sets = scratch.write(full_sets(docs, F.broadcast(wanted) if wanted.count() <= SENT_NAMES else wanted))
         release(spark)
         good = scratch.write(verified(fitting, sets))
-        scratch.drop(pairs, fitting, sets)
+        scratch.drop(pairs, fitting, wanted, sets)
         links = good if links is None else links.union(good)
         labels = scratch.write(components(links, scratch))
         release(spark)
         if last:
             break
-        opened, before, step = open_rows(rows, labels, scratch), size, step + 1
-        size = opened.count()
+        # A shingle whose sets share a component stays closed, so the next round starts from the rows still open.
+        opened, before, step = open_rows(opened, labels, scratch), size, step + 1
+        scratch.drop(held)
+        held, size = opened, opened.count()
         last = size * 2 > before and step > 1
     if labels is None:
         labels = names.select("id", F.col("id").alias("component")).limit(0)
@@ -362,9 +369,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def open_rows(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows of the shingles whose sets lie in more than one component."""
-    now = scratch.write(rows.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    now = scratch.write(rows.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
     parted = scratch.write(now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"))
-    return scratch.write(now.join(parted, "token", "left_semi"))
+    opened = scratch.write(now.join(parted, "token", "left_semi"))
+    scratch.drop(now, parted)
+    return opened
 
 
 def release(spark) -> None:
