@@ -60,8 +60,8 @@ class Shard:
             places, values = self.lists[side[d]][d]
             score[places] += abs(int(q[d])) * values
             seen[places] = True
-        if least is None:
-            seen[:] = True  # nothing to beat yet
+        if least is None or least <= 0:
+            seen[:] = True  # nothing to beat yet, or a vector found in no list (score 0 or less) can still enter
         found = np.flatnonzero(seen & (self.ids != own))
         score = score[found]
         # Losses on essential terms, then the others from the greatest bound down, while a candidate can compete.

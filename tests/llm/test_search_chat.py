@@ -39,6 +39,20 @@ def test_top_k(spark, shard, monkeypatch):
     assert maxscore.top_k(df.limit(0), df, 4).count() == 0 and maxscore.top_k(df, df.limit(0), 4).count() == 0
 
 
+def test_scores_of_zero_and_less():
+    """All-zero, negative and short vectors in small shards, against queries whose best scores are 0 or less."""
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([rng.integers(-9, 1, (40, 6)), rng.integers(-9, 10, (20, 6)) * (rng.random((20, 6)) < 0.3), np.zeros((20, 6))]).astype(np.int64)
+    vectors[::7, 2:] = 0
+    ids = rng.permutation(len(vectors))
+    for query in (np.zeros(6, np.int64), np.full(6, 4), np.full(6, -4), np.array([3, 0, -2, 0, 0, 0]), np.array([5]), np.empty(0, np.int64), *vectors[:20]):
+        best = []
+        for at in range(0, len(ids), 7):
+            best = maxscore.Shard(ids[at : at + 7], vectors[at : at + 7]).search(query, 3, 4, best)
+        scores = vectors[:, : len(query)] @ query
+        assert best == sorted(((int(s), int(i)) for s, i in zip(scores, ids) if i != 3), key=lambda x: (-x[0], x[1]))[:4]
+
+
 def test_escape_round_trip():
     rng = random.Random(6)
     parts = ["</s>", "<s>", "[INST]", "[/INST]", "[ROLE x] ", "[/ROLE]", "\\", "\\\\", " ", "a", "<", "[", "\n"]
