@@ -76,7 +76,7 @@ def conversation_paths(turns: DataFrame, tokenizer: str) -> DataFrame:
     """conv_id, path (the node ids from the root, joined) and the nodes of each conversation."""
 
     def nodes(batches):
-        cache = library_tokenizer(tokenizer)
+        cache = library_tokenizer(tokenizer, special_text=False)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)

@@ -2,8 +2,9 @@
 
 Each task packs the documents it reads, one after the other. A level array counts the open windows by
 fill; a document (or what is left of it after whole windows) goes to the fill level that makes the sum of
-squared counts smallest, a new window included. At the end of a task the emptiest open windows are cut up
-to fill the fullest ones, and the single window left over is cut at powers of two, so nothing is padded.
+squared counts smallest, a new window included. At the end of a task, and whenever the open windows hold more
+than MOST_OPEN tokens (so a task's memory is bounded), the emptiest open windows are cut up to fill the fullest
+ones. The single window left over stays open, and at the end it is cut at powers of two, so nothing is padded.
 
 Null text counts as empty; every document ends with ``end_id``, so none is without a piece. Repeated rows
 are packed each for itself. Ties go to the fuller window. An empty table gives no row. Of other columns
@@ -21,6 +22,10 @@ from .common import buffers, rest
 from .tokenizing import library_tokenizer
 
 WINDOW = 4096
+#: Tokens that a task's open windows may hold, 4 bytes each.
+MOST_OPEN = 2 << 20
+#: Rows and tokens after which a task hands on what it has packed.
+ROWS_OUT, TOKENS_OUT = 2000, 1 << 20
 PIECE_SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -31,7 +36,7 @@ class SumOfSquares:
         self.window = window
         self.level = np.zeros(window + 1, np.int64)  # open windows by fill; level 0 and a full window count nothing
         self.open: list[list[list]] = [[] for _ in range(window)]
-        self._gain = np.zeros(window, np.int64)
+        self.held = 0
 
     def best_fill(self, size: int) -> int:
         """The fill whose window is to take an item of this size; 0: a new window."""
@@ -52,14 +57,16 @@ class SumOfSquares:
         else:
             pieces = []
         pieces.append(piece)
+        self.held += size
         if fill + size == self.window:
+            self.held -= self.window
             return pieces
         self.open[fill + size].append(pieces)
         self.level[fill + size] += 1
         return None
 
-    def finish(self) -> list[list]:
-        """The rest as windows that are full or hold a power of two."""
+    def settle(self) -> tuple[list[list], list[tuple]]:
+        """Full windows made of the open ones, and the pieces that are too few for another; none stays open."""
         left = [(fill, pieces) for fill, group in enumerate(self.open) for pieces in group]
         out, low, high = [], 0, len(left) - 1
         spare: list[tuple] = []  # pieces of cut-up windows
@@ -80,6 +87,21 @@ class SumOfSquares:
                 spare = pieces
             else:
                 out.append(pieces)
+        self.level[:], self.held = 0, 0
+        self.open = [[] for _ in range(self.window)]
+        return out, spare
+
+    def shrink(self) -> list[list]:
+        """Closes the open windows but one."""
+        out, spare = self.settle()
+        if size := sum(len(p[2]) for p in spare):
+            self.open[size].append(spare)
+            self.level[size], self.held = 1, size
+        return out
+
+    def finish(self) -> list[list]:
+        """The rest as windows that are full or hold a power of two."""
+        out, spare = self.settle()
         size = sum(len(p[2]) for p in spare)
         while size:
             part = 1 << (size.bit_length() - 1)
@@ -108,16 +130,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
         model, packer = library_tokenizer(tokenizer), SumOfSquares(window)
         sequence = (TaskContext.get().partitionId() << 40) - 1
         rows: list[tuple] = []
+        waiting = 0
 
         def emit(pieces):
-            nonlocal sequence
+            nonlocal sequence, waiting
+            waiting += window
             sequence, offset = sequence + 1, 0
             for doc, start, ids, tokens in pieces:
                 rows.append((doc, start, len(ids), tokens, sequence, offset, ids.astype("<u4").tobytes()))
                 offset += len(ids)
 
         def flush():
-            cols = list(zip(*rows)) or [[]] * 7
+            nonlocal waiting
+            cols, waiting = list(zip(*rows)) or [[]] * 7, 0
             rows.clear()
             kinds = [pa.int64()] * 6 + [pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
@@ -133,10 +158,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
                     if whole < len(own):
                         if full := packer.add((doc, whole, own[whole:].copy(), len(own))):
                             emit(full)
-                    if len(rows) >= 4000:
+                    if packer.held > MOST_OPEN:
+                        for pieces in packer.shrink():
+                            emit(pieces)
+                    if len(rows) >= ROWS_OUT or waiting >= TOKENS_OUT:
                         yield flush()
         for pieces in packer.finish():
             emit(pieces)
+            if len(rows) >= ROWS_OUT:
+                yield flush()
         yield flush()
 
     return rest(docs, [id_col], text_col).mapInArrow(pack, PIECE_SCHEMA)

@@ -6,17 +6,21 @@ pre-tokenisers used here crosses such a place, so the ids of a text are those of
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 
 from .common import runs, spread
 
-PIECE_BYTES = 4 << 20
-#: Pieces a worker remembers: this many recent ones, and as many older ones.
-CACHE_PIECES = 250_000
+PIECE_BYTES = 1 << 20
+#: Memory of the pieces that a worker remembers, by generation: the recent ones, and as much again of older ones.
+CACHE_BYTES = 40 << 20
+#: What an entry takes besides its bytes: two objects and a place in the table.
+ENTRY_BYTES = 180
 #: Pieces that the library encodes in one call.
-GROUP = 4096
+GROUP = 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple, "PieceCache"] = {}
 
@@ -68,25 +72,29 @@ class PieceCache:
         self.encode_pieces = encode_pieces
         self.older: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
+        self.size = 0
 
     def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct pieces and their counts."""
-        if len(self.known) > CACHE_PIECES:
-            self.known, self.older = {}, self.known
+        if self.size > CACHE_BYTES:
+            self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
+        missing = [p for p in pieces if p not in known]
         novel = []
-        for p in pieces:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    novel.append(p)
+        for p in missing:
+            ids = older.get(p)
+            if ids is None:
+                novel.append(p)
+            else:
+                known[p] = ids
+                self.size += len(p) + len(ids) + ENTRY_BYTES
         if novel:
             flat, lengths, order = self.encode_pieces(novel)
             raw = flat.astype("<u4").tobytes()
             ends = np.cumsum(lengths) * 4
             for i, a, b in zip(order, (ends - lengths * 4).tolist(), ends.tolist()):
                 known[novel[i]] = raw[a:b]
+            self.size += sum(map(len, novel)) + len(raw) + ENTRY_BYTES * len(novel)
         found = [known[p] for p in pieces]
         return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
@@ -120,37 +128,91 @@ def public_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def library_tokenizer(path: str) -> PieceCache:
-    """A PieceCache over a file of the tokenizers library; one a worker process."""
-    if (key := ("library", path)) not in _loaded:
+#: Pieces with a known number of words for tokenizers that mark each word's last token: letters, then perhaps points.
+_WORDS = re.compile(rb"[ \n][A-Za-z]+([.,;:!?]*)\Z")
+
+
+def library_tokenizer(path: str, special_text: bool = True) -> PieceCache:
+    """A PieceCache over a file of the tokenizers library; one a worker process. As in the library, the strings of special
+    tokens within a text give their ids, unless special_text is False: they are ordinary text then."""
+    if (key := ("library", path, special_text)) not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        model.encode_special_tokens = True
-
-        mark, mark_id = next((c, x[0]) for c in "†‡•§¶" if len(x := model.encode(f" {c}", add_special_tokens=False).ids) == 1)
-        mark_bytes = f" {mark}".encode()
-
-        def encode_pieces(pieces: list[bytes]):
-            """Many pieces go in one text, a mark after each; those that the mark could touch go alone."""
-            joined = [k for k, p in enumerate(pieces) if p[0] in b" \n" and 32 < p[-1] < 127 and mark_bytes[1:] not in p]
-            alone = sorted(set(range(len(pieces))) - set(joined))
-            flat, lengths = [], []
-            for at in range(0, len(joined), GROUP):
-                group = joined[at : at + GROUP]
-                text = mark_bytes.join(pieces[k] for k in group) + mark_bytes
-                ids = np.array(model.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint32)
-                ends = np.flatnonzero(ids == mark_id)
-                if len(ends) != len(group):
-                    raise ValueError("a piece's ids hold the mark")
-                flat.append(np.delete(ids, ends))
-                lengths.append(np.diff(ends, prepend=-1) - 1)
-            if alone:
-                found = [x.ids for x in model.encode_batch_fast([pieces[k].decode() for k in alone], add_special_tokens=False)]
-                flat += [np.array(x, np.uint32) for x in found]
-                lengths.append(np.array([len(x) for x in found]))
-            return np.concatenate(flat).astype(np.uint32), np.concatenate(lengths).astype(np.int64), joined + alone
-
-        _loaded[key] = PieceCache(encode_pieces)
+        model.encode_special_tokens = not special_text
+        _loaded[key] = PieceCache(LibraryPieces(model))
     return _loaded[key]
+
+
+class LibraryPieces:
+    """Encodes many pieces in one text. Where a piece ends is read from the ids: byte-level models by a token with a space or
+    line feed in front that follows a visible character, models with word ends by the number of words, others by a mark."""
+
+    def __init__(self, model):
+        self.model = model
+        spec = json.loads(model.to_str())
+        self.mark, self.mark_id = next((c, x[0]) for c in "†‡•§¶" if len(x := self.ids_of(f" {c}")) == 1)
+        vocab = sorted(model.get_vocab().items(), key=lambda x: x[1])
+        self.head, self.tail, self.last = (np.zeros(vocab[-1][1] + 1, bool) for _ in range(3))
+        by_bytes = spec["normalizer"] is None and (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel"
+        word_end = spec["model"].get("end_of_word_suffix")
+        for token, i in vocab:
+            self.head[i] = token[0] in "ĠĊ"  # a space or a line feed in byte-level vocabularies
+            self.tail[i] = "!" <= token[-1] <= "~"
+            self.last[i] = bool(word_end) and token.endswith(word_end)
+        self.kind = "bytes" if by_bytes else "words" if word_end else "marks"
+
+    def ids_of(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def ends(self, pieces: list[bytes], counts: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """ids of the pieces in one text, and each piece's end there; None if they can't be told."""
+        ids = self.ids_of(b"".join(pieces).decode())
+        if self.kind == "bytes":
+            ends = np.append(np.flatnonzero(self.head[ids[1:]] & self.tail[ids[:-1]]) + 1, len(ids))
+        else:
+            words = np.flatnonzero(self.last[ids]) + 1
+            upto = np.cumsum(counts)
+            if len(words) != upto[-1]:
+                return None
+            ends = words[upto - 1]
+        return (ids, ends) if len(ends) == len(pieces) else None
+
+    def marked(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        mark = f" {self.mark}".encode()
+        ids = self.ids_of((mark.join(pieces) + mark).decode())
+        at = np.flatnonzero(ids == self.mark_id)
+        return (np.delete(ids, at), at - np.arange(len(at))) if len(at) == len(pieces) else None
+
+    def __call__(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        plain, marked, alone, counts = [], [], [], {}
+        for k, p in enumerate(pieces):
+            if not (p[0] in b" \n" and 32 < p[-1] < 127):
+                alone.append(k)
+            elif self.kind == "bytes":
+                plain.append(k)
+            elif self.kind == "words" and (m := _WORDS.match(p)):
+                plain.append(k)
+                counts[k] = 1 + (m.end(1) > m.start(1))
+            elif self.mark.encode() not in p:
+                marked.append(k)
+            else:
+                alone.append(k)
+        flat, lengths, order = [], [], []
+        for members, by_mark in ((plain, False), (marked, True)):
+            for at in range(0, len(members), GROUP):
+                group = members[at : at + GROUP]
+                own = [pieces[k] for k in group]
+                found = self.marked(own) if by_mark else self.ends(own, [counts.get(k, 1) for k in group])
+                if found is None:
+                    alone += group
+                    continue
+                flat.append(found[0])
+                lengths.append(np.diff(found[1], prepend=0))
+                order += group
+        for at in range(0, len(alone), GROUP):
+            found = [x.ids for x in self.model.encode_batch_fast([pieces[k].decode() for k in alone[at : at + GROUP]], add_special_tokens=False)]
+            flat += [np.array(x, np.uint32) for x in found]
+            lengths.append(np.array([len(x) for x in found]))
+        return np.concatenate(flat).astype(np.uint32), np.concatenate(lengths).astype(np.int64), order + alone

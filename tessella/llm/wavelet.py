@@ -170,7 +170,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
             return row
 
         for batch in batches:
-            names = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).astype(np.int64)
+            names = batch.column(0).cast(pa.int64()).fill_null(0).to_numpy()
+            sign = np.where(batch.column(0).is_null().to_numpy(zero_copy_only=False), -1, 1)  # a null id's length is negative
             for first, ids, offs in model.encode(*buffers(batch.column(1)), end_id=end_id):
                 i = 0
                 while i < len(offs) - 1:  # as many documents as still fit, one at least
@@ -178,7 +179,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
                     j = min(j, len(offs) - 1)
                     held_ids.append(ids[offs[i] : offs[j]])
                     held_docs.append(names[first + i : first + j])
-                    held_lengths.append(np.diff(offs[i : j + 1]))
+                    held_lengths.append(np.diff(offs[i : j + 1]) * sign[first + i : first + j])
                     size += int(offs[j] - offs[i])
                     i = j
                     if size >= shard_tokens:
@@ -200,14 +201,14 @@ def read_documents(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for first, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 matrix, names, lengths = WaveletMatrix.from_bytes(blob.as_buffer().to_pybytes())
-                raw = matrix.decode().astype("<u4")
+                raw, unnamed, lengths = matrix.decode().astype("<u4"), lengths < 0, np.abs(lengths)
                 ends = np.cumsum(lengths)
                 for i in range(0, len(names), 20_000):
                     j = min(i + 20_000, len(names))
                     a, b = int(ends[i] - lengths[i]), int(ends[j - 1])
                     offs = np.concatenate([[a], ends[i:j]]).astype(np.int64) - a
                     ids = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((offs * 4).astype(np.int32)), pa.py_buffer(raw[a:b])])
-                    doc = pa.array(names[i:j], mask=names[i:j] == -(1 << 63))
+                    doc = pa.array(names[i:j], mask=unnamed[i:j])
                     yield pa.RecordBatch.from_arrays([doc, pa.array(first + offs[:-1] + a), pa.array(lengths[i:j]), ids], ["doc_id", "start", "n_tokens", "ids"])
 
     placed = shards.join(F.broadcast(earlier), "part").select((F.col("offset") + F.col("before")).alias("first"), "blob")

@@ -27,9 +27,7 @@ def docs(spark):
 
 @functools.cache
 def library_model(name):
-    model = Tokenizer.from_file(public_file(name))
-    model.encode_special_tokens = True
-    return model
+    return Tokenizer.from_file(public_file(name))
 
 
 def reference(name, text):
@@ -48,6 +46,39 @@ def test_pieces_give_the_library_ids(name):
     assert [got[k] for k in range(len(texts))] == [reference(name, t) for t in texts]
 
 
+def test_special_strings_can_be_ordinary_text():
+    model = Tokenizer.from_file(public_file("byte_bpe_50k.json"))
+    model.encode_special_tokens = True
+    raw = b"a <|endoftext|> b<|endoftext|>"
+    (_, ids, _), *_ = library_tokenizer(public_file("byte_bpe_50k.json"), special_text=False).encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert ids.tolist() == model.encode(raw.decode(), add_special_tokens=False).ids and 50256 not in ids
+
+
+def test_few_open_windows_are_kept():
+    """Closing windows early keeps every id, and no window is padded."""
+    rng, p, out = random.Random(9), packing.SumOfSquares(64), []
+    sizes = [rng.randrange(1, 65) for _ in range(500)]
+    for d, n in enumerate(sizes):
+        if full := p.add((d, 0, np.full(n, d, np.uint32), n)):
+            out.append(full)
+        assert p.held == sum(f * int(c) for f, c in enumerate(p.level))
+        if p.held > 300:
+            out += p.shrink()
+            assert p.held < 64
+    rest = p.finish()
+    assert all(sum(len(x[2]) for x in w) == 64 for w in out)
+    found = {}
+    for w in out + rest:
+        for d, start, ids, _ in w:
+            found.setdefault(d, []).append((start, len(ids)))
+    for d, n in enumerate(sizes):
+        at = 0
+        for start, length in sorted(found[d]):
+            assert start == at
+            at += length
+        assert at == n
+
+
 def test_wavelet_matrix_answers():
     rng = np.random.default_rng(3)
     ids = rng.choice([2, 7, 500, 50256, 33], 3000)
@@ -68,10 +99,10 @@ def test_token_store_round_trip(spark, docs):
     shards = wavelet.token_store(docs, public_file("byte_bpe_50k.json"))
     rows = wavelet.read_documents(shards).collect()
     assert len(rows) == len(TEXTS)
-    want = sorted((-1 if i is None else i, reference("byte_bpe_50k.json", t)) for i, t in TEXTS)
+    want = [(i, reference("byte_bpe_50k.json", t)) for i, t in sorted(TEXTS, key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or ""))]
     at = 0
     for row, (i, ids) in zip(sorted(rows, key=lambda r: r.start), want):
-        assert (-1 if row.doc_id is None else row.doc_id, row.start, row.n_tokens) == (i, at, len(ids))
+        assert (row.doc_id, row.start, row.n_tokens) == (i, at, len(ids))
         assert np.frombuffer(row.ids, "<u4").tolist() == ids
         at += len(ids)
 
