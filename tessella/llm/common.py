@@ -28,8 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_scratch[0]
 
 
+#: While a table is written under this setting, Spark removes the shuffle files of the query as soon as it ends.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Written tables that cut lineage; they survive the loss of any executor."""
+    """Written tables that cut lineage; they survive the loss of any executor, and go when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -39,17 +43,28 @@ class Scratch:
     def write(self, df: DataFrame, compression: str = "zstd") -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", compression).parquet(path)
+        before = self.spark.conf.get(_FREE_SHUFFLES)
+        self.spark.conf.set(_FREE_SHUFFLES, "true")
+        try:
+            df.write.option("compression", compression).parquet(path)
+        finally:
+            self.spark.conf.set(_FREE_SHUFFLES, before)
+        if self.n == 1:
+            files, root = self._files(self.root)
+            files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Removes tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            files, path = self._files(t.scratch_path)
+            files.delete(path, True)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), path
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -6,17 +6,17 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 2. The shingles of a set are put in one order, the same for all sets: by hash, the very common ones last.
    Two sets that link share one of their first ``n / 4 + 1`` shingles, so only sets that share such a
    shingle are compared. Which shingles count as common touches the cost alone, never the result.
-3. Each set's shingles are hashed into GROUPS groups; the counts are a point. Among the sets that share a
-   shingle, an R-tree over the points yields the pairs whose summed coordinate minima reach the overlap
-   that the threshold needs.
-4. Of those pairs the same bound is taken over many more groups (two to four times the set's size), and what is left is
-   verified on the whole sets.
-
-First each point takes two partners only: the one of highest random priority, which makes stars, and the one
-with the most room over the threshold. Verified pairs are contracted to components, and that goes on while
-it at least halves what is open. Then all pairs that still lie in different components are taken, so no link
-between components is lost, while a large group of copies costs a few pairs per member. A shingle with many
-sets is dealt out as pairs of blocks of BLOCK sets.
+3. Each set's shingles are hashed into groups, about one for four shingles; the counts are a point. Among the
+   sets that share a shingle, an R-tree over the points, folded to GROUPS coordinates, yields the pairs whose
+   summed coordinate minima reach the overlap that the threshold needs. The unfolded points bound them again
+   before a pair leaves the task.
+4. What is left is verified on the whole sets.
+
+First each point takes two partners only, by its first STAR shared shingles: the one of highest random priority,
+which makes stars, and the one with the most room over the threshold. Verified pairs are contracted to components,
+and that goes on while it at least halves what is open. Then all pairs that still lie in different components are
+taken, by all shingles, so no link between components is lost, while a large group of copies costs a few pairs per
+member. A shingle with many sets is dealt out as pairs of blocks of BLOCK sets.
 
 Documents without words link with nothing and are their own component. Null ids take no part: their
 component is null. Repeated rows, and ids with several texts, all come back; equal texts have equal
@@ -25,8 +25,6 @@ components. An empty table gives an empty table. Only the id and text columns ar
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -37,18 +35,24 @@ from .graph import components
 from .shingles import mix, shingle_sets
 
 GROUPS = 32
+#: Groups of a point: a power of two of at least a quarter of the set's size, within these bounds.
+MOST_GROUPS = 1024
+#: Counts are held in four bits; what goes beyond them is one more coordinate.
+MOST_COUNT = 15
 LEAF = 16
 BLOCK = 256
+STAR = 8
 #: A shingle in more than this share of all texts goes last in the order, as far as runs of texts show it.
 COMMON = 0.0005
-RUN_BYTES = 4 << 20
+#: So many of those at most, the most frequent: 8 MB.
+MOST_COMMON = 1 << 20
+RUN_BYTES = 1 << 20
 #: Names of sets (16 bytes each) are sent to every executor up to this number; more of them meet the texts in a shuffle.
 SENT_NAMES = 500_000
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles in more than COMMON of all texts, counted in the runs of texts that hold them twice: at most 1 / COMMON
-    times the mean set size (8 MB at 500 words), so they fit a broadcast."""
+    """Shingles in more than COMMON of all texts, counted in the runs of texts that hold them twice; MOST_COMMON at most."""
 
     def local(batches):
         for batch in batches:
@@ -60,7 +64,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(times[often])], ["token", "n"])
 
     total = docs.count()
-    rows = docs.select("text").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).select("token").toPandas()
+    rows = docs.select("text").mapInArrow(local, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON * total).orderBy(F.desc("n"), "token").limit(MOST_COMMON).select("token").toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
 
@@ -73,30 +77,50 @@ def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
     return tokens[:most]
 
 
-def point(tokens: np.ndarray) -> tuple[bytes, int]:
-    """Counts by group in bytes, rounded up to a scale that is over 1 only for very large sets."""
-    counts = np.bincount((tokens % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
-    scale = int(-(-int(counts.max()) // 255))
-    return (-(-counts // scale)).astype(np.uint8).tobytes(), scale
-
-
-def fine_point(tokens: np.ndarray) -> bytes:
-    """Which of many groups hold at least one shingle, then which hold at least two, a bit each. The number of groups is a
-    power of two, two to four times the set's size, so a longer point folds to a shorter."""
-    groups = 1 << min(max(int(2 * len(tokens) - 1).bit_length(), 6), 20)
-    counts = np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.packbits([counts >= 1, counts >= 2]).tobytes()
-
-
-def fine_overlap(a: bytes, m: int, b: bytes, n: int) -> int:
-    """Most overlap that two fine points of sets of sizes m and n allow; shingles past two in a group count in full."""
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    extra = m - int(np.bitwise_count(x).sum()), n - int(np.bitwise_count(y).sum())
-    if len(x) == len(y):
-        return int(np.bitwise_count(x & y).sum()) + min(extra)
-    groups = min(len(x), len(y)) * 4
-    x, y = (np.unpackbits(z).reshape(2, -1, groups).sum((0, 1)) for z in (x, y))
-    return int(np.minimum(x, y).sum()) + sum(extra)
+def groups_for(n):
+    """Groups of the points of sets of these sizes."""
+    quarter = np.maximum(np.asarray(n), 1) / 4
+    return np.clip(1 << np.ceil(np.log2(quarter)).clip(0).astype(np.int64), GROUPS, MOST_GROUPS)
+
+
+def point(tokens: np.ndarray) -> bytes:
+    """Counts by group, two in a byte."""
+    groups = int(groups_for(len(tokens)))
+    counts = np.minimum(np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups), MOST_COUNT).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
+class Points:
+    """The points of many sets. A point of more groups folds to a shorter one, since groups are the low bits of a hash."""
+
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray):
+        groups = groups_for(sizes)
+        starts = np.cumsum(groups // 2) - groups // 2
+        self.groups, self.place, self.counts = groups, np.zeros(len(sizes), np.int64), {}
+        self.coarse = np.zeros((len(sizes), GROUPS + 1), np.int32)
+        for g in np.unique(groups).tolist():
+            at = np.flatnonzero(groups == g)
+            self.place[at] = np.arange(len(at))
+            packed = raw[starts[at][:, None] + np.arange(g // 2)]
+            counts = np.empty((len(at), g), np.uint8)
+            counts[:, ::2], counts[:, 1::2] = packed & 15, packed >> 4
+            self.counts[g] = counts
+            self.coarse[at, :GROUPS] = counts.reshape(len(at), -1, GROUPS).sum(1)
+        self.coarse[:, GROUPS] = sizes - self.coarse.sum(1)
+
+    def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Most overlap that the unfolded points of the sets a and b allow."""
+        out = np.minimum(self.coarse[a, GROUPS], self.coarse[b, GROUPS]).astype(np.int64)
+        for g in np.unique(self.groups[a]).tolist():
+            for h in np.unique(self.groups[b]).tolist():
+                both = np.flatnonzero((self.groups[a] == g) & (self.groups[b] == h))
+                for i in range(0, len(both), 1 << 13):
+                    at = both[i : i + (1 << 13)]
+                    x, y, low = self.counts[g][self.place[a[at]]], self.counts[h][self.place[b[at]]], min(g, h)
+                    if g != h:
+                        x, y = (v.reshape(len(at), -1, low).sum(1, dtype=np.int16) for v in (x, y))
+                    out[at] += np.minimum(x, y).sum(1, dtype=np.int64)
+        return out
 
 
 def set_id(tokens: np.ndarray) -> int:
@@ -105,8 +129,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, set size n, id of the set (null when empty), prefix, point and its scale."""
-    schema = "doc_id long, n long, id long, prefix array<long>, point binary, scale int, fine binary"
+    """doc_id, set size n, id of the set (null when empty), prefix and point."""
+    schema = "doc_id long, n long, id long, prefix array<long>, point binary"
 
     def summed(batches):
         for batch in batches:
@@ -115,9 +139,9 @@ def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 n = np.array([len(s) for s in sets])
                 prefixes = [prefix(s, common).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
-                points = [point(s) if len(s) else (b"", 1) for s in sets]
-                columns = [batch.column(0).slice(i, j - i), pa.array(n), pa.array([set_id(s) if len(s) else None for s in sets], pa.int64()), lists(prefixes), pa.array([p for p, _ in points], pa.binary()), pa.array([s for _, s in points], pa.int32()), pa.array([fine_point(s) if len(s) else b"" for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "id", "prefix", "point", "scale", "fine"])
+                points = pa.array([point(s) if len(s) else b"" for s in sets], pa.binary())
+                ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), ids, lists(prefixes), points], ["doc_id", "n", "id", "prefix", "point"])
 
     return docs.select("doc_id", "text").mapInArrow(summed, schema)
 
@@ -168,8 +192,8 @@ class PointTree:
 
 
 def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
-    """Pairs of different components from rows (key, side, id, component, n, point, scale), each key's rows in one
-    task. side 0 and 1 are compared with each other, side 2 within itself.
+    """Pairs of different components from rows (key, side, id, component, n, point), each key's rows in one task.
+    side 0 and 1 are compared with each other, side 2 within itself.
 
     Without a seed: all pairs (a, b) with a < b. With one: rows (a, b, room, priority) with at most two partners b of
     each row a and key, of most room over the threshold and of highest priority."""
@@ -185,61 +209,60 @@ def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
         k = np.unique(np.concatenate(keep))
         return ids[a[k]], ids[b[k]], worth[k], priority[k]
 
-    def in_group(side, ids, comp, n, points):
+    def fitting(a, b, comp, n, points):
+        """Of the pairs of places (a, b) those of different components that the unfolded points allow, and their room."""
+        apart = comp[a] != comp[b]
+        a, b = a[apart], b[apart]
+        room = points.bound(a, b) - needed(n[a], n[b])
+        ok = room >= 0
+        return a[ok], b[ok], room[ok]
+
+    def in_group(at, side, comp, n, points):
+        """Pairs of one key's rows at these places."""
         out = []
-        for left, right in ((side == 2, side == 2), (side == 0, side == 1)):
-            left, right = np.flatnonzero(left), np.flatnonzero(right)
+        for left, right in ((side[at] == 2, side[at] == 2), (side[at] == 0, side[at] == 1)):
+            left, right = at[left], at[right]
             if not len(left) or not len(right):
                 continue
-            tree = PointTree(points[right], n[right])
+            tree = PointTree(points.coarse[right], n[right])
             for i in range(0, len(left), 64):
-                q, p, bound = tree.pairs(points[left[i : i + 64]], n[left[i : i + 64]])
-                a, b = left[q + i], right[p]
-                ok = comp[a] != comp[b]
-                a, b, room = a[ok], b[ok], (bound - needed(n[left[q + i]], n[right[p]]))[ok]
-                out.append((ids[a], ids[b]) if seed is None else best(a, b, room, ids, n))
+                q, p, _ = tree.pairs(points.coarse[left[i : i + 64]], n[left[i : i + 64]])
+                out.append(fitting(left[q + i], right[p], comp, n, points))
         return out
 
-    def in_leaves(ids, comp, n, points, size):
+    def in_leaves(rows, comp, n, points, size):
         """All groups of at most LEAF rows at once; each is a tree's single leaf."""
         start = np.cumsum(size) - size
-        left = np.repeat(start + size, size) - np.arange(len(ids))
-        a, b, room = [], [], []
+        left = np.repeat(start + size, size) - np.arange(len(rows))
+        out = []
         for d in range(1, LEAF):
             x = np.flatnonzero(left > d)
             if not len(x):
                 break
-            gap = np.minimum(points[x], points[x + d]).sum(1, dtype=np.int64) - needed(n[x], n[x + d])
-            ok = (gap >= 0) & (comp[x] != comp[x + d])
-            a.append(x[ok])
-            b.append(x[ok] + d)
-            room.append(gap[ok])
-        if not a:
-            return []
-        a, b, room = map(np.concatenate, (a, b, room))
-        if seed is None:
-            return [(ids[a], ids[b])]
-        return [best(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([room, room]), ids, n)]
+            a, b = rows[x], rows[x + d]
+            apart = comp[a] != comp[b]
+            a, b = a[apart], b[apart]
+            ok = np.minimum(points.coarse[a], points.coarse[b]).sum(1, dtype=np.int64) >= needed(n[a], n[b])
+            out.append(fitting(a[ok], b[ok], comp, n, points))
+        return out
 
     def emit(table: pa.Table) -> pa.RecordBatch:
         table = table.combine_chunks()
-        key, side, ids, comp, n, scale = (table.column(c).to_numpy() for c in ("key", "side", "id", "component", "n", "scale"))
-        points = buffers(table.column("point"))[0].reshape(-1, GROUPS).astype(np.int32) * scale[:, None]
+        key, side, ids, comp, n = (table.column(c).to_numpy() for c in ("key", "side", "id", "component", "n"))
+        points = Points(buffers(table.column("point"))[0], n)
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         size = np.diff(start, append=len(key))
-        plain = (np.minimum.reduceat(side, start) == 2) & (size <= LEAF)
-        found = []
-        if plain.any():
-            rows = np.repeat(plain, size)
-            found += in_leaves(ids[rows], comp[rows], n[rows], points[rows], size[plain])
-        for k in np.flatnonzero(~plain):
-            at = slice(start[k], start[k] + size[k])
-            found += in_group(side[at], ids[at], comp[at], n[at], points[at])
-        columns = [np.concatenate([f[c] for f in found] or [np.empty(0, np.int64)]) for c in range(2 if seed is None else 4)]
+        closed = np.minimum.reduceat(comp, start) == np.maximum.reduceat(comp, start)
+        small = ~closed & (np.minimum.reduceat(side, start) == 2) & (size <= LEAF)
+        found = in_leaves(np.flatnonzero(np.repeat(small, size)), comp, n, points, size[small])
+        for k in np.flatnonzero(~closed & ~small):
+            found += in_group(np.arange(start[k], start[k] + size[k]), side, comp, n, points)
+        a, b, room = (np.concatenate([f[c] for f in found] or [np.empty(0, np.int64)]) for c in range(3))
         if seed is None:
-            pairs = np.stack([np.minimum(*columns), np.maximum(*columns)], 1).astype(np.int64)
+            pairs = np.stack([np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b])], 1).astype(np.int64)
             pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        columns = best(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([room, room]), ids, n)
         return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in zip(columns, (np.int64, np.int64, np.float64, np.int64))], ["a", "b", "room", "priority"])
 
     def by_key(batches):
@@ -260,7 +283,7 @@ def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    ordered = rows.select("key", "side", "id", "component", "n", "point", "scale").repartition("key").sortWithinPartitions("key")
+    ordered = rows.select("key", "side", "id", "component", "n", "point").repartition("key").sortWithinPartitions("key")
     if seed is None:
         return ordered.mapInArrow(by_key, "a long, b long").distinct()
     chosen = ordered.mapInArrow(by_key, "a long, b long, room double, priority long").groupBy("a").agg(F.max(F.struct("room", "b")).b.alias("x"), F.max(F.struct("priority", "b")).b.alias("y"))
@@ -268,19 +291,6 @@ def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def promising(pairs: DataFrame, fine: DataFrame) -> DataFrame:
-    """Pairs whose fine points allow the overlap that they need."""
-
-    def bound(batches):
-        for batch in batches:
-            m, n, x, y = (batch.column(c).to_pylist() for c in range(2, 6))
-            keep = [fine_overlap(p, i, q, j) >= needed(i, j) for i, j, p, q in zip(m, n, x, y)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    side = lambda i, n, p: fine.select(F.col("id").alias(i), F.col("n").alias(n), F.col("fine").alias(p))
-    return pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(bound, "a long, b long")
-
-
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough, by their true overlap."""
     a = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
@@ -308,58 +318,49 @@ def full_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable by links) for every row."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = rest(docs, [id_col], text_col).toDF("doc_id", "text")
     base = scratch.write(summaries(docs, common_shingles(docs)))
 
     # One representative per distinct set, with the least document id that has it.
-    first = [F.first(c).alias(c) for c in ("n", "prefix", "point", "scale", "fine")]
+    first = [F.first(c).alias(c) for c in ("n", "prefix", "point")]
     reps = scratch.write(base.where("doc_id is not null and id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *first))
     small = scratch.write(base.select("doc_id", "n", "id"))
     scratch.drop(base)
-    release(spark)
-    tokens = reps.select(F.explode("prefix").alias("token"), "id", "n", "point", "scale")
+    # The shingles that each set shares with others, in its order, with the number of sets that have them.
+    tokens = reps.select("id", F.posexplode("prefix").alias("pos", "token"))
     shared = scratch.write(tokens.groupBy("token").count().where("count > 1"))
-    rows = scratch.write(tokens.join(shared, "token"))  # sets by the shingles that they share with others
-    names = scratch.write(reps.select("id", "doc_id", "n", "fine"))
+    rows = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "count"))).alias("shared"))
+    sets = scratch.write(rows.join(reps.select("id", "n", "point"), "id"))
+    names = scratch.write(reps.select("id", "doc_id"))
     scratch.drop(reps, shared)
-    release(spark)
 
-    links, labels = None, None
-    held, opened, step, last = rows, rows.withColumn("component", F.col("id")), 0, False
-    size = rows.count()
-    while size:
+    labels, step, opened = None, 0, 0
+    while True:
+        placed = sets.withColumn("component", F.col("id")) if labels is None else sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        by_token = placed.select("id", "n", "point", "component", F.explode(F.slice("shared", 1, STAR)).alias("s")).select("*", "s.token", "s.count")
+        before, opened = opened, open_rows(by_token)
+        last = not opened or step > 1 and opened * 2 > before
         blocks = F.ceil(F.col("count") / BLOCK)
-        dealt = opened.withColumn("own", F.pmod(F.xxhash64("id", "token", F.lit(step)), blocks))
+        own = F.pmod(F.xxhash64("id", "token", F.lit(step)), blocks)
         if last:
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            by_token = placed.select("id", "n", "point", "component", F.explode("shared").alias("s")).select("*", "s.token", "s.count").withColumn("own", own)
+            dealt = by_token.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             dealt = dealt.withColumn("key", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
             dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
         else:
-            dealt = dealt.withColumn("key", F.xxhash64("token", "own")).withColumn("side", F.lit(2))
+            dealt = by_token.withColumn("key", F.xxhash64("token", own)).withColumn("side", F.lit(2))
         pairs = scratch.write(candidates(dealt, None if last else step))
-        release(spark)
-        fitting = scratch.write(promising(pairs, names))
-        release(spark)
-        ends = fitting.select(F.col("a").alias("id")).union(fitting.select("b")).distinct()
+        ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         wanted = scratch.write(names.join(ends, "id", "left_semi").select("id", "doc_id"))
-        sets = scratch.write(full_sets(docs, F.broadcast(wanted) if wanted.count() <= SENT_NAMES else wanted))
-        release(spark)
-        good = scratch.write(verified(fitting, sets))
-        scratch.drop(pairs, fitting, wanted, sets)
-        links = good if links is None else links.union(good)
+        whole = scratch.write(full_sets(docs, F.broadcast(wanted) if wanted.count() <= SENT_NAMES else wanted))
+        good = scratch.write(verified(pairs, whole))
+        scratch.drop(pairs, wanted, whole)
+        links = good if labels is None else good.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))
         labels = scratch.write(components(links, scratch))
-        release(spark)
         if last:
             break
-        # A shingle whose sets share a component stays closed, so the next round starts from the rows still open.
-        opened, before, step = open_rows(opened, labels, scratch), size, step + 1
-        scratch.drop(held)
-        held, size = opened, opened.count()
-        last = size * 2 > before and step > 1
-    if labels is None:
-        labels = names.select("id", F.col("id").alias("component")).limit(0)
+        step += 1
 
     least = names.join(labels, "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     found = scratch.write(labels.join(least, "component").select("id", "component_id"))
@@ -367,16 +368,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id")).alias("component_id"))
 
 
-def open_rows(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows of the shingles whose sets lie in more than one component."""
-    now = scratch.write(rows.drop("component").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    parted = scratch.write(now.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token"))
-    opened = scratch.write(now.join(parted, "token", "left_semi"))
-    scratch.drop(now, parted)
-    return opened
-
-
-def release(spark) -> None:
-    """Lets Spark remove the shuffle files of steps whose results are written."""
-    gc.collect()
-    spark._jvm.System.gc()
+def open_rows(rows: DataFrame) -> int:
+    """How many rows have a shingle whose sets lie in more than one component."""
+    per_token = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+    return per_token.where("x <> y").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

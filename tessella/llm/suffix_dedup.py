@@ -26,14 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, buffers, rest, runs
-from .jaccard import release
 from .shingles import mix
 
 LENGTH = 200
 GRAM = 40
 BLOCK_BYTES = 1 << 20
 HOT = 8192
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15
 _INVERSE = pow(_P, -1, 1 << 64)
 _PLACE = np.uint64((1 << 31) - 1)
@@ -162,8 +161,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     """Per row: doc_id, n_bytes, spans (array of start, end: maximal removed runs) and kept (the other bytes).
     With ``carry`` also ``row``, a struct of all other columns of ``docs``."""
     gram = min(GRAM, length)
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     whole_rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")) if carry else None
     docs = rest(docs, [id_col], text_col).toDF("doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
     docs = docs.withColumn("key", F.unhex(F.md5("text")))
@@ -191,7 +189,6 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
     scratch.drop(often)
     keys = scratch.write(texts.select("rid", "key", "weight"))
     scratch.drop(texts)
-    release(spark)
 
     contexts = scratch.write(places.groupBy("anchor", "context").agg(F.sum("weight").alias("weight"), F.min(F.struct("rid", "at", "lo", "hi")).alias("p")).select("anchor", "context", "weight", "p.*"))
     groups = scratch.write(contexts.groupBy("anchor").agg(F.count("*").alias("n")))
@@ -240,14 +237,12 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_
             yield emit()
 
     fetched = scratch.write(fetch(contexts.where("n > 1")).join(groups, "anchor"))
-    release(spark)
     together = fetched.where(F.col("n") <= HOT).drop("n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(blocks, "anchor long, context long, runs array<int>")
     found = scratch.write(together.union(alone).union(counted_windows(fetched.where(F.col("n") > HOT), length)))
     spans = places.join(found.where(F.size("runs") > 0), ["anchor", "context"]).select("rid", F.transform("runs", lambda r: r + F.col("at")).alias("runs"))
     spans = spans.groupBy("rid").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     spans = scratch.write(keys.join(spans, "rid", "left").where("weight > 1 or runs is not null").select("key", "weight", "runs"))
     scratch.drop(contexts, groups, fetched, found, places)
-    release(spark)
 
     def cut(batches):
         for batch in batches:

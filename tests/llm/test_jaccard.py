@@ -59,6 +59,20 @@ def test_tree_finds_all_pairs():
     assert set(zip(q.tolist(), p.tolist())) == want and len(q) == len(want)
 
 
+def test_points_never_bound_too_low():
+    """Sets of sizes with different numbers of groups, and one with more in a group than a point can hold."""
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[: s * 2], s)) for s in (1, 3, 90, 120, 130, 140, 700, 900, 5000)]
+    sets += [np.unique(pool[:40_000]), np.unique(pool[3000:45_000]), pool[:30] & np.uint64(0xFFFFFFFFFFFF0000)]
+    sizes = np.array([len(s) for s in sets])
+    points = jaccard.Points(np.frombuffer(b"".join(map(jaccard.point, sets)), np.uint8), sizes)
+    a, b = np.divmod(np.arange(len(sets) ** 2), len(sets))
+    true = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    fine, coarse = points.bound(a, b), np.minimum(points.coarse[a], points.coarse[b]).sum(1)
+    assert (true <= fine).all() and (fine <= coarse).all() and (fine[a == b] == sizes).all()
+
+
 def edited(rng, words, n):
     words = list(words)
     for _ in range(n):
