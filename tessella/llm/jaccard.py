@@ -6,14 +6,14 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 2. The shingles of a set are put in one order, the same for all sets: by hash, the very common ones last.
    Two sets that link share one of their first ``n / 4 + 1`` shingles, so only sets that share such a
    shingle are compared. Which shingles count as common touches the cost alone, never the result.
-3. Each set's shingles are hashed into groups, about one for four shingles; the counts are a point. Among the
+3. Each set's shingles are hashed into groups, at least as many as shingles; the counts are a point. Among the
    sets that share a shingle, an R-tree over the points, folded to GROUPS coordinates, yields the pairs whose
    summed coordinate minima reach the overlap that the threshold needs. The unfolded points bound them again
    before a pair leaves the task.
 4. What is left is verified on the whole sets.
 
-First each point takes two partners only, by its first STAR shared shingles: the one of highest random priority,
-which makes stars, and the one with the most room over the threshold. Verified pairs are contracted to components,
+First each point takes two partners only: the one of highest random priority, which makes stars, and the one with the
+most room over the threshold. The first round looks at each set's first STAR shared shingles. Verified pairs are contracted to components,
 and that goes on while it at least halves what is open. Then all pairs that still lie in different components are
 taken, by all shingles, so no link between components is lost, while a large group of copies costs a few pairs per
 member. A shingle with many sets is dealt out as pairs of blocks of BLOCK sets.
@@ -35,10 +35,12 @@ from .graph import components
 from .shingles import mix, shingle_sets
 
 GROUPS = 32
-#: Groups of a point: a power of two of at least a quarter of the set's size, within these bounds.
-MOST_GROUPS = 1024
-#: Counts are held in four bits; what goes beyond them is one more coordinate.
-MOST_COUNT = 15
+#: Groups of a point: a power of two of at least the set's size, within these bounds.
+LEAST_GROUPS, MOST_GROUPS = 64, 8192
+#: Counts are held in two bits. What goes beyond them may overlap anywhere once points are folded, so both sets' excess
+#: counts then; between unfolded points it can overlap no more than the lesser excess.
+MOST_COUNT = 3
+_ANY = 1 << 30
 LEAF = 16
 BLOCK = 256
 STAR = 8
@@ -79,15 +81,14 @@ def prefix(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
 
 def groups_for(n):
     """Groups of the points of sets of these sizes."""
-    quarter = np.maximum(np.asarray(n), 1) / 4
-    return np.clip(1 << np.ceil(np.log2(quarter)).clip(0).astype(np.int64), GROUPS, MOST_GROUPS)
+    return np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_GROUPS, MOST_GROUPS)
 
 
 def point(tokens: np.ndarray) -> bytes:
-    """Counts by group, two in a byte."""
+    """Counts by group: all low bits, then all high bits."""
     groups = int(groups_for(len(tokens)))
-    counts = np.minimum(np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups), MOST_COUNT).astype(np.uint8)
-    return (counts[::2] | counts[1::2] << 4).tobytes()
+    counts = np.minimum(np.bincount((tokens & np.uint64(groups - 1)).astype(np.int64), minlength=groups), MOST_COUNT)
+    return np.packbits([counts & 1, counts >> 1], axis=1).tobytes()
 
 
 class Points:
@@ -95,31 +96,46 @@ class Points:
 
     def __init__(self, raw: np.ndarray, sizes: np.ndarray):
         groups = groups_for(sizes)
-        starts = np.cumsum(groups // 2) - groups // 2
-        self.groups, self.place, self.counts = groups, np.zeros(len(sizes), np.int64), {}
-        self.coarse = np.zeros((len(sizes), GROUPS + 1), np.int32)
+        starts = np.cumsum(groups // 4) - groups // 4
+        self.groups, self.place, self.words = groups, np.zeros(len(sizes), np.int64), {}
+        self.coarse = np.zeros((len(sizes), GROUPS), np.int32)
         for g in np.unique(groups).tolist():
             at = np.flatnonzero(groups == g)
             self.place[at] = np.arange(len(at))
-            packed = raw[starts[at][:, None] + np.arange(g // 2)]
-            counts = np.empty((len(at), g), np.uint8)
-            counts[:, ::2], counts[:, 1::2] = packed & 15, packed >> 4
-            self.counts[g] = counts
-            self.coarse[at, :GROUPS] = counts.reshape(len(at), -1, GROUPS).sum(1)
-        self.coarse[:, GROUPS] = sizes - self.coarse.sum(1)
+            packed = raw[starts[at][:, None] + np.arange(g // 4)]
+            low, high = packed[:, : g // 8].view(np.uint64), packed[:, g // 8 :].view(np.uint64)
+            self.words[g] = np.stack([low | high, high, low & high])  # which groups hold one, two, three or more
+            for i in range(0, len(at), 1024):
+                self.coarse[at[i : i + 1024]] = self._counts(g, np.arange(i, min(i + 1024, len(at)))).reshape(-1, g // GROUPS, GROUPS).sum(1)
+        self.excess = (sizes - self.coarse.sum(1)).astype(np.int32)
+
+    def _counts(self, g: int, place: np.ndarray) -> np.ndarray:
+        return np.unpackbits(self.words[g][:, place].view(np.uint8), axis=2).sum(0, dtype=np.uint8)
+
+    def searched(self, at: np.ndarray) -> np.ndarray:
+        """Coordinates for a tree. With those of asked() the last two minima are the two sets' excess."""
+        return np.column_stack([self.coarse[at], self.excess[at], np.full(len(at), _ANY, np.int32)])
+
+    def asked(self, at: np.ndarray) -> np.ndarray:
+        return np.column_stack([self.coarse[at], np.full(len(at), _ANY, np.int32), self.excess[at]])
 
     def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Most overlap that the unfolded points of the sets a and b allow."""
-        out = np.minimum(self.coarse[a, GROUPS], self.coarse[b, GROUPS]).astype(np.int64)
+        same = self.groups[a] == self.groups[b]
+        out = np.where(same, np.minimum(self.excess[a], self.excess[b]), self.excess[a] + self.excess[b]).astype(np.int64)
         for g in np.unique(self.groups[a]).tolist():
             for h in np.unique(self.groups[b]).tolist():
                 both = np.flatnonzero((self.groups[a] == g) & (self.groups[b] == h))
-                for i in range(0, len(both), 1 << 13):
-                    at = both[i : i + (1 << 13)]
-                    x, y, low = self.counts[g][self.place[a[at]]], self.counts[h][self.place[b[at]]], min(g, h)
-                    if g != h:
-                        x, y = (v.reshape(len(at), -1, low).sum(1, dtype=np.int16) for v in (x, y))
-                    out[at] += np.minimum(x, y).sum(1, dtype=np.int64)
+                for i in range(0, len(both), 1 << 12):
+                    at = both[i : i + (1 << 12)]
+                    x, y = self.place[a[at]], self.place[b[at]]
+                    if g == h:
+                        w = self.words[g]
+                        out[at] += sum(np.bitwise_count(w[k, x] & w[k, y]).sum(1, dtype=np.int64) for k in range(3))
+                    else:
+                        low = min(g, h)
+                        x, y = (self._counts(k, v).reshape(len(at), -1, low).sum(1, dtype=np.int64) for k, v in ((g, x), (h, y)))
+                        out[at] += np.minimum(x, y).sum(1)
         return out
 
 
@@ -224,9 +240,9 @@ def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
             left, right = at[left], at[right]
             if not len(left) or not len(right):
                 continue
-            tree = PointTree(points.coarse[right], n[right])
+            tree = PointTree(points.searched(right), n[right])
             for i in range(0, len(left), 64):
-                q, p, _ = tree.pairs(points.coarse[left[i : i + 64]], n[left[i : i + 64]])
+                q, p, _ = tree.pairs(points.asked(left[i : i + 64]), n[left[i : i + 64]])
                 out.append(fitting(left[q + i], right[p], comp, n, points))
         return out
 
@@ -242,7 +258,7 @@ def candidates(rows: DataFrame, seed: int | None) -> DataFrame:
             a, b = rows[x], rows[x + d]
             apart = comp[a] != comp[b]
             a, b = a[apart], b[apart]
-            ok = np.minimum(points.coarse[a], points.coarse[b]).sum(1, dtype=np.int64) >= needed(n[a], n[b])
+            ok = np.minimum(points.coarse[a], points.coarse[b]).sum(1, dtype=np.int64) + points.excess[a] + points.excess[b] >= needed(n[a], n[b])
             out.append(fitting(a[ok], b[ok], comp, n, points))
         return out
 
@@ -338,14 +354,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, step, opened = None, 0, 0
     while True:
         placed = sets.withColumn("component", F.col("id")) if labels is None else sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        by_token = placed.select("id", "n", "point", "component", F.explode(F.slice("shared", 1, STAR)).alias("s")).select("*", "s.token", "s.count")
-        before, opened = opened, open_rows(by_token)
-        last = not opened or step > 1 and opened * 2 > before
+        by_token = placed.select("id", "n", "point", "component", F.explode("shared" if step else F.slice("shared", 1, STAR)).alias("s")).select("*", "s.token", "s.count")
+        before, opened = opened, open_rows(by_token) if step else 0
+        last = step > 1 and opened * 2 > before or step > 0 and not opened
         blocks = F.ceil(F.col("count") / BLOCK)
         own = F.pmod(F.xxhash64("id", "token", F.lit(step)), blocks)
         if last:
-            by_token = placed.select("id", "n", "point", "component", F.explode("shared").alias("s")).select("*", "s.token", "s.count").withColumn("own", own)
-            dealt = by_token.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+            dealt = by_token.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             dealt = dealt.withColumn("key", F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")))
             dealt = dealt.withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
         else:

@@ -65,11 +65,13 @@ def test_points_never_bound_too_low():
     pool = rng.integers(0, 1 << 63, 60_000, dtype=np.uint64)
     sets = [np.unique(rng.choice(pool[: s * 2], s)) for s in (1, 3, 90, 120, 130, 140, 700, 900, 5000)]
     sets += [np.unique(pool[:40_000]), np.unique(pool[3000:45_000]), pool[:30] & np.uint64(0xFFFFFFFFFFFF0000)]
+    crowded = (np.arange(600, dtype=np.uint64) << np.uint64(20)) | rng.integers(0, 40, 600, dtype=np.uint64)
+    sets += [crowded[:500], crowded, crowded[80:510]]  # many in a group, with different numbers of groups
     sizes = np.array([len(s) for s in sets])
     points = jaccard.Points(np.frombuffer(b"".join(map(jaccard.point, sets)), np.uint8), sizes)
     a, b = np.divmod(np.arange(len(sets) ** 2), len(sets))
     true = np.array([len(np.intersect1d(sets[i], sets[j])) for i, j in zip(a, b)])
-    fine, coarse = points.bound(a, b), np.minimum(points.coarse[a], points.coarse[b]).sum(1)
+    fine, coarse = points.bound(a, b), np.minimum(points.asked(a), points.searched(b)).sum(1, dtype=np.int64)
     assert (true <= fine).all() and (fine <= coarse).all() and (fine[a == b] == sizes).all()
 
 
