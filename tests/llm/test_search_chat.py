@@ -1,7 +1,9 @@
 """MaxScore against all products, the prefix tree against the conversations themselves."""
 
 import hashlib
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -13,11 +15,11 @@ BPE = public_file("byte_bpe_50k.json")
 
 
 def brute_top(rows, queries, k):
-    ok = [(i, np.floor(256 * np.array(v, float)).astype(int)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    ok = [(i, [math.floor(256 * Fraction(float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in queries:
         for i, e in (x for x in ok if x[0] == q):
-            scored = sorted((-sum(a * b for a, b in zip(e.tolist(), f.tolist())), j) for j, f in ok if j != q)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(e, f)), j) for j, f in ok if j != q)[:k]
             out += [(q, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out)
 
@@ -39,18 +41,34 @@ def test_top_k(spark, shard, monkeypatch):
     assert maxscore.top_k(df.limit(0), df, 4).count() == 0 and maxscore.top_k(df, df.limit(0), 4).count() == 0
 
 
-def test_scores_of_zero_and_less():
+def test_scores_of_zero_and_less(monkeypatch):
     """All-zero, negative and short vectors in small shards, against queries whose best scores are 0 or less."""
     rng = np.random.default_rng(5)
-    vectors = np.concatenate([rng.integers(-9, 1, (40, 6)), rng.integers(-9, 10, (20, 6)) * (rng.random((20, 6)) < 0.3), np.zeros((20, 6))]).astype(np.int64)
+    vectors = np.concatenate([rng.integers(-9, 1, (40, 6)), rng.integers(-9, 10, (20, 6)) * (rng.random((20, 6)) < 0.3), np.zeros((20, 6))])
     vectors[::7, 2:] = 0
     ids = rng.permutation(len(vectors))
-    for query in (np.zeros(6, np.int64), np.full(6, 4), np.full(6, -4), np.array([3, 0, -2, 0, 0, 0]), np.array([5]), np.empty(0, np.int64), *vectors[:20]):
-        best = []
-        for at in range(0, len(ids), 7):
-            best = maxscore.Shard(ids[at : at + 7], vectors[at : at + 7]).search(query, 3, 4, best)
-        scores = vectors[:, : len(query)] @ query
-        assert best == sorted(((int(s), int(i)) for s, i in zip(scores, ids) if i != 3), key=lambda x: (-x[0], x[1]))[:4]
+    for step in (7, 1024):
+        monkeypatch.setattr(maxscore, "STEP", step)
+        for query in (np.zeros(6), np.full(6, 4.0), np.full(6, -4.0), np.array([3.0, 0, -2, 0, 0, 0]), np.array([5.0]), np.empty(0), *vectors[:20], np.full(6, 1e30)):
+            best = [[], []]
+            for at in range(0, len(ids), 7 * step):
+                shard = maxscore.Shard(ids[at : at + 7 * step], vectors[at : at + 7 * step])
+                shard.search(np.stack([query, -query]), np.array([3, 5]), 4, best)
+            for sign, own, found in zip((1, -1), (3, 5), best):
+                scores = [sum(int(a) * int(b) for a, b in zip(v, sign * query)) for v in vectors.tolist()]
+                assert found == sorted(((s, int(i)) for s, i in zip(scores, ids) if i != own), key=lambda x: (-x[0], x[1]))[:4]
+
+
+def test_large_values(spark):
+    """Scores past 53 and past 64 bits are ranked exactly."""
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([1e8, -1e8, 1e30, 1.5, -1e7, 3e300, 1e308, 0.0]) * rng.choice([1, 1 + 2**-40]) for _ in range(3)]) for i in range(30)]
+    rows += [(i, [rng.uniform(-1e8, 1e8) for _ in range(3)]) for i in range(100, 130)] + [(200, [0.1] * 2000), (201, [0.2] * 2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in maxscore.top_k(df, df, 3).collect())
+    assert got == [(q, r, j, max(-(2**63), min(2**63 - 1, s))) for q, r, j, s in brute_top(rows, [i for i, _ in rows], 3)]
+    spelled = sorted([0, 1, -1, 255, 256, -256, 2**70, -(2**70), -(2**70) - 1, 2**64 - 1, -255])
+    assert sorted(spelled, key=maxscore.sortable) == spelled
 
 
 def test_escape_round_trip():
