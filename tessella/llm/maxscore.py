@@ -178,7 +178,8 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "vec_id"
     # Each cell of shards meets each block of queries once.
     pairs = scratch.write(shards.select("cell").distinct().withColumn("block", numbers))
     asks = [F.col(c).alias(f"q_{c}") for c in ("n", "whole", "rows", "ids", "vectors")]
-    joined = shards.join(pairs, "cell").join(query_blocks.select("block", *asks), "block").sortWithinPartitions("block")
+    # Dealt by cell: few queries against many shards are spread as well as many against few.
+    joined = query_blocks.select("block", *asks).join(pairs, "block").join(shards, "cell").sortWithinPartitions("block")
 
     def matrix(n, whole, blob):
         values = np.frombuffer(blob, "<f8").reshape(n, -1)

@@ -31,6 +31,34 @@ def test_alignment_is_increasing_and_finds_anchors():
     assert licenses.increasing([]) == []
 
 
+def test_no_window_is_lost():
+    """Best coverage over all windows of random words, the same template words again and again among them."""
+    rng = random.Random(3)
+    for _ in range(2500):
+        letters = "abcde"[: rng.randrange(2, 6)] + "z" * rng.randrange(2)
+        words, template = ([rng.choice(letters) for _ in range(rng.randrange(1, n))] for n in (14, 7))
+        best = max(len(licenses.align(words[lo:hi], template)) for lo in range(len(words)) for hi in range(lo + 1, min(len(words), lo + 2 * len(template)) + 1)) / len(template)
+        least = rng.choice([0.3, 0.5, 0.8, 1.0])
+        got = licenses.best_match(words, template, least)
+        assert (got[0] if got else None) == (best if best >= least else None)
+    assert licenses.best_match("e b e a b e z".split(), "a b e b e".split(), 0.8)[0] >= 0.8
+
+
+def test_edited_licences():
+    """Licence texts that the test tables don't hold, with words changed, within other text, twice, and long ones."""
+    rng = random.Random(4)
+    for name in ("BSD-2-Clause", "ISC", "Zlib", "AGPL header", "MPL-2.0 header", "MIT"):
+        template = licenses.words_of(licenses.TEMPLATES[name])
+        words = list(template)
+        for _ in range(len(words) // 12):
+            words[rng.randrange(len(words))] = f"edit{rng.randrange(1000)}"
+        whole = ["pad"] * 300 + template + ["the", "of"] * 40 + template + ["end"]
+        assert licenses.best_match(whole, template, 0.8)[0] == 1
+        got = licenses.best_match(["before"] * 50 + words + ["the", "after"] * 50, template, 0.8)
+        assert got and got[0] >= 0.9
+        assert licenses.best_match(template[: len(template) // 2], template, 0.8) is None
+
+
 def test_scan(spark):
     rng = random.Random(2)
     templates = {"a": "alpha beta gamma delta epsilon zeta eta theta", "none": "...", "b": "one two three four five"}
