@@ -14,8 +14,14 @@ _EDGE = r"^[\s ﻿]+|[\s ﻿]+$"
 
 
 def clean_value(c: Column) -> Column:
-    """Null becomes empty; trimmed; one quote off each end; trimmed; CR, LF, TAB and no-break space out; a final ".0" out."""
-    c = F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), _EDGE, "")
+    """Null becomes empty; trimmed; one quote off each end; trimmed; CR, LF, TAB and no-break space out; a final ".0" out.
+    Values of letters, digits and a few marks, the most, have nothing to clean and pass one test only."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(text.rlike(r"^[A-Za-z0-9|_-]*\z"), text).otherwise(_cleaned(text))
+
+
+def _cleaned(c: Column) -> Column:
+    c = F.regexp_replace(c, _EDGE, "")
     c = F.regexp_replace(F.regexp_replace(c, "^[\"']", ""), "[\"']$", "")
     c = F.regexp_replace(F.regexp_replace(c, _EDGE, ""), "[\r\n\t ]", "")
     return F.regexp_replace(c, r"\.0$", "")

@@ -1,9 +1,9 @@
 """Keyed reconciliation of a target table with a source.
 
-Every record is classed: equal, attribute or geometry mismatch, only in the target, only in the source, ambiguous
-or duplicated, or without a key. Keys that repeat on a side are paired (``pairing``); everything else is one
-full outer join on the key. Multiplicities are counted with partial aggregation before the join, so a key with a
-large share of the rows never meets itself.
+Every record is classed: equal, geometry or attribute mismatch, only in the target, only in the source, duplicated, or
+without a key. Both sides are reduced to one row per key and content by partial aggregation before anything is joined,
+so a key with a large share of the rows never meets itself. Inside a key, equal contents pair first (EXACT), then one
+left on each side (ELIMINATION); contents that repeat on a side are twins of their first row.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import values as V
+from ..functions.geometry import same_geometry
 
 
 @dataclass(frozen=True)
@@ -35,12 +36,15 @@ ITEM = "key string, type string, n_differences int, differences array<struct<fie
 
 
 def sides(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> tuple[DataFrame, DataFrame]:
-    """(key, rec, sig, v0...) of both; target rows without a key are dropped, the source's stay with a null key."""
+    """(key, rec, sig, v0..., geom) of both; target rows without a key are dropped, the source's stay with a null key."""
 
     def side(df: DataFrame, keys, name):
         key = V.composite_key([F.col(k) for k in keys], cfg.placeholders, cfg.encoding)
         cols = [F.col(name(c)).cast("string").alias(f"v{i}") for i, c in enumerate(cfg.compared)]
-        return df.select(key.alias("key"), F.col("rec"), *cols).withColumn("sig", V.content_signature([F.col("key"), *[F.col(f"v{i}") for i in range(len(cols))]]))
+        geom = F.col(name(cfg.geometry)) if cfg.geometry else F.lit(None)
+        df = df.select(key.alias("key"), F.col("rec"), *cols, geom.cast("string").alias("geom"))
+        content = [F.col("key"), *[F.col(f"v{i}") for i in range(len(cols))], *[F.col("geom")] * bool(cfg.geometry)]
+        return df.withColumn("sig", V.content_signature(content))
 
     return side(target, cfg.keys, lambda c: c).where("key is not null"), side(source, cfg.source_keys or cfg.keys, cfg.source)
 
@@ -54,64 +58,107 @@ def differences(cfg: ReconcileConfig, a: str = "t", b: str = "s") -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def simple_items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
-    """Items of all keys that occur once a side at most, of source-only keys and of rows without a key."""
+def contents(t: DataFrame, s: DataFrame) -> DataFrame:
+    """One row per key and content, with its first row and number of rows on each side, and its key's figures: rows on each
+    side (key_t, key_s), contents of the source (kinds_s), and contents that have no partner (left_t, left_s)."""
+    tagged = t.select("key", "sig", F.col("rec").alias("trec"), F.lit(None).cast("long").alias("srec"))
+    tagged = tagged.union(s.where("key is not null").select("key", "sig", F.lit(None).cast("long"), "rec"))
+    each = tagged.groupBy("key", "sig").agg(F.min("trec").alias("trec"), F.count("trec").alias("tn"), F.min("srec").alias("srec"), F.count("srec").alias("sn"))
+    alone = lambda own, other: F.count_if((F.col(own) > 0) & (F.col(other) == 0))
+    keys = each.groupBy("key").agg(F.sum("tn").alias("key_t"), F.sum("sn").alias("key_s"), F.count_if(F.col("sn") > 0).alias("kinds_s"), alone("tn", "sn").alias("left_t"), alone("sn", "tn").alias("left_s"))
+    return each.join(keys, "key")
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """(key, method, db_rec, file_rec) of the keys that stand in the target, from ``contents``: pairs of both sides, and
+    first rows left over."""
+    out = rows.where("key_t > 0")
+    exact = out.where("tn > 0 and sn > 0").select("key", F.lit("EXACT").alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec"))
+    left = out.where("tn = 0 or sn = 0")
+    single = left.where("left_t = 1 and left_s = 1").groupBy("key").agg(F.max("trec").alias("db_rec"), F.max("srec").alias("file_rec")).select("key", F.lit("ELIMINATION").alias("method"), "db_rec", "file_rec")
+    method = F.when(F.col("left_s") == 0, "ONLY_IN_DB").when(F.col("left_t") == 0, "ONLY_IN_SHP").otherwise("NO_GEOMETRY")
+    rest = left.where("not (left_t = 1 and left_s = 1)").select("key", method.alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec"))
+    return exact.unionByName(single).unionByName(rest)
+
+
+def target_twins(t: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of the target after the first of their content."""
+    first = rows.where("tn > 1").select("key", "sig", "trec")
+    return t.join(first, ["key", "sig"]).where("rec <> trec").select("key", F.lit("DUPLICATE_SUID").alias("method"), F.col("rec").alias("db_rec"), F.lit(None).cast("long").alias("file_rec"))
+
+
+def exact_pairs(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
+    """Pairing, without geometry, of the keys that repeat on a side and stand in the target."""
     t, s = sides(target, source, cfg)
-    # Per key one row of counts and of a representative: partial aggregation bounds what a hot key sends.
-    agg = lambda df, p: df.groupBy("key").agg(F.count("*").alias(f"{p}n"), F.min_by(F.struct(*[f"v{i}" for i in range(len(cfg.compared))]), "rec").alias(p), F.countDistinct("sig").alias(f"{p}d"), F.min("rec").alias(f"{p}rec"))
-    joined = agg(t, "t").join(agg(s.where("key is not null"), "s"), "key", "full")
-    diff = differences(cfg)
-    kind = (
-        F.when(F.col("tn").isNull() & (F.col("sd") == 1), "ONLY_IN_SHP")
-        .when((F.col("tn") == 1) & F.col("sn").isNull(), "ONLY_IN_DB")
-        .when((F.col("tn") == 1) & (F.col("sn") == 1), F.when(F.size(diff) > 0, "ATTRIBUTE_MISMATCH").otherwise("MATCH"))
-    )
-    items = joined.select("key", kind.alias("type"), F.when((F.col("tn") == 1) & (F.col("sn") == 1), diff).alias("differences"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec")).where("type is not null")
-    # Source-only keys with differing contents: every row is a duplicate.
-    clash = joined.where("tn is null and sd > 1").select("key")
-    doubles = s.join(clash, "key", "left_semi").select("key", F.lit("DUPLICATE_SUID").alias("type"), F.lit(None).cast(items.schema["differences"].dataType).alias("differences"), F.lit(None).cast("long").alias("db_rec"), F.col("rec").alias("file_rec"))
-    keyless = s.where("key is null").select(F.lit(None).cast("string").alias("key"), F.lit("NULL_SUID").alias("type"), F.lit(None).cast(items.schema["differences"].dataType).alias("differences"), F.lit(None).cast("long").alias("db_rec"), F.col("rec").alias("file_rec"))
-    return items.unionByName(doubles).unionByName(keyless)
-
-
-def repeated_keys(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> tuple[DataFrame, DataFrame]:
-    """Both sides' rows of the keys that go to pairing: in the target, and repeated on some side."""
+    rows = contents(t, s).where("key_t > 0 and (key_t > 1 or key_s > 1)")
+    return paired(rows).unionByName(target_twins(t, rows))
+
+
+def items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
+    """(key, type, differences, db_rec, file_rec, n_rows): every item of a comparison. n_rows is over 1 only for
+    SKIPPED_TWIN, the source's rows after the first of a content. Differences stand on compared pairs; a geometry that
+    differs decides the type, whatever the attributes."""
     t, s = sides(target, source, cfg)
-    tn, sn = t.groupBy("key").agg(F.count("*").alias("tn")), s.where("key is not null").groupBy("key").agg(F.count("*").alias("sn"))
-    keys = tn.join(sn, "key", "left").where("tn > 1 or sn > 1").select("key")
-    return t.join(keys, "key", "left_semi"), s.join(keys, "key", "left_semi")
-
-
-def exact_pairs(t: DataFrame, s: DataFrame) -> DataFrame:
-    """Pairing inside repeated keys without geometry: twins collapse to their first row, equal signatures pair
-    (EXACT), one left on each side pairs (ELIMINATION), else a side alone is unpaired, and the rest is ambiguous."""
-    collapse = lambda df, p: df.groupBy("key", "sig").agg(F.min("rec").alias(f"{p}rec"), (F.count("*") - 1).alias(f"{p}twins"))
-    both = collapse(t, "t").join(collapse(s, "s"), ["key", "sig"], "full")
-    exact = both.where("trec is not null and srec is not null").select("key", "sig", F.lit("EXACT").alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec"))
-    left = both.where("trec is null or srec is null")
-    count = left.groupBy("key").agg(F.count("trec").alias("tn"), F.count("srec").alias("sn"), F.max("trec").alias("t1"), F.max("srec").alias("s1"))
-    single = count.where("tn = 1 and sn = 1").select("key", F.lit(None).cast("string").alias("sig"), F.lit("ELIMINATION").alias("method"), F.col("t1").alias("db_rec"), F.col("s1").alias("file_rec"))
-    others = left.join(count.where("not (tn = 1 and sn = 1)").select("key", "tn", "sn"), "key")
-    method = F.when(F.col("sn") == 0, "ONLY_IN_DB").when(F.col("tn") == 0, "ONLY_IN_SHP").otherwise("NO_GEOMETRY")
-    rest = others.select("key", "sig", method.alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec"))
-    twins = t.join(both.select("key", "sig", F.col("trec").alias("rec")), ["key", "sig", "rec"], "left_anti").select("key", "sig", F.lit("DUPLICATE_SUID").alias("method"), F.col("rec").alias("db_rec"), F.lit(None).cast("long").alias("file_rec"))
-    return exact.unionByName(single).unionByName(rest).unionByName(twins)
-
-
-def summary(items: DataFrame) -> DataFrame:
-    """Counters by class, one row."""
-    of = lambda t: F.count_if(F.col("type") == t)
-    names = ("MATCH", "ATTRIBUTE_MISMATCH", "ONLY_IN_DB", "ONLY_IN_SHP", "DUPLICATE_SUID", "NULL_SUID")
-    return items.agg(*[of(n).alias(f"n_{n.lower()}") for n in names], F.count("*").alias("n_total"))
-
-
-def sql_patches(items: DataFrame, table: str, cfg: ReconcileConfig) -> DataFrame:
-    """(key, statement): an UPDATE per attribute mismatch, an INSERT per source-only record of a single key column."""
-    key, name = V.sql_identifier(cfg.keys[0]), V.sql_identifier(table)
-    sets = F.array_join(F.transform("differences", lambda d: F.concat(F.lit('"'), d.field, F.lit('" = '), V.sql_literal(d.file_value))), ", ")
-    update = F.concat(F.lit(f"UPDATE {name} SET "), sets, F.lit(f" WHERE {key} = "), V.sql_literal(F.col("key")))
-    insert = F.concat(F.lit(f"INSERT INTO {name} ({key}) VALUES ("), V.sql_literal(F.col("key")), F.lit(")"))
-    return items.where(F.col("type").isin("ATTRIBUTE_MISMATCH", "ONLY_IN_SHP")).select("key", F.when(F.col("type") == "ONLY_IN_SHP", insert).otherwise(update).alias("statement"))
+    rows = contents(t, s)
+    pairs = paired(rows)
+    values = F.struct(*[f"v{i}" for i in range(len(cfg.compared))], "geom")
+    db, file, none = F.col("db_rec"), F.col("file_rec"), F.lit(None).cast("long")
+    single = pairs.where("method = 'ELIMINATION'")
+    compared = single.join(t.select("key", F.col("rec").alias("db_rec"), values.alias("t")), ["key", "db_rec"]).join(s.select("key", F.col("rec").alias("file_rec"), values.alias("s")), ["key", "file_rec"])
+    diff = differences(cfg)
+    kind = F.when(F.size(diff) > 0, "ATTRIBUTE_MISMATCH").otherwise("MATCH")
+    if cfg.geometry:
+        kind = F.when(~same_geometry(F.col("t.geom"), F.col("s.geom")), "GEOMETRY_MISMATCH").otherwise(kind)
+    compared = compared.select("key", kind.alias("type"), diff.alias("differences"), "db_rec", "file_rec")
+    shape = compared.schema["differences"].dataType
+
+    def plain(df, type_, db=none, file=none, found=F.lit(None)):
+        return df.select("key", type_.alias("type"), found.cast(shape).alias("differences"), db.alias("db_rec"), file.alias("file_rec"))
+
+    parts = [
+        plain(pairs.where("method = 'EXACT'"), F.lit("MATCH"), db, file, F.array()),
+        plain(pairs.where("method not in ('EXACT', 'ELIMINATION')"), F.when(F.col("method") == "NO_GEOMETRY", "DUPLICATE_SUID").otherwise(F.col("method")), db, file),
+        plain(target_twins(t, rows), F.col("method"), db, file),
+        plain(rows.where("key_t = 0 and kinds_s = 1"), F.lit("ONLY_IN_SHP"), file=F.col("srec")),
+        # Source keys with differing contents: every row is a duplicate.
+        plain(s.join(rows.where("key_t = 0 and kinds_s > 1").select("key", "sig"), ["key", "sig"]), F.lit("DUPLICATE_SUID"), file=F.col("rec")),
+        plain(s.where("key is null"), F.lit("NULL_SUID"), file=F.col("rec")),
+    ]
+    found = compared
+    for part in parts:
+        found = found.unionByName(part)
+    counted = rows.where("sn > 1 and (key_t > 0 or kinds_s = 1)").select("key", F.lit("SKIPPED_TWIN").alias("type"), F.lit(None).cast(shape).alias("differences"), none.alias("db_rec"), F.col("srec").alias("file_rec"), (F.col("sn") - 1).alias("n_rows"))
+    return found.withColumn("n_rows", F.lit(1).cast("long")).unionByName(counted)
+
+
+TYPES = ("MATCH", "ATTRIBUTE_MISMATCH", "GEOMETRY_MISMATCH", "ONLY_IN_DB", "ONLY_IN_SHP", "DUPLICATE_SUID", "NULL_SUID", "SKIPPED_TWIN")
+
+
+def summary(found: DataFrame) -> DataFrame:
+    """Rows by class, one row. n_total is all that was analysed; rows of both sides are n_rows, where pairs count twice."""
+    of = lambda *t: F.coalesce(F.sum(F.when(F.col("type").isin(*t), F.col("n_rows"))), F.lit(0))
+    both = of("MATCH", "ATTRIBUTE_MISMATCH", "GEOMETRY_MISMATCH")
+    total = F.coalesce(F.sum("n_rows"), F.lit(0))
+    return found.agg(*[of(n).alias(f"n_{n.lower()}") for n in TYPES], total.alias("n_total"), (total + both).alias("n_rows"))
+
+
+def sql_patches(found: DataFrame, target: DataFrame, source: DataFrame, table: str, cfg: ReconcileConfig) -> DataFrame:
+    """(key, statement): an UPDATE per mismatch, by the stored values of all key columns, and an INSERT per source-only
+    record with its keys and the mapped attributes."""
+    name = V.sql_identifier(table)
+    quoted = lambda field: F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
+    sets = F.array_join(F.transform("differences", lambda d: F.concat(quoted(d.field), F.lit(" = "), V.sql_literal(d.file_value))), ", ")
+    stored = target.select(F.col("rec").alias("db_rec"), F.struct(*cfg.keys).alias("k"))
+    value = lambda k: F.col(f"k.{k}").cast("string")
+    where = [F.concat(F.lit(V.sql_identifier(k)), F.when(value(k).isNull(), F.lit(" IS NULL")).otherwise(F.concat(F.lit(" = "), V.sql_literal(value(k))))) for k in cfg.keys]
+    update = F.concat(F.lit(f"UPDATE {name} SET "), sets, F.lit(" WHERE "), F.concat_ws(" AND ", *where))
+    changed = found.where("type in ('ATTRIBUTE_MISMATCH', 'GEOMETRY_MISMATCH') and size(differences) > 0").join(stored, "db_rec").select("key", update.alias("statement"))
+    columns = [*cfg.keys, *cfg.compared]
+    names = [*(cfg.source_keys or cfg.keys), *[cfg.source(c) for c in cfg.compared]]
+    given = source.select(F.col("rec").alias("file_rec"), *[F.col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    head = f"INSERT INTO {name} ({', '.join(map(V.sql_identifier, columns))}) VALUES ("
+    insert = F.concat(F.lit(head), F.concat_ws(", ", *[V.sql_literal(F.col(f"c{i}")) for i in range(len(names))]), F.lit(")"))
+    return changed.unionByName(found.where("type = 'ONLY_IN_SHP'").join(given, "file_rec").select("key", insert.alias("statement")))
 
 
 #: Candidate pairs of one key beyond which no distances are taken.

@@ -9,70 +9,106 @@ from ..registry import query, table
 
 CFG = reconcile.ReconcileConfig(keys=("okey",), compared=("status", "priority"), source_of={"status": "st", "priority": "pr"}, source_keys=("skey",))
 
-#: The perturbed source as SQL that both engines read alike.
+#: Both sides as SQL for the oracle: orders with repeated keys of all kinds, and a perturbed copy.
+TARGET = """
+select o_orderkey as okey, o_orderstatus as status, o_orderpriority as priority, o_orderkey as rec from orders
+union all select o_orderkey, o_orderstatus, o_orderpriority, o_orderkey + 600000000 from orders where o_orderkey % 100 = 5
+union all select o_orderkey, 'Y', o_orderpriority, o_orderkey + 700000000 from orders where o_orderkey % 100 in (6, 7, 8)
+union all select o_orderkey, 'U', o_orderpriority, o_orderkey + 800000000 from orders where o_orderkey % 100 = 8
+"""
 SOURCE = """
-select case when o_orderkey % 1009 = 0 then '' when o_orderkey % 7 = 0 then concat(cast(o_orderkey as {text}), '.0') else cast(o_orderkey as {text}) end as skey,
+select case when o_orderkey % 1009 = 0 then '' when o_orderkey % 7 = 0 then concat(cast(o_orderkey as varchar), '.0') else cast(o_orderkey as varchar) end as skey,
   case when o_orderkey % 13 = 0 then 'X' when o_orderkey % 7 = 0 then concat(' ', o_orderstatus, ' ') else o_orderstatus end as st,
   case when o_orderkey % 11 = 0 then null else o_orderpriority end as pr, o_orderkey as rec
 from orders where o_orderkey % 97 <> 0
-union all select concat('N', cast(o_orderkey as {text})), o_orderstatus, o_orderpriority, o_orderkey + 100000000 from orders where o_orderkey % 500 = 1
-union all select concat('D', cast(o_orderkey as {text})), o_orderstatus, o_orderpriority, o_orderkey + 200000000 from orders where o_orderkey % 1000 = 2
-union all select concat('D', cast(o_orderkey as {text})), 'Z', o_orderpriority, o_orderkey + 300000000 from orders where o_orderkey % 1000 = 2
-union all select concat('E', cast(o_orderkey as {text})), o_orderstatus, o_orderpriority, o_orderkey + 400000000 from orders where o_orderkey % 1000 = 3
-union all select concat('E', cast(o_orderkey as {text})), o_orderstatus, o_orderpriority, o_orderkey + 500000000 from orders where o_orderkey % 1000 = 3
+union all select concat('N', cast(o_orderkey as varchar)), o_orderstatus, o_orderpriority, o_orderkey + 100000000 from orders where o_orderkey % 500 = 1
+union all select concat('D', cast(o_orderkey as varchar)), o_orderstatus, o_orderpriority, o_orderkey + 200000000 from orders where o_orderkey % 1000 = 2
+union all select concat('D', cast(o_orderkey as varchar)), 'Z', o_orderpriority, o_orderkey + 300000000 from orders where o_orderkey % 1000 = 2
+union all select concat('E', cast(o_orderkey as varchar)), o_orderstatus, o_orderpriority, o_orderkey + 400000000 from orders where o_orderkey % 1000 = 3
+union all select concat('E', cast(o_orderkey as varchar)), o_orderstatus, o_orderpriority, o_orderkey + 500000000 from orders where o_orderkey % 1000 = 3
+union all select cast(o_orderkey as varchar), 'Z', o_orderpriority, o_orderkey + 900000000 from orders where o_orderkey % 100 in (4, 7, 8)
 """
 
 
 def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same in one pass over orders a side: each order is expanded to its rows."""
     orders = table(spark, sf_dir, "orders")
-    target = orders.select(F.col("o_orderkey").alias("okey"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.col("o_orderkey").alias("rec"))
-    return target, spark.sql(SOURCE.format(text="string").replace("from orders", "from {orders}"), orders=orders)
+    o, text, status, priority = F.col("o_orderkey"), F.col("o_orderkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")
+
+    def expanded(names, *rows):
+        made = [F.when(keep, F.struct(*[v.alias(n) for v, n in zip(values, names)])) for keep, *values in rows]
+        return orders.select(F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
+
+    d, under = o % 100, lambda letter: F.concat(F.lit(letter), text)
+    target = expanded(
+        ("okey", "status", "priority", "rec"), (F.lit(True), o, status, priority, o), (d == 5, o, status, priority, o + 600000000),
+        (d.isin(6, 7, 8), o, F.lit("Y"), priority, o + 700000000), (d == 8, o, F.lit("U"), priority, o + 800000000),
+    )
+    key = F.when(o % 1009 == 0, "").when(o % 7 == 0, F.concat(text, F.lit(".0"))).otherwise(text)
+    st = F.when(o % 13 == 0, "X").when(o % 7 == 0, F.concat(F.lit(" "), status, F.lit(" "))).otherwise(status)
+    source = expanded(
+        ("skey", "st", "pr", "rec"), (o % 97 != 0, key, st, F.when(o % 11 != 0, priority), o), (o % 500 == 1, under("N"), status, priority, o + 100000000),
+        (o % 1000 == 2, under("D"), status, priority, o + 200000000), (o % 1000 == 2, under("D"), F.lit("Z"), priority, o + 300000000),
+        (o % 1000 == 3, under("E"), status, priority, o + 400000000), (o % 1000 == 3, under("E"), status, priority, o + 500000000), (d.isin(4, 7, 8), text, F.lit("Z"), priority, o + 900000000),
+    )
+    return target, source
 
 
 _CLEAN = r"regexp_replace(trim(coalesce({0}, '')), '\.0$', '')"
 _ITEMS = f"""
-with src as ({SOURCE.format(text="varchar")}),
-t as (select cast(o_orderkey as varchar) as key, o_orderstatus as a, o_orderpriority as b, o_orderkey as rec from orders),
+with tgt as ({TARGET}), src as ({SOURCE}),
+t as (select cast(okey as varchar) as key, coalesce(status, '') as a, coalesce(priority, '') as b, rec from tgt),
 s as (select nullif(lower({_CLEAN.format("skey")}), '') as key, {_CLEAN.format("st")} as a, {_CLEAN.format("pr")} as b, rec from src),
-g as (select key, count(*) as n, count(distinct concat(a, '|', b)) as d, min(a) as a, min(b) as b, min(rec) as rec from s where key is not null group by key),
-j as (
-  select coalesce(t.key, g.key) as key, case when t.key is null then 'ONLY_IN_SHP' when g.key is null then 'ONLY_IN_DB'
-    when t.a <> g.a or t.b <> g.b then 'ATTRIBUTE_MISMATCH' else 'MATCH' end as type,
-    case when t.key is null or g.key is null then null else concat_ws(',', case when t.a <> g.a then 'status' end, case when t.b <> g.b then 'priority' end) end as changed,
-    t.rec as db_rec, g.rec as file_rec
-  from t full outer join g on t.key = g.key where t.key is not null or g.d = 1
-),
+tn as (select *, row_number() over (partition by key, a, b order by rec) as nth from t),
+sn as (select *, row_number() over (partition by key, a, b order by rec) as nth from s where key is not null),
+reps as (select coalesce(x.key, y.key) as key, x.rec as db_rec, y.rec as file_rec, x.a as ta, x.b as tb, y.a as sa, y.b as sb, x.key is not null as in_t, y.key is not null as in_s
+  from (select * from tn where nth = 1) x full outer join (select * from sn where nth = 1) y on x.key = y.key and x.a = y.a and x.b = y.b),
+k as (select key, bool_or(in_t) as has_t, count(*) filter (in_s) as kinds, count(*) filter (in_t and not in_s) as lt, count(*) filter (in_s and not in_t) as ls from reps group by key),
+alone as (select r.*, k.lt, k.ls from reps r join k on r.key = k.key where k.has_t and not (in_t and in_s)),
 items as (
-  select * from j
-  union all select s.key, 'DUPLICATE_SUID', null, null, s.rec from s join g on s.key = g.key where g.d > 1 and s.key not in (select key from t)
-  union all select null, 'NULL_SUID', null, null, rec from s where key is null
+  select key, 'MATCH' as type, '' as changed, db_rec, file_rec, 1 as n_rows from reps where in_t and in_s
+  union all select x.key, 'ATTRIBUTE_MISMATCH', concat_ws(',', case when x.ta <> y.sa then 'status' end, case when x.tb <> y.sb then 'priority' end), x.db_rec, y.file_rec, 1
+    from alone x join alone y on x.key = y.key and x.in_t and y.in_s where x.lt = 1 and x.ls = 1
+  union all select key, case when ls = 0 then 'ONLY_IN_DB' when lt = 0 then 'ONLY_IN_SHP' else 'DUPLICATE_SUID' end, null, db_rec, file_rec, 1 from alone where not (lt = 1 and ls = 1)
+  union all select key, 'DUPLICATE_SUID', null, rec, null, 1 from tn where nth > 1
+  union all select r.key, 'ONLY_IN_SHP', null, null, r.file_rec, 1 from reps r join k on r.key = k.key where not k.has_t and kinds = 1
+  union all select sn.key, 'DUPLICATE_SUID', null, null, rec, 1 from sn join k on sn.key = k.key where not k.has_t and kinds > 1
+  union all select null, 'NULL_SUID', null, null, rec, 1 from s where key is null
+  union all select sn.key, 'SKIPPED_TWIN', null, null, min(rec), count(*) - 1 from sn join k on sn.key = k.key where k.has_t or kinds = 1 group by sn.key, a, b having count(*) > 1
 )
 """
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.simple_items(*both_sides(spark, sf_dir), CFG)
+    return reconcile.items(*both_sides(spark, sf_dir), CFG)
 
 
-@query(_ITEMS + "select key, type, changed, db_rec, file_rec from items")
+@query(_ITEMS + "select key, type, changed, db_rec, file_rec, cast(n_rows as bigint) as n_rows from items")
 def x01_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which target rows differ from the source, and how."""
-    return items(spark, sf_dir).select("key", "type", F.array_join(F.transform("differences", lambda d: d.field), ",").alias("changed"), "db_rec", "file_rec")
+    return items(spark, sf_dir).select("key", "type", F.array_join(F.transform("differences", lambda d: d.field), ",").alias("changed"), "db_rec", "file_rec", "n_rows")
+
+
+_OF = ", ".join(f"cast(coalesce(sum(n_rows) filter (type = '{t}'), 0) as bigint) as n_{t.lower()}" for t in reconcile.TYPES)
 
 
-@query(_ITEMS + """select cast(count(*) filter (type = 'MATCH') as bigint) as n_match, cast(count(*) filter (type = 'ATTRIBUTE_MISMATCH') as bigint) as n_attribute_mismatch,
-  cast(count(*) filter (type = 'ONLY_IN_DB') as bigint) as n_only_in_db, cast(count(*) filter (type = 'ONLY_IN_SHP') as bigint) as n_only_in_shp,
-  cast(count(*) filter (type = 'DUPLICATE_SUID') as bigint) as n_duplicate_suid, cast(count(*) filter (type = 'NULL_SUID') as bigint) as n_null_suid, count(*) as n_total from items""")
+@query(_ITEMS + f"select {_OF}, cast(sum(n_rows) as bigint) as n_total, cast((select count(*) from tgt) + (select count(*) from src) as bigint) as n_rows from items")
 def a01_reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oracle counts n_rows on the two sides themselves: nothing is lost and nothing counts twice."""
     return reconcile.summary(items(spark, sf_dir))
 
 
-@query(_ITEMS + """select i.key, case when type = 'ONLY_IN_SHP' then concat('INSERT INTO "orders" ("okey") VALUES (''', i.key, ''')')
-  else concat('UPDATE "orders" SET ', concat_ws(', ', case when contains(changed, 'status') then concat('"status" = ''', r.st, '''') end,
-    case when contains(changed, 'priority') then concat('"priority" = ', coalesce('''' || r.pr || '''', 'NULL')) end), ' WHERE "okey" = ''', i.key, '''') end as statement
-  from items i left join src r on i.file_rec = r.rec where type in ('ATTRIBUTE_MISMATCH', 'ONLY_IN_SHP')""")
+_SAID = "coalesce(chr(39) || replace({0}, chr(39), chr(39) || chr(39)) || chr(39), 'NULL')"
+
+
+@query(_ITEMS + f"""select i.key, 'UPDATE "orders" SET ' || concat_ws(', ', case when contains(changed, 'status') then '"status" = ' || {_SAID.format("r.st")} end,
+  case when contains(changed, 'priority') then '"priority" = ' || {_SAID.format("r.pr")} end) || ' WHERE "okey" = ' || {_SAID.format("cast(g.okey as varchar)")} as statement
+  from items i join src r on i.file_rec = r.rec join tgt g on i.db_rec = g.rec where type = 'ATTRIBUTE_MISMATCH'
+  union all select i.key, 'INSERT INTO "orders" ("okey", "status", "priority") VALUES (' || concat_ws(', ', {_SAID.format("r.skey")}, {_SAID.format("r.st")}, {_SAID.format("r.pr")}) || ')'
+  from items i join src r on i.file_rec = r.rec where type = 'ONLY_IN_SHP'""")
 def k01_sql_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.sql_patches(items(spark, sf_dir), "orders", CFG)
+    target, source = both_sides(spark, sf_dir)
+    return reconcile.sql_patches(reconcile.items(target, source, CFG), target, source, "orders", CFG)
 
 
 PAIR = reconcile.ReconcileConfig(keys=("k",), compared=("flag", "status"))
@@ -97,7 +133,7 @@ def j03_exact_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
     t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), rec.alias("rec"))
     s = t.where("rec % 7 <> 0").withColumn("flag", F.when(F.col("rec") % 5 == 0, "Q").otherwise(F.col("flag")))
-    return reconcile.exact_pairs(*reconcile.repeated_keys(t, s, PAIR)).select("key", "method", "db_rec", "file_rec")
+    return reconcile.exact_pairs(t, s, PAIR).select("key", "method", "db_rec", "file_rec")
 
 
 _ROWS = """
@@ -205,11 +241,11 @@ def w06_key_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select distinct l_suppkey as a, l_partkey as b from lineitem where l_quantity = 50)
+with p as (select distinct l_suppkey as a, l_partkey as b from lineitem where l_quantity >= 45 and l_linenumber = 1)
 select a, b from (select *, count(*) over (partition by a) as x, count(*) over (partition by b) as y from p) where x = 1 and y = 1
 """)
 def w07_mutual_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    pairs = table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_linenumber = 1").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
     return joins.mutual_unique(pairs, "a", "b")
 
 

@@ -141,5 +141,17 @@ def test_nearest_pairs_are_greedy_and_capped(spark, monkeypatch):
 def test_hot_key_reconciles(spark):
     cfg = reconcile.ReconcileConfig(keys=("k",), compared=("v",))
     t = spark.range(3000).selectExpr("case when id < 1000 then 'hot' else cast(id as string) end as k", "'x' as v", "id as rec")
-    kinds = {r.type: r["count"] for r in reconcile.simple_items(t, t, cfg).groupBy("type").count().collect()}
-    assert kinds == {"MATCH": 2000}
+    found = reconcile.items(t, t, cfg)
+    assert {r.type: r.n for r in found.groupBy("type").agg(F.sum("n_rows").alias("n")).collect()} == {"MATCH": 2001, "DUPLICATE_SUID": 999, "SKIPPED_TWIN": 999}
+    assert reconcile.summary(found).first().n_rows == 6000
+
+
+def test_geometry_decides_the_type(spark):
+    cfg = reconcile.ReconcileConfig(keys=("a", "b"), compared=("v",), geometry="g")
+    t = spark.createDataFrame([("k", None, "x", "POINT(1 1)", 1), ("k", "2", "x", "POINT(1 1)", 2), ("k", "3", "x", "POINT(1 1)", 3)], "a string, b string, v string, g string, rec long")
+    s = spark.createDataFrame([("K", None, "y", "POINT(1 2)", 1), ("k", "2", "y", "POINT (1 1)", 2), ("k", "3", "x", "POINT(5 1)", 3), ("o'n", "4", None, None, 4)], t.schema)
+    found = reconcile.items(t, s, cfg)
+    got = {r.key: (r.type, [d.field for d in r.differences or []]) for r in found.collect()}
+    assert got == {"k|": ("GEOMETRY_MISMATCH", ["v"]), "k|2": ("ATTRIBUTE_MISMATCH", ["v"]), "k|3": ("GEOMETRY_MISMATCH", []), "o'n|4": ("ONLY_IN_SHP", [])}
+    said = {r.key: r.statement for r in reconcile.sql_patches(found, t, s, "x", cfg).collect()}
+    assert said["k|"] == """UPDATE "x" SET "v" = 'y' WHERE "a" = 'k' AND "b" IS NULL""" and said["o'n|4"] == """INSERT INTO "x" ("a", "b", "v") VALUES ('o''n', '4', NULL)"""
