@@ -1,5 +1,6 @@
 """Spatial queries over boxes drawn from parts and suppliers: overlaps, cover, replacement, receivers, views.
 
+The plane grows with the tables, in strips of 1000 by 1000 with 625 suppliers, 12,500 parts and 9,375 customers each.
 All coordinates are whole numbers, so areas are exact on any engine."""
 
 from __future__ import annotations
@@ -9,27 +10,27 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators import spatial
 from ..registry import query, table
 
-_PARCEL = """(select p_partkey as id, cast(p_partkey * 37 % 1000 as double) as minx, cast(p_partkey * 91 % 1000 as double) as miny,
-  cast(p_partkey * 37 % 1000 + 5 + p_size % 20 as double) as maxx, cast(p_partkey * 91 % 1000 + 5 + p_size % 13 as double) as maxy from part)"""
-_BLOCK = """(select s_suppkey as id, cast(s_suppkey % 25 * 40 as double) as minx, cast(s_suppkey // 25 % 25 * 40 as double) as miny,
-  cast(s_suppkey % 25 * 40 + 30 as double) as maxx, cast(s_suppkey // 25 % 25 * 40 + 38 as double) as maxy from supplier where s_suppkey < 625)"""
-_POINT = "(select c_custkey as pid, cast(c_custkey * 17 % 1000 as double) as x, cast(c_custkey * 53 % 1000 as double) as y from customer)"
+_PARCEL = """(select p_partkey as id, cast(p_partkey * 37 % 1000 as double) as minx, cast(p_partkey * 91 % 1000 + p_partkey // 12500 * 1000 as double) as miny,
+  cast(p_partkey * 37 % 1000 + 5 + p_size % 20 as double) as maxx, cast(p_partkey * 91 % 1000 + p_partkey // 12500 * 1000 + 5 + p_size % 13 as double) as maxy from part)"""
+_BLOCK = """(select s_suppkey as id, cast(s_suppkey % 25 * 40 as double) as minx, cast(s_suppkey // 25 * 40 as double) as miny,
+  cast(s_suppkey % 25 * 40 + 30 as double) as maxx, cast(s_suppkey // 25 * 40 + 38 as double) as maxy from supplier)"""
+_POINT = "(select c_custkey as pid, cast(c_custkey * 17 % 1000 as double) as x, cast(c_custkey * 53 % 1000 + c_custkey // 9375 * 1000 as double) as y from customer)"
 CELL = 40.0
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = F.col("p_partkey") * 37 % 1000, F.col("p_partkey") * 91 % 1000
+    x, y = F.col("p_partkey") * 37 % 1000, F.col("p_partkey") * 91 % 1000 + F.floor(F.col("p_partkey") / 12500) * 1000
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), x.cast("double").alias("minx"), y.cast("double").alias("miny"), (x + 5 + F.col("p_size") % 20).cast("double").alias("maxx"), (y + 5 + F.col("p_size") % 13).cast("double").alias("maxy"))
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Disjoint boxes on a lattice."""
-    x, y = F.col("s_suppkey") % 25 * 40, F.floor(F.col("s_suppkey") / 25) % 25 * 40
-    return table(spark, sf_dir, "supplier").where("s_suppkey < 625").select(F.col("s_suppkey").alias("id"), x.cast("double").alias("minx"), y.cast("double").alias("miny"), (x + 30).cast("double").alias("maxx"), (y + 38).cast("double").alias("maxy"))
+    x, y = F.col("s_suppkey") % 25 * 40, F.floor(F.col("s_suppkey") / 25) * 40
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), x.cast("double").alias("minx"), y.cast("double").alias("miny"), (x + 30).cast("double").alias("maxx"), (y + 38).cast("double").alias("maxy"))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") * 17 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 53 % 1000).cast("double").alias("y"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("pid"), (F.col("c_custkey") * 17 % 1000).cast("double").alias("x"), (F.col("c_custkey") * 53 % 1000 + F.floor(F.col("c_custkey") / 9375) * 1000).cast("double").alias("y"))
 
 
 _SHARED = "greatest(0, least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * greatest(0, least(a.maxy, b.maxy) - greatest(a.miny, b.miny))"

@@ -58,12 +58,12 @@ def k13_validated_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loads.validated_swap(current.where("o_orderkey % 50 <> 0"), current)
 
 
-@query("""select place, cut, o_orderkey from (select cast(date_trunc('month', o_orderdate) as date) as cut, o_custkey as place, o_orderkey from orders where o_orderkey % 2 = 0)
+@query("""select place, cut, o_orderkey from (select cast(date_trunc('month', o_orderdate) as date) as cut, o_custkey as place, o_orderkey from orders where o_orderkey % 211 <> 1)
 where cut not in (select cast(date_trunc('month', o_orderdate) as date) from orders where o_orderkey % 211 = 1)
 union all select o_custkey, cast(date_trunc('month', o_orderdate) as date), o_orderkey from orders where o_orderkey % 211 = 1""")
 def k15_replace_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = cuts(spark, sf_dir).select("place", "cut", "o_orderkey")
-    return loads.replace_cuts(df.where("o_orderkey % 2 = 0"), df.where("o_orderkey % 211 = 1"), "cut").select("place", "cut", "o_orderkey")
+    return loads.replace_cuts(df.where("o_orderkey % 211 <> 1"), df.where("o_orderkey % 211 = 1"), "cut").select("place", "cut", "o_orderkey")
 
 
 @query("select greatest(max(o_orderkey) + 1, 1000) as next_value from orders")

@@ -67,12 +67,12 @@ def u05_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select 'N' as kind, count(*) as n, cast(sum(cast(('0x' || substr(md5(cast(o_orderkey as varchar) || '|' || o_orderstatus), 1, 12)) as bigint)) as varchar) as digest from orders where o_orderkey % 3 = 0
-union all select 'C', count(*), cast(sum(cast(('0x' || substr(md5(cast(o_orderkey as varchar) || '|' || o_orderpriority), 1, 12)) as bigint)) as varchar) from orders where o_orderkey % 3 = 1""")
+union all select 'C', count(*), cast(sum(cast(('0x' || substr(md5(cast(o_orderkey as varchar) || '|' || o_orderpriority), 1, 12)) as bigint)) as varchar) from orders where o_orderkey % 3 <> 0""")
 def u02_plan_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of two kinds of planned writes over one union."""
     o = table(spark, sf_dir, "orders")
     new = o.where("o_orderkey % 3 = 0").select(F.lit("N").alias("kind"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("v"))
-    changed = o.where("o_orderkey % 3 = 1").select(F.lit("C").alias("kind"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
+    changed = o.where("o_orderkey % 3 <> 0").select(F.lit("C").alias("kind"), F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v"))
     return checks.plan_digest(new.unionByName(changed), "kind", ["k", "v"])
 
 
@@ -99,16 +99,16 @@ def k20_guarded_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", loads.csv_field(v, guard=True).alias("field"))
 
 
-@query("""select cut, o_orderkey from (select cast(o_orderdate as date) as cut, o_orderkey from orders where o_orderkey % 5 = 0) union all
-select cast(o_orderdate as date), o_orderkey from orders where o_orderkey % 5 = 1 and cast(o_orderdate as date) not in (select cast(o_orderdate as date) from orders where o_orderkey % 5 = 0)""")
+@query("""select cut, o_orderkey from (select cast(o_orderdate as date) as cut, o_orderkey from orders where o_orderkey % 1000 = 0) union all
+select cast(o_orderdate as date), o_orderkey from orders where o_orderkey % 1000 <> 0 and cast(o_orderdate as date) not in (select cast(o_orderdate as date) from orders where o_orderkey % 1000 = 0)""")
 def k16_append_unless_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("cut"), "o_orderkey")
-    return loads.append_unless_loaded(o.where("o_orderkey % 5 = 0"), o.where("o_orderkey % 5 = 1"), "cut").select("cut", "o_orderkey")
+    return loads.append_unless_loaded(o.where("o_orderkey % 1000 = 0"), o.where("o_orderkey % 1000 <> 0"), "cut").select("cut", "o_orderkey")
 
 
-@query("select n_nationkey, n_name from nation where contains(lower(n_name), 'an') order by n_name, n_nationkey")
+@query("select n_nationkey, n_name from nation where contains(lower(n_name), 'nation_1') order by n_name, n_nationkey")
 def p14_name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").where(V.fold(F.col("n_name")).contains("an")).select("n_nationkey", "n_name").orderBy("n_name", "n_nationkey")
+    return table(spark, sf_dir, "nation").where(V.fold(F.col("n_name")).contains("nation_1")).select("n_nationkey", "n_name").orderBy("n_name", "n_nationkey")
 
 
 @query("select o_orderkey, o_custkey from orders order by o_orderkey limit 100 offset 300")
