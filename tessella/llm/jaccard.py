@@ -146,7 +146,7 @@ def set_id(tokens: np.ndarray) -> int:
 
 def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
     """doc_id, set size n, id of the set (null when empty), prefix and point."""
-    schema = "doc_id long, n long, id long, prefix array<long>, point binary"
+    schema = "doc_id long, n long, id long, prefix array<long>, point binary, text_hash long"
 
     def summed(batches):
         for batch in batches:
@@ -157,9 +157,9 @@ def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 prefixes = [prefix(s, common).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 points = pa.array([point(s) if len(s) else b"" for s in sets], pa.binary())
                 ids = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), ids, lists(prefixes), points], ["doc_id", "n", "id", "prefix", "point"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), ids, lists(prefixes), points, batch.column(2).slice(i, j - i)], ["doc_id", "n", "id", "prefix", "point", "text_hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(summed, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(summed, schema)
 
 
 def lists(rows: list[np.ndarray]) -> pa.ListArray:
@@ -333,7 +333,8 @@ def full_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable by links) for every row."""
+    """doc_id, n_shingles, component_id (the least id reachable by links) for every row; also text_hash, Spark's xxhash64 of
+    the text, and component, which tells components apart where ids repeat (null without words)."""
     scratch = Scratch(docs.sparkSession)
     docs = rest(docs, [id_col], text_col).toDF("doc_id", "text")
     base = scratch.write(summaries(docs, common_shingles(docs)))
@@ -341,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One representative per distinct set, with the least document id that has it.
     first = [F.first(c).alias(c) for c in ("n", "prefix", "point")]
     reps = scratch.write(base.where("doc_id is not null and id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), *first))
-    small = scratch.write(base.select("doc_id", "n", "id"))
+    small = scratch.write(base.select("doc_id", "n", "id", "text_hash"))
     scratch.drop(base)
     # The shingles that each set shares with others, in its order, with the number of sets that have them.
     tokens = reps.select("id", F.posexplode("prefix").alias("pos", "token"))
@@ -378,9 +379,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step += 1
 
     least = names.join(labels, "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    found = scratch.write(labels.join(least, "component").select("id", "component_id"))
+    found = scratch.write(labels.join(least, "component").select("id", "component_id", "component"))
     joined = small.join(found, "id", "left").join(names.select("id", F.col("doc_id").alias("first_id")), "id", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id")).alias("component_id"))
+    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id")).alias("component_id"), "text_hash", F.coalesce("component", "id").alias("component"))
 
 
 def open_rows(rows: DataFrame) -> int:

@@ -42,7 +42,7 @@ def op5_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_count_vector_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 @query
