@@ -20,9 +20,12 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one whose id names the group."""
-    found = jaccard.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """One document of each group of near duplicates: the one of least id. Rows are told apart by id and text, so an id with
+    several texts loses only those that are copies; rows of equal id and text are one document."""
+    found = jaccard.near_duplicates(docs).where("doc_id is not null and component is not null").select("doc_id", "text_hash", "component").distinct()
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    gone = found.join(first, "component").where("struct(doc_id, text_hash) <> first").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_text"))
+    return docs.join(gone, (docs.doc_id == F.col("gone_id")) & (F.xxhash64(docs.text) == F.col("gone_text")), "left_anti").select(docs.columns)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
