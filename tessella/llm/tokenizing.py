@@ -20,7 +20,7 @@ CACHE_BYTES = 40 << 20
 #: What an entry takes besides its bytes: two objects and a place in the table.
 ENTRY_BYTES = 180
 #: Pieces that the library encodes in one call.
-GROUP = 256
+GROUP = 4096
 _P = np.uint64(0x9E3779B97F4A7C15)
 _loaded: dict[tuple, "PieceCache"] = {}
 
@@ -68,15 +68,15 @@ def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class PieceCache:
     """ids of pieces seen so far by this worker; ``encode_pieces`` maps byte pieces to flat ids, their counts and the pieces' order there."""
 
-    def __init__(self, encode_pieces):
-        self.encode_pieces = encode_pieces
+    def __init__(self, encode_pieces, run_bytes: int = PIECE_BYTES, cache_bytes: int = CACHE_BYTES):
+        self.encode_pieces, self.run_bytes, self.cache_bytes = encode_pieces, run_bytes, cache_bytes
         self.older: dict[bytes, bytes] = {}
         self.known: dict[bytes, bytes] = {}
         self.size = 0
 
     def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of distinct pieces and their counts."""
-        if self.size > CACHE_BYTES:
+        if self.size > self.cache_bytes:
             self.known, self.older, self.size = {}, self.known, 0
         known, older = self.known, self.older
         missing = [p for p in pieces if p not in known]
@@ -100,7 +100,7 @@ class PieceCache:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None):
         """Yields (first row, flat ids, id offsets) for runs of rows; end_id is put after each row."""
-        for i, j in runs(offsets, PIECE_BYTES):
+        for i, j in runs(offsets, self.run_bytes):
             part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if len(part):
                 starts = cuts(part, offs)
@@ -132,16 +132,16 @@ def public_file(name: str) -> str:
 _WORDS = re.compile(rb"[ \n][A-Za-z]+([.,;:!?]*)\Z")
 
 
-def library_tokenizer(path: str, special_text: bool = True) -> PieceCache:
+def library_tokenizer(path: str, special_text: bool = True, run_bytes: int = PIECE_BYTES, cache_bytes: int = CACHE_BYTES) -> PieceCache:
     """A PieceCache over a file of the tokenizers library; one a worker process. As in the library, the strings of special
     tokens within a text give their ids, unless special_text is False: they are ordinary text then."""
-    if (key := ("library", path, special_text)) not in _loaded:
+    if (key := ("library", path, special_text, run_bytes, cache_bytes)) not in _loaded:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
         model.encode_special_tokens = not special_text
-        _loaded[key] = PieceCache(LibraryPieces(model))
+        _loaded[key] = PieceCache(LibraryPieces(model), run_bytes, cache_bytes)
     return _loaded[key]
 
 

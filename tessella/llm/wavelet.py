@@ -24,6 +24,8 @@ from .tokenizing import library_tokenizer
 
 #: Tokens from which a shard is closed; it then ends with the document at hand.
 SHARD_TOKENS = 1 << 20
+#: A worker tokenises in runs of this size and remembers two generations of pieces of this size.
+RUN_BYTES, CACHE_BYTES = 2 << 20, 80 << 20
 MAGIC = b"TWM1"
 BLOCK = 512
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
@@ -154,7 +156,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str =
     """Shards of ids in ascending document order: ``part`` and ``shard`` number them, ``before`` counts the part's earlier tokens."""
 
     def shards(batches):
-        model, part, shard, before = library_tokenizer(tokenizer), TaskContext.get().partitionId(), 0, 0
+        model, part, shard, before = library_tokenizer(tokenizer, run_bytes=RUN_BYTES, cache_bytes=CACHE_BYTES), TaskContext.get().partitionId(), 0, 0
         levels = 16
         held_ids, held_docs, held_lengths, size = [], [], [], 0
 
