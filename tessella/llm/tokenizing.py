@@ -17,11 +17,12 @@ from .common import runs, spread
 PIECE_BYTES = 1 << 20
 #: Memory of the pieces that a worker remembers, by generation: the recent ones, and as much again of older ones.
 CACHE_BYTES = 40 << 20
-#: What an entry takes besides its bytes: two objects and a place in the table.
-ENTRY_BYTES = 180
+#: Bytes of the longest piece that is remembered.
+SHORT = 15
 #: Pieces that the library encodes in one call.
 GROUP = 4096
-_P = np.uint64(0x9E3779B97F4A7C15)
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _loaded: dict[tuple, "PieceCache"] = {}
 
 
@@ -43,60 +44,110 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(mask)
 
 
-def distinct(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For the pieces that begin at starts: one index of each distinct piece, and each piece's place in that list."""
-    lengths = np.diff(starts, append=len(data))
-    powers = np.cumprod(np.full(int(lengths.max()), _P, np.uint64))
-    within = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
-    x = (data.astype(np.uint64) + np.uint64(1)) * powers[within]
-    h = np.add.reduceat(x, starts)
-    h ^= h >> np.uint64(29)
-    h = (h + lengths.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    # A piece whose bytes differ from its representative's (a hash collision) stands for itself.
-    rep = starts[first][inverse]
-    same_length = lengths[first][inverse] == lengths
-    at = np.minimum(np.repeat(rep, lengths) + within, len(data) - 1)
-    differs = np.add.reduceat((data != data[at]).astype(np.int32), starts) > 0
-    bad = np.flatnonzero(differs | ~same_length)
-    if len(bad):
-        inverse[bad] = len(first) + np.arange(len(bad))
-        first = np.concatenate([first, bad])
-    return first, inverse
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def words(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each piece's first 15 bytes and its length as two 64-bit words: exact for pieces of SHORT bytes at most."""
+    at = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(16, np.uint8)]), 0, (1,))
+    low, high = at[starts], at[np.minimum(starts + 8, len(data))]
+    return low & _KEEP[np.minimum(lengths, 8)], high & _KEEP[np.clip(lengths - 8, 0, 7)] | np.minimum(lengths, 255).astype(np.uint64) << np.uint64(56)
+
+
+class PieceTable:
+    """ids of short pieces by their two words, as arrays: ``hashes`` in order with the slot of each, the rest by slot."""
+
+    def __init__(self):
+        self.hashes, self.low, self.high, self.ids = (np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.uint32))
+        self.slots, self.starts, self.counts = (np.empty(0, np.int32) for _ in range(3))
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in vars(self).values())
+
+    def find(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slots of the pieces, -1 where there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        slots = self.slots[at]
+        return np.where((self.hashes[at] == hashes) & (self.low[slots] == low) & (self.high[slots] == high), slots, np.int32(-1))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """Whether pieces, these or others, have the hashes."""
+        return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+
+    def get(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the pieces in these slots, and their counts."""
+        counts = self.counts[slots].astype(np.int64)
+        return self.ids[spread(self.starts[slots], counts)], counts
+
+    def add(self, hashes: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Takes pieces with ascending hashes that it doesn't hold, and their ids."""
+        at = np.searchsorted(self.hashes, hashes)
+        n = len(self.low)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.slots = np.insert(self.slots, at, np.arange(n, n + len(low), dtype=np.int32))
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.low, self.high, self.ids = (np.concatenate(x) for x in ((self.low, low), (self.high, high), (self.ids, ids.astype(np.uint32))))
+        self.starts, self.counts = (np.concatenate([x, y.astype(np.int32)]) for x, y in ((self.starts, starts), (self.counts, counts)))
 
 
 class PieceCache:
-    """ids of pieces seen so far by this worker; ``encode_pieces`` maps byte pieces to flat ids, their counts and the pieces' order there."""
+    """ids of pieces seen so far by this worker; ``encode_pieces`` maps byte pieces to flat ids, their counts and the pieces' order there.
+
+    Pieces of SHORT bytes at most are remembered, in two generations of ``cache_bytes``; longer ones, and a piece whose
+    hash belongs to another one, are encoded wherever they stand."""
 
     def __init__(self, encode_pieces, run_bytes: int = PIECE_BYTES, cache_bytes: int = CACHE_BYTES):
         self.encode_pieces, self.run_bytes, self.cache_bytes = encode_pieces, run_bytes, cache_bytes
-        self.older: dict[bytes, bytes] = {}
-        self.known: dict[bytes, bytes] = {}
-        self.size = 0
-
-    def lookup(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of distinct pieces and their counts."""
-        if self.size > self.cache_bytes:
-            self.known, self.older, self.size = {}, self.known, 0
-        known, older = self.known, self.older
-        missing = [p for p in pieces if p not in known]
-        novel = []
-        for p in missing:
-            ids = older.get(p)
-            if ids is None:
-                novel.append(p)
-            else:
-                known[p] = ids
-                self.size += len(p) + len(ids) + ENTRY_BYTES
-        if novel:
-            flat, lengths, order = self.encode_pieces(novel)
-            raw = flat.astype("<u4").tobytes()
-            ends = np.cumsum(lengths) * 4
-            for i, a, b in zip(order, (ends - lengths * 4).tolist(), ends.tolist()):
-                known[novel[i]] = raw[a:b]
-            self.size += sum(map(len, novel)) + len(raw) + ENTRY_BYTES * len(novel)
-        found = [known[p] for p in pieces]
-        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.known, self.older = PieceTable(), PieceTable()
+
+    def encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat ids of the pieces in their order, and their counts."""
+        flat, lengths, order = self.encode_pieces(pieces)
+        starts, counts = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        starts[order], counts[order] = np.cumsum(lengths) - lengths, lengths
+        return flat[spread(starts, counts)], counts
+
+    def lookup(self, raw: bytes, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Slots of different short pieces, by ascending hash, among the known ones; -1 where another piece has the hash."""
+        if self.known.size() > self.cache_bytes:
+            self.known, self.older = PieceTable(), self.known
+        old = self.older.find(hashes, low, high)
+        for recall in (True, False):
+            new = ~self.known.holds(hashes)
+            k = np.flatnonzero(new & (old >= 0) if recall else new)
+            if len(k):
+                found = self.older.get(old[k]) if recall else self.encoded([raw[a : a + n] for a, n in zip(starts[k].tolist(), lengths[k].tolist())])
+                self.known.add(hashes[k], low[k], high[k], *found)
+        return self.known.find(hashes, low, high)
+
+    def pieces(self, part: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of different pieces, and where each piece's ids begin there, and how many they are."""
+        lengths, raw = np.diff(starts, append=len(part)), part.tobytes()
+        low, high = words(part, starts, lengths)
+        hashes = mixed(low ^ mixed(high))
+        own = lengths > SHORT
+        short = np.flatnonzero(~own)
+        some, first, inverse = np.unique(hashes[short], return_index=True, return_inverse=True)
+        first = short[first]
+        slots = self.lookup(raw, starts[first], lengths[first], some, low[first], high[first])
+        flat, counts = self.known.get(slots[slots >= 0])
+        at, many = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
+        at[slots >= 0], many[slots >= 0] = np.cumsum(counts) - counts, counts
+        same = (low[first][inverse] == low[short]) & (high[first][inverse] == high[short]) & (slots >= 0)[inverse]
+        own[short[~same]] = True
+        begin, length = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        begin[short], length[short] = at[inverse], many[inverse]
+        if len(k := np.flatnonzero(own)):
+            more, counts = self.encoded([raw[a : a + n] for a, n in zip(starts[k].tolist(), lengths[k].tolist())])
+            begin[k], length[k] = len(flat) + np.cumsum(counts) - counts, counts
+            flat = np.concatenate([flat, more.astype(np.uint32)])
+        return flat, begin, length
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None):
         """Yields (first row, flat ids, id offsets) for runs of rows; end_id is put after each row."""
@@ -104,11 +155,8 @@ class PieceCache:
             part, offs = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             if len(part):
                 starts = cuts(part, offs)
-                first, inverse = distinct(part, starts)
-                raw, ends = part.tobytes(), np.append(starts[1:], len(part))
-                flat, counts = self.lookup([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
-                lengths = counts[inverse]
-                ids = flat[spread((np.cumsum(counts) - counts)[inverse], lengths)]
+                flat, begin, lengths = self.pieces(part, starts)
+                ids = flat[spread(begin, lengths)]
                 sums = np.concatenate([[0], np.cumsum(lengths)])
                 id_offs = sums[np.searchsorted(starts, offs)]
             else:
