@@ -42,11 +42,11 @@ class WaveletMatrix:
         a = ids.astype(np.uint16 if levels <= 16 else np.uint32)
         zeros, planes, ranks = [], [], []
         for level in range(levels - 1, -1, -1):
-            bits = (a >> level) & 1 != 0
+            bits = a & a.dtype.type(1 << level) != 0
             plane = np.packbits(bits)
             planes.append(plane)
             ranks.append(cls.directory(plane, len(a)))
-            low, high = a[~bits], a[bits]
+            low, high = a.take(np.flatnonzero(~bits)), a.take(np.flatnonzero(bits))
             zeros.append(len(low))
             a = np.concatenate([low, high])
         return cls(len(ids), np.array(zeros, np.int64), planes, ranks)
@@ -119,8 +119,8 @@ class WaveletMatrix:
         for level in range(self.levels - 1, -1, -1):
             bits = np.unpackbits(self.planes[level], count=self.n).view(bool)
             z, out = int(self.zeros[level]), np.empty_like(a)
-            out[~bits], out[bits] = a[:z], a[z:]
-            out |= bits.astype(a.dtype) << a.dtype.type(self.levels - 1 - level)
+            a[z:] |= a.dtype.type(1 << self.levels - 1 - level)
+            out[np.flatnonzero(~bits)], out[np.flatnonzero(bits)] = a[:z], a[z:]
             a = out
         return a
 
