@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat_tree, images, jaccard, licenses, maxscore, packing, prefix_bpe, quality, suffix_dedup, wavelet
+from . import alignment, chat_tree, images, jaccard, licenses, maxscore, packing, prefix_bpe, quality, speculative_bpe, suffix_dedup, wavelet
 from .common import spread
 from .tokenizing import public_file
 
@@ -57,9 +57,9 @@ def op9_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-def decimal_texts(most: int):
-    """Every number below most in decimal with a space after it, in one buffer, with starts and lengths."""
-    table = [str(i).encode() + b" " for i in range(most)]
+def decimal_texts(most: int, after: bytes = b" "):
+    """Every number below most in decimal with a space or other byte after it, in one buffer, with starts and lengths."""
+    table = [str(i).encode() + after for i in range(most)]
     lengths = np.array([len(x) for x in table], np.int64)
     return np.frombuffer(b"".join(table), np.uint8), np.cumsum(lengths) - lengths, lengths
 
@@ -130,3 +130,27 @@ def op7_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_local_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no images, so every embedding vector is drawn as one."""
     return images.copies(images.rendered(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json"), public_file("piece_bpe_32k.model"))
+
+
+@query
+def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_file("byte_bpe_50k.json")
+
+    def digests(batches):
+        flat, starts, lengths = decimal_texts(len(speculative_bpe.id_bytes(path)[1]), b",")
+        for batch in batches:
+            for i, ids, at, texts in speculative_bpe.decode_batch(batch, path):
+                sizes = lengths[ids]
+                spelled = flat[spread(starts[ids], sizes)].tobytes()
+                marks = np.concatenate([[0], np.cumsum(sizes)])[at].tolist()
+                of_ids = [hashlib.sha256(spelled[a : max(a, b - 1)]).hexdigest() for a, b in zip(marks, marks[1:])]
+                of_texts = [hashlib.sha256(t).hexdigest() for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(texts)), pa.array(np.diff(at)), pa.array(of_ids), pa.array(of_texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    encoded = speculative_bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
