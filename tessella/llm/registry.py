@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import alignment, chat_tree, images, jaccard, licenses, maxscore, packing, prefix_bpe, quality, speculative_bpe, suffix_dedup, wavelet
+from . import alignment, chat_tree, hard_negatives, images, jaccard, licenses, maxscore, packing, prefix_bpe, quality, speculative_bpe, suffix_dedup, wavelet
 from .common import spread
 from .tokenizing import public_file
 
@@ -154,3 +154,30 @@ def op13_speculative_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     encoded = speculative_bpe.encode_documents(table(spark, sf_dir, "documents"), path)
     return encoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 50 == 0)
+
+
+ORACLE["op12_hard_negatives"] = """
+with v as (
+  select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (cast(label as bigint) + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as e from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.r as a, a.vec_id as anchor_id, c.r as c, c.vec_id, a.label = c.label as same,
+    cast(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * c.e[i])) as bigint) as score
+  from v a join v c on a.vec_id % 50 = 0 and c.vec_id <> a.vec_id
+), p as (
+  select *, row_number() over (partition by a order by score desc, vec_id, c) as nth from s where same qualify nth <= 5
+), n as (
+  select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+    row_number() over (partition by p.a, p.nth order by s.score desc, s.vec_id, s.c) as rank
+  from p join s on p.a = s.a and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+)
+select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from n where rank <= 3
+"""
