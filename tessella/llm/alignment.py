@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections import Counter
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from .speculative_bpe import byte_letters
 from .tokenizing import LibraryPieces, _loaded, cuts
 
 #: Text that one task assembles at once.
-PART_BYTES = 8 << 20
+PART_BYTES = 16 << 20
 #: Pairs of ids that may be broadcast; more are joined by shuffling, with every pair's links in SALTS places.
 SENT_PAIRS = 1 << 20
 SALTS = 16
@@ -61,34 +63,35 @@ def links(tokens: DataFrame) -> DataFrame:
     )
 
 
-def group_texts(linked: DataFrame) -> DataFrame:
-    """(key, n_a, n_b, n_groups, n_links, groups): counts, and the groups as ``a1,a2|b1;a3|b2,b3``."""
+def grouped(linked: DataFrame) -> DataFrame:
+    """One row a key: n_a, n_b, n_groups, n_links, groups as the text ``a1,a2|b1;a3|b2,b3``, and links, its pairs (a_id, b_id)."""
     ids = lambda rows, ends_, id_: F.array_join(F.transform(F.filter(rows, lambda r: r[ends_]), lambda r: r[id_].cast("string")), ",")
-    rows = F.array_sort(F.collect_list(F.struct("end", "a_ends", "b_ends", "a_id", "b_id")))
-    count = lambda c: F.count_if(F.col(c)).alias(f"n_{c[0]}")
+    rows, count = F.array_sort(F.collect_list(F.struct("end", "a_ends", "b_ends", "a_id", "b_id"))), lambda c: F.count_if(F.col(c)).alias(f"n_{c[0]}")
     each = linked.groupBy("key", "group").agg(rows.alias("rows"), count("a_ends"), count("b_ends"), F.count("*").alias("n_links"))
-    each = each.select("key", "group", F.concat(ids(F.col("rows"), "a_ends", "a_id"), F.lit("|"), ids(F.col("rows"), "b_ends", "b_id")).alias("text"), "n_a", "n_b", "n_links")
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("group", "text"))), lambda r: r.text)
-    return each.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum("n_links").alias("n_links"), F.array_join(texts, ";").alias("groups"))
+    text = F.concat(ids(F.col("rows"), "a_ends", "a_id"), F.lit("|"), ids(F.col("rows"), "b_ends", "b_id"))
+    each = each.select("key", F.struct("group", text.alias("text")).alias("spelled"), F.transform("rows", lambda r: F.struct(r.a_id.alias("a_id"), r.b_id.alias("b_id"))).alias("pairs"), "n_a", "n_b", "n_links")
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list("spelled")), lambda r: r.text), ";")
+    sums = [F.sum(c).alias(c) for c in ("n_a", "n_b", "n_links")]
+    return each.groupBy("key").agg(*sums, F.count("*").alias("n_groups"), texts.alias("groups"), F.flatten(F.collect_list("pairs")).alias("links"))
 
 
-def pair_counts(linked: DataFrame, weights: DataFrame) -> DataFrame:
-    """(a_id, b_id, count, is_best): how many links hold a pair, each key ``occ`` times as (key, occ) say, and whether no other
-    pair of its b_id has more."""
-    own = linked.groupBy("key", "a_id", "b_id").count().join(weights, "key")
-    counts = own.groupBy("a_id", "b_id").agg(F.sum(F.col("count") * F.col("occ")).alias("count"))
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(a_id, b_id, count, is_best) of rows (links, occ): how many links hold a pair, each row's ``occ`` times, and whether no
+    other pair of its b_id has more."""
+    counts = rows.select("occ", F.inline("links")).groupBy("a_id", "b_id").agg(F.sum("occ").alias("count"))
     best = counts.groupBy("b_id").agg(F.max("count").alias("most"))
     return counts.join(best, "b_id").select("a_id", "b_id", "count", (F.col("count") == F.col("most")).alias("is_best"))
 
 
-def link_scores(linked: DataFrame, pairs: DataFrame, sent_pairs: int = SENT_PAIRS) -> DataFrame:
-    """(key, n_best, count_sum) over each key's links. ``pairs`` is a written table."""
+def link_scores(rows: DataFrame, pairs: DataFrame, key: str, sent_pairs: int = SENT_PAIRS) -> DataFrame:
+    """(key, n_best, count_sum) over the links of rows (key, links). ``pairs`` is a written table."""
+    linked = rows.select(key, F.inline("links"))
     if pairs.count() <= sent_pairs:
         joined = linked.join(F.broadcast(pairs), ["a_id", "b_id"])
     else:  # a frequent pair stands in many keys: its links are spread over SALTS places
         copies = pairs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = linked.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(copies, ["a_id", "b_id", "salt"])
-    return joined.groupBy("key").agg(F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
+        joined = linked.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")).join(copies, ["a_id", "b_id", "salt"])
+    return joined.groupBy(key).agg(F.count_if("is_best").alias("n_best"), F.sum("count").alias("count_sum"))
 
 
 class PieceModels:
@@ -155,23 +158,37 @@ def cut_rows(column: pa.Array, most: int = 1 << 20):
 
 
 def parted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, doc_id, text) with at most about PART_BYTES of text a part."""
+    """(part, docs): parts of about PART_BYTES of text, each one row, its ids and texts packed."""
 
     def deal(batches):
         from pyspark import TaskContext
 
-        task, n, held = TaskContext.get().partitionId(), 0, 0
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def emit():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([task << 32 | n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "docs"])
+
         for batch in batches:
-            _, offs = buffers(batch.column(1))
-            part = np.empty(batch.num_rows, np.int64)
-            for k, size in enumerate(np.diff(offs).tolist()):
-                if held and held + size > PART_BYTES:
-                    n, held = n + 1, 0
-                held += size
-                part[k] = task << 32 | n
-            yield pa.RecordBatch.from_arrays([pa.array(part), *batch.columns], ["part", "doc_id", "text"])
+            for i, j in runs(buffers(batch.column(1))[1], PART_BYTES):
+                own = batch.slice(i, j - i)
+                more = own.nbytes
+                if held and size + more > PART_BYTES:
+                    yield emit()
+                    n, held, size = n + 1, [], 0
+                held.append(own)
+                size += more
+        if held:
+            yield emit()
+
+    return rest(docs, [id_col], text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(deal, "part long, docs binary")
+
 
-    return rest(docs, [id_col], text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(deal, "part long, doc_id long, text string")
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 def stretches(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -180,32 +197,24 @@ def stretches(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
     def count(batches):
         own = models(a_path, b_path)
         odd: dict[bytes, bool] = {}  # of pieces beyond plain ASCII, whether the bytes come back
-        known: dict[int, dict[bytes, int]] = {}
-
-        def emit(part):
-            found = known.pop(part)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), part, np.int64)), pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], ["part", "piece", "occ"])
-
         for batch in batches:
-            numbers = batch.column(0).to_pylist()
-            for i, pieces, at in cut_rows(batch.column(2)):
-                new = list({p for p in pieces if not p.isascii()} - odd.keys())
-                for k in range(0, len(new), CALL):
-                    group = new[k : k + CALL]
-                    odd |= {p: own.same_bytes(p, x) for p, x in zip(group, own.b_ids(group))}
-                bad = {k for k, p in enumerate(pieces) if not odd.get(p, True)}
-                for row, (a, b) in enumerate(zip(at, at[1:]), i):
-                    if bad and not bad.isdisjoint(range(a, b)):
-                        continue
-                    counts = known.setdefault(numbers[row], {})
-                    for p in pieces[a:b]:
-                        counts[p] = counts.get(p, 0) + 1
-                if len(odd) > 1 << 18:
-                    odd.clear()
-            for part in [p for p in known if p != numbers[-1]] if numbers else []:
-                yield emit(part)
-        for part in list(known):
-            yield emit(part)
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = Counter()
+                for _, pieces, at in cut_rows(unpacked(blob.as_py()).column("text")):
+                    new = list({p for p in pieces if not p.isascii()} - odd.keys())
+                    for k in range(0, len(new), CALL):
+                        group = new[k : k + CALL]
+                        odd |= {p: own.same_bytes(p, x) for p, x in zip(group, own.b_ids(group))}
+                    bad = {k for k, p in enumerate(pieces) if not odd.get(p, True)}
+                    for a, b in zip(at, at[1:]) if bad else [(0, len(pieces))]:
+                        if bad.isdisjoint(range(a, b)) if bad else True:
+                            counts.update(pieces[a:b])
+                    if len(odd) > 1 << 18:
+                        odd.clear()
+                found = list(counts)
+                for k in range(0, len(found), 1 << 16):
+                    some = found[k : k + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int64)), pa.array(some, pa.binary()), pa.array([counts[p] for p in some], pa.int64())], ["part", "piece", "occ"])
 
     return parts.mapInArrow(count, "part long, piece binary, occ long")
 
@@ -243,43 +252,61 @@ def assembled(parts: DataFrame, known: DataFrame) -> DataFrame:
     """Figures and the digest of the groups of each document, from its part's stretches."""
     names = ["doc_id", *FIGURES, "groups_sha256"]
 
-    def assemble(key, docs: pa.Table, own: pa.Table) -> pa.Table:
+    def assemble(key, packed: pa.Table, own: pa.Table) -> pa.Table:
+        docs = unpacked(packed.column("docs")[0].as_py())
         place = {p: k for k, p in enumerate(own.column("piece").to_pylist())}
-        figures = np.stack([own.column(c).to_numpy() for c in FIGURES], 1) if len(own) else np.zeros((0, len(FIGURES)), np.int64)
+        figures = np.stack([own.column(c).to_numpy() for c in FIGURES], 1)
         text, offs = buffers(own.column("groups"))
         lengths = np.diff(offs)
         sums, digests = np.zeros((docs.num_rows, len(FIGURES)), np.int64), [""] * docs.num_rows
-        for i, pieces, at in cut_rows(docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())):
+        for i, pieces, at in cut_rows(docs.column("text")):
             found = np.array([place.get(p, -1) for p in pieces], np.int64)
             for row, (a, b) in enumerate(zip(at, at[1:]), i):
                 k = found[a:b]
                 if a == b or (k < 0).any():
                     continue
                 sums[row] = figures[k].sum(0)
-                digest, size = hashlib.sha256(), lengths[k] + 1
+                digest = hashlib.sha256()
                 for c in range(0, len(k), 1 << 16):  # every stretch's text and a semicolon, but for the last
-                    some, n = k[c : c + (1 << 16)], size[c : c + (1 << 16)]
+                    some = k[c : c + (1 << 16)]
+                    n = lengths[some] + 1
                     spelled = np.full(int(n.sum()), 59, np.uint8)
-                    begin = np.cumsum(n) - n
-                    spelled[spread(begin, n - 1)] = text[spread(offs[some], n - 1)]
+                    spelled[spread(np.cumsum(n) - n, n - 1)] = text[spread(offs[some], n - 1)]
                     digest.update(spelled[: -1 if c + len(some) == len(k) else None].tobytes())
                 digests[row] = digest.hexdigest()
-        return pa.table([docs.column("doc_id").cast(pa.int64()), *[pa.array(sums[:, c]) for c in range(len(FIGURES))], pa.array(digests, pa.string())], names)
+        return pa.table([docs.column("doc_id"), *[pa.array(sums[:, c]) for c in range(len(FIGURES))], pa.array(digests, pa.string())], names)
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string"
     return parts.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(assemble, schema)
 
 
+@contextmanager
+def joined_by_key(spark):
+    """Within, a join on a key and more takes sides that are dealt by the key as they are."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best (links whose pair has its b_id's highest count), count_sum (of the links'
     pairs over the corpus) and groups_sha256 ('' without tokens)."""
-    scratch = Scratch(docs.sparkSession)
-    parts = scratch.write(parted(docs, id_col, text_col))
-    held = scratch.write(stretches(parts, a_path, b_path).groupBy("part", "piece").agg(F.sum("occ").alias("occ")))
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    parts = scratch.write(parted(docs, id_col, text_col), "none")
+    held = scratch.write(stretches(parts, a_path, b_path))
     distinct = held.groupBy("piece").agg(F.sum("occ").alias("occ")).withColumn("key", F.monotonically_increasing_id())
     tokens = scratch.write(encoded(distinct, a_path, b_path))
-    linked = scratch.write(links(tokens))
-    pairs = scratch.write(pair_counts(linked, tokens.select("key", "occ")))
-    results = group_texts(linked).join(link_scores(linked, pairs), "key").join(tokens.select("key", "piece"), "key").drop("key")
-    known = held.select("part", "piece").join(results, "piece")
+    dealt = tokens.repartition("key")
+    with joined_by_key(spark):
+        aligned = scratch.write(grouped(links(dealt)).join(dealt.select("key", "piece", "occ"), "key").drop("key"))
+    scratch.drop(tokens)
+    pairs = scratch.write(pair_counts(aligned))
+    results = aligned.drop("links", "occ").join(link_scores(aligned, pairs, "piece"), "piece")
+    known = scratch.write(held.select("part", "piece").join(results, "piece"))
+    scratch.drop(held, aligned, pairs)
     return assembled(parts, known)

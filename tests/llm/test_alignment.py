@@ -103,12 +103,12 @@ def test_parts_and_empty_tables(spark, docs, monkeypatch):
 def test_links_of_given_tokens(spark):
     """Tokens of any kind; a group that never cuts stays linear; frequent pairs joined by shuffling give the same."""
     sides = [([3, 2, 4], [5, 1, 3]), ([1] + [4] * 500, [3] + [4] * 499 + [2]), ([2, 2], [2, 2])]
-    rows = [(k, 10 + k, [(i % 3, n) for i, n in enumerate(a)], [(i % 5, n) for i, n in enumerate(b)]) for k, (a, b) in enumerate(sides)]
-    tokens = spark.createDataFrame(rows, "key long, occ long, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>")
+    given = [(k, 10 + k, [(i % 3, n) for i, n in enumerate(a)], [(i % 5, n) for i, n in enumerate(b)]) for k, (a, b) in enumerate(sides)]
+    tokens = spark.createDataFrame(given, "key long, occ long, a array<struct<id:int,size:int>>, b array<struct<id:int,size:int>>")
     linked = alignment.links(tokens).cache()
     found = sorted(tuple(r) for r in linked.collect())
     want, counts = [], collections.Counter()
-    for key, occ, a, b in rows:
+    for key, occ, a, b in given:
         ends = [np.cumsum([n for _, n in x]).tolist() for x in (a, b)]
         cuts = sorted(set(ends[0]) & set(ends[1]))
         last = 0
@@ -118,12 +118,13 @@ def test_links_of_given_tokens(spark):
             counts[a[i][0], b[j][0]] += occ
             last = e
     assert found == sorted(want) and len([w for w in want if w[0] == 1]) == 1001
-    pairs = alignment.pair_counts(linked, tokens.select("key", "occ")).cache()
+    rows = alignment.grouped(linked).join(tokens.select("key", "occ"), "key").cache()
+    pairs = alignment.pair_counts(rows).cache()
     best = {b: max(n for (_, y), n in counts.items() if y == b) for _, b in counts}
     assert {(r.a_id, r.b_id): (r["count"], r.is_best) for r in pairs.collect()} == {p: (n, n == best[p[1]]) for p, n in counts.items()}
-    sent, dealt = (sorted(map(tuple, alignment.link_scores(linked, pairs, most).collect())) for most in (1000, 0))
+    sent, dealt = (sorted(map(tuple, alignment.link_scores(rows, pairs, "key", most).collect())) for most in (1000, 0))
     assert sent == dealt and [r[0] for r in sent] == [0, 1, 2]
-    texts = {r.key: r.groups for r in alignment.group_texts(linked).collect()}
+    texts = {r.key: r.groups for r in rows.collect()}
     assert texts[0] == "0,1|0;2|1,2" and texts[2] == "0|0;1|1"
 
 
