@@ -33,7 +33,7 @@ from .speculative_bpe import byte_letters
 from .tokenizing import LibraryPieces, _loaded, cuts
 
 #: Text that one task assembles at once.
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 #: Pairs of ids that may be broadcast; more are joined by shuffling, with every pair's links in SALTS places.
 SENT_PAIRS = 1 << 20
 SALTS = 16
@@ -196,25 +196,25 @@ def stretches(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     def count(batches):
         own = models(a_path, b_path)
-        odd: dict[bytes, bool] = {}  # of pieces beyond plain ASCII, whether the bytes come back
+        kept: dict[str, bool] = {}  # of characters beyond ASCII, whether their bytes come back
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                 counts = Counter()
                 for _, pieces, at in cut_rows(unpacked(blob.as_py()).column("text")):
-                    new = list({p for p in pieces if not p.isascii()} - odd.keys())
-                    for k in range(0, len(new), CALL):
-                        group = new[k : k + CALL]
-                        odd |= {p: own.same_bytes(p, x) for p, x in zip(group, own.b_ids(group))}
-                    bad = {k for k, p in enumerate(pieces) if not odd.get(p, True)}
+                    odd = {p for p in pieces if not p.isascii()} - counts.keys()
+                    new = set(b"".join(odd).decode()) - kept.keys()
+                    kept |= {c: own.same_bytes(x := f" {c}".encode(), own.b_ids([x])[0]) for c in new}
+                    lost = {c for c, fine in kept.items() if not fine}
+                    bad = {k for k, p in enumerate(pieces) if not p.isascii() and not lost.isdisjoint(p.decode())} if lost else ()
                     for a, b in zip(at, at[1:]) if bad else [(0, len(pieces))]:
-                        if bad.isdisjoint(range(a, b)) if bad else True:
+                        if not bad or bad.isdisjoint(range(a, b)):
                             counts.update(pieces[a:b])
-                    if len(odd) > 1 << 18:
-                        odd.clear()
                 found = list(counts)
                 for k in range(0, len(found), 1 << 16):
                     some = found[k : k + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int64)), pa.array(some, pa.binary()), pa.array([counts[p] for p in some], pa.int64())], ["part", "piece", "occ"])
+                del counts, found
+                pa.default_memory_pool().release_unused()
 
     return parts.mapInArrow(count, "part long, piece binary, occ long")
 
@@ -237,7 +237,7 @@ def encoded(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 begin[order], many[order] = np.cumsum(lengths) - lengths, lengths
                 b = own.b_ids(group)
                 if not all(own.same_bytes(p, x) for p, x in zip(group, b)):
-                    raise ValueError("a stretch of plain text lost bytes")
+                    raise ValueError("a stretch of characters that come back alone lost bytes")
                 b_flat = np.array([i for x in b for i in x], np.int64)
                 columns = [batch.column(c).slice(at, len(group)) for c in range(3)]
                 yield pa.RecordBatch.from_arrays([*columns, lists(flat[spread(begin, many)].astype(np.int64), own.a_size, many), lists(b_flat, own.b_size, [len(x) for x in b])], ["key", "piece", "occ", "a", "b"])
@@ -254,7 +254,7 @@ def assembled(parts: DataFrame, known: DataFrame) -> DataFrame:
 
     def assemble(key, packed: pa.Table, own: pa.Table) -> pa.Table:
         docs = unpacked(packed.column("docs")[0].as_py())
-        place = {p: k for k, p in enumerate(own.column("piece").to_pylist())}
+        place = dict(zip(own.column("piece").to_pylist(), range(own.num_rows)))
         figures = np.stack([own.column(c).to_numpy() for c in FIGURES], 1)
         text, offs = buffers(own.column("groups"))
         lengths = np.diff(offs)
