@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 from contextlib import contextmanager
 
 import numpy as np
@@ -32,8 +31,8 @@ from .common import Scratch, buffers, rest, runs, spread
 from .speculative_bpe import byte_letters
 from .tokenizing import LibraryPieces, _loaded, cuts
 
-#: Text that one task assembles at once.
-PART_BYTES = 8 << 20
+#: Text that one task codes and assembles at once.
+PART_BYTES = 12 << 20
 #: Pairs of ids that may be broadcast; more are joined by shuffling, with every pair's links in SALTS places.
 SENT_PAIRS = 1 << 20
 SALTS = 16
@@ -157,66 +156,60 @@ def cut_rows(column: pa.Array, most: int = 1 << 20):
         yield i, [raw[a:b] for a, b in zip(marks, [*marks[1:], len(raw)])], np.searchsorted(starts, offs).tolist()
 
 
-def parted(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(part, docs): parts of about PART_BYTES of text, each one row, its ids and texts packed."""
+def coded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str) -> DataFrame:
+    """Parts of about PART_BYTES of text: rows (part, code, piece, occ) of how often a part's usable documents hold each stretch,
+    and one row (part, docs) each with the documents' ids and their stretches' codes, none for an unusable document."""
 
-    def deal(batches):
+    def code(batches):
         from pyspark import TaskContext
 
-        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+        own, kept = models(a_path, b_path), {}  # of characters beyond ASCII, whether their bytes come back
+        task, n = TaskContext.get().partitionId(), 0
+        ids, place, codes, sizes, held = [], {}, [], [], 0
 
         def emit():
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for x in held:
-                    out.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([task << 32 | n]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["part", "docs"])
+            pieces, flat, counts = list(place), np.concatenate(codes), np.concatenate(sizes)
+            odd = [k for k, p in enumerate(pieces) if not p.isascii()]
+            new = set("".join([pieces[k].decode() for k in odd])) - kept.keys()
+            kept.update({c: own.same_bytes(x := f" {c}".encode(), own.b_ids([x])[0]) for c in new})
+            if lost := {c for c, fine in kept.items() if not fine}:
+                bad = np.zeros(len(pieces), bool)
+                bad[[k for k in odd if not lost.isdisjoint(pieces[k].decode())]] = True
+                row = np.repeat(np.arange(len(counts)), counts)
+                void = np.zeros(len(counts), bool)
+                void[row[bad[flat]]] = True
+                flat, counts = flat[~void[row]], np.where(void, 0, counts)
+            sink, table = pa.BufferOutputStream(), pa.table([pa.concat_arrays(ids), pa.array(counts)], ["doc_id", "size"])
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            blob = pa.compress(flat.astype("<u4").tobytes(), "zstd").to_pybytes()
+            packed = len(flat).to_bytes(8, "little") + len(blob).to_bytes(8, "little") + blob + sink.getvalue().to_pybytes()
+            part, occ = task << 32 | n, np.bincount(flat, minlength=len(pieces))
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, None, None, None, packed), kinds)], names)
+            some = np.flatnonzero(occ)
+            for at in range(0, len(some), 1 << 16):
+                k = some[at : at + (1 << 16)]
+                columns = [pa.array(np.full(len(k), part)), pa.array(k.astype(np.int32)), pa.array([pieces[x] for x in k.tolist()], pa.binary()), pa.array(occ[k]), pa.nulls(len(k), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
-            for i, j in runs(buffers(batch.column(1))[1], PART_BYTES):
-                own = batch.slice(i, j - i)
-                more = own.nbytes
-                if held and size + more > PART_BYTES:
-                    yield emit()
-                    n, held, size = n + 1, [], 0
-                held.append(own)
-                size += more
-        if held:
-            yield emit()
-
-    return rest(docs, [id_col], text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(deal, "part long, docs binary")
-
-
-def unpacked(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
-
-
-def stretches(parts: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """(part, piece, occ): how often each part's usable documents hold a stretch."""
-
-    def count(batches):
-        own = models(a_path, b_path)
-        kept: dict[str, bool] = {}  # of characters beyond ASCII, whether their bytes come back
-        for batch in batches:
-            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = Counter()
-                for _, pieces, at in cut_rows(unpacked(blob.as_py()).column("text")):
-                    odd = {p for p in pieces if not p.isascii()} - counts.keys()
-                    new = set(b"".join(odd).decode()) - kept.keys()
-                    kept |= {c: own.same_bytes(x := f" {c}".encode(), own.b_ids([x])[0]) for c in new}
-                    lost = {c for c, fine in kept.items() if not fine}
-                    bad = {k for k, p in enumerate(pieces) if not p.isascii() and not lost.isdisjoint(p.decode())} if lost else ()
-                    for a, b in zip(at, at[1:]) if bad else [(0, len(pieces))]:
-                        if not bad or bad.isdisjoint(range(a, b)):
-                            counts.update(pieces[a:b])
-                found = list(counts)
-                for k in range(0, len(found), 1 << 16):
-                    some = found[k : k + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), part, np.int64)), pa.array(some, pa.binary()), pa.array([counts[p] for p in some], pa.int64())], ["part", "piece", "occ"])
-                del counts, found
-                pa.default_memory_pool().release_unused()
-
-    return parts.mapInArrow(count, "part long, piece binary, occ long")
+            for i, pieces, at in cut_rows(batch.column(1)):
+                rows = len(at) - 1
+                ids.append(batch.column(0).slice(i, rows))
+                codes.append(np.array([place.setdefault(p, len(place)) for p in pieces], np.int64))
+                sizes.append(np.diff(at))
+                held += sum(map(len, pieces))
+                if held >= PART_BYTES:
+                    yield from emit()
+                    n, held = n + 1, 0
+                    ids, place, codes, sizes = [], {}, [], []
+        if ids:
+            yield from emit()
+
+    names = ["part", "code", "piece", "occ", "docs"]
+    plain = rest(docs, [id_col], text_col).toDF("doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return plain.mapInArrow(code, "part long, code int, piece binary, occ long, docs binary")
 
 
 def encoded(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
@@ -249,31 +242,32 @@ FIGURES = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
 def assembled(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """Figures and the digest of the groups of each document, from its part's stretches."""
+    """Figures and the digest of the groups of each document, from its codes and its part's stretches."""
     names = ["doc_id", *FIGURES, "groups_sha256"]
 
     def assemble(key, packed: pa.Table, own: pa.Table) -> pa.Table:
-        docs = unpacked(packed.column("docs")[0].as_py())
-        place = dict(zip(own.column("piece").to_pylist(), range(own.num_rows)))
-        figures = np.stack([own.column(c).to_numpy() for c in FIGURES], 1)
-        text, offs = buffers(own.column("groups"))
-        lengths = np.diff(offs)
-        sums, digests = np.zeros((docs.num_rows, len(FIGURES)), np.int64), [""] * docs.num_rows
-        for i, pieces, at in cut_rows(docs.column("text")):
-            found = np.array([place.get(p, -1) for p in pieces], np.int64)
-            for row, (a, b) in enumerate(zip(at, at[1:]), i):
-                k = found[a:b]
-                if a == b or (k < 0).any():
-                    continue
-                sums[row] = figures[k].sum(0)
-                digest = hashlib.sha256()
-                for c in range(0, len(k), 1 << 16):  # every stretch's text and a semicolon, but for the last
-                    some = k[c : c + (1 << 16)]
-                    n = lengths[some] + 1
-                    spelled = np.full(int(n.sum()), 59, np.uint8)
-                    spelled[spread(np.cumsum(n) - n, n - 1)] = text[spread(offs[some], n - 1)]
-                    digest.update(spelled[: -1 if c + len(some) == len(k) else None].tobytes())
-                digests[row] = digest.hexdigest()
+        blob = packed.column("docs")[0].as_py()
+        n, size = (int.from_bytes(blob[k : k + 8], "little") for k in (0, 8))
+        codes = np.frombuffer(pa.decompress(blob[16 : 16 + size], 4 * n, "zstd", asbytes=True), "<u4")
+        docs = pa.ipc.open_stream(blob[16 + size :]).read_all()
+        at = own.column("code").to_numpy()
+        many = int(at.max()) + 1 if len(at) else 0
+        figures, texts = np.zeros((many, len(FIGURES)), np.int64), np.empty(many, object)
+        for c, name in enumerate(FIGURES):
+            figures[at, c] = own.column(name).to_numpy()
+        texts[at] = own.column("groups").cast(pa.binary()).to_pylist()
+        spell = texts.tolist().__getitem__
+        sums, digests, begin = np.zeros((docs.num_rows, len(FIGURES)), np.int64), [""] * docs.num_rows, 0
+        for row, many in enumerate(docs.column("size").to_pylist()):
+            if not many:
+                continue
+            digest = hashlib.sha256()
+            for c in range(begin, begin + many, 1 << 16):
+                some = codes[c : min(c + (1 << 16), begin + many)]
+                sums[row] += figures[some].sum(0)
+                digest.update((b";" if c > begin else b"") + b";".join(map(spell, some.tolist())))
+            digests[row] = digest.hexdigest()
+            begin += many
         return pa.table([docs.column("doc_id"), *[pa.array(sums[:, c]) for c in range(len(FIGURES))], pa.array(digests, pa.string())], names)
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in FIGURES) + ", groups_sha256 string"
@@ -297,8 +291,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     pairs over the corpus) and groups_sha256 ('' without tokens)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    parts = scratch.write(parted(docs, id_col, text_col), "none")
-    held = scratch.write(stretches(parts, a_path, b_path))
+    whole = scratch.write(coded(docs, a_path, b_path, id_col, text_col))
+    parts, held = whole.where("docs is not null").select("part", "docs"), whole.where("docs is null").drop("docs")
     distinct = held.groupBy("piece").agg(F.sum("occ").alias("occ")).withColumn("key", F.monotonically_increasing_id())
     tokens = scratch.write(encoded(distinct, a_path, b_path))
     dealt = tokens.repartition("key")
@@ -307,6 +301,6 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     scratch.drop(tokens)
     pairs = scratch.write(pair_counts(aligned))
     results = aligned.drop("links", "occ").join(link_scores(aligned, pairs, "piece"), "piece")
-    known = scratch.write(held.select("part", "piece").join(results, "piece"))
-    scratch.drop(held, aligned, pairs)
+    known = scratch.write(held.select("part", "code", "piece").join(results, "piece").drop("piece"))
+    scratch.drop(aligned, pairs)
     return assembled(parts, known)
