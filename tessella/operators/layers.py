@@ -19,6 +19,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions import overlay as O
 from ..functions.geometry import UnsupportedGeometry, area, bounds, parse_any
+from ..sources.shape_ranges import record_bytes
 from . import spatial
 from .grouping import group_key
 from .staging import settled
@@ -233,6 +234,16 @@ def border(a: Column) -> Column:
     return _border(a)
 
 
+@pandas_udf(T.BinaryType())
+def _record(a: pd.Series) -> pd.Series:
+    return pd.Series([record_bytes(parse_any(x)) if x else None for x in a])
+
+
+def shape_record(a: Column) -> Column:
+    """Polygon texts as the contents of shape records."""
+    return _record(a)
+
+
 def subdivided(df: DataFrame, ids: list[str], most: int = 256) -> DataFrame:
     """Pieces (ids, piece, geom, area, n_vertices) with at most ``most`` vertices of repaired geometries."""
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..operators import layers, upserts
 from ..operators.staging import settled
 from ..registry import query, table
+from ..sources import shape_ranges
 
 #: Rings (rec, k, brand, kind, x1, y1, x2, y2): kind 4 has a hole, 5 a ring across the first one, 7 no area; some have no geometry or no key.
 _BASE = """(select p_partkey as rec, p_brand as brand, p_partkey % 8 as kind, p_partkey % 41 = 0 as bare, p_partkey * 37 % 1000 as x, p_partkey * 91 % 1000 + p_partkey // 12500 * 1000 as y, 6 + p_size % 20 as w, 6 + p_size % 13 as h,
@@ -149,3 +150,10 @@ def k14_gated_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
         return out.select(F.lit(name).alias("layer"), "n_old", F.round("area_old", 6).alias("area_old"), F.round("area_new", 6).alias("area_new"), "passes")
 
     return gate("whole", found).unionByName(gate("lost", found.where("nation <> 3")))
+
+
+@query(f"""with {_CELLS} select cast(rec as bigint) as rec, cast(count(*) as double) as area, cast((rec % 8 = 4)::int as bigint) as n_holes from cells group by rec""")
+def s23_record_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels as records of a shapefile, read back: rings measured, holes put into their shells by winding numbers."""
+    whole = layers.examined(parcels(spark, sf_dir), "geom").where("geom is not null").select("rec", layers.shape_record(F.col("geom")).alias("content"))
+    return shape_ranges.record_parts(whole, "content").groupBy("rec").agg(F.sum("area").alias("area"), F.sum("n_holes").alias("n_holes"))

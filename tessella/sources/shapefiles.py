@@ -13,32 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.geometry import assemble
 
 
-def read_dbf(raw: bytes, encoding: str = "cp1252"):
-    """(fields, rows): rows are value lists, None for a deleted one. Blanks are null, dates ISO, logicals boolean."""
-    count, head, size = struct.unpack_from("<IHH", raw, 4)
+def dbf_fields(head: bytes) -> list[tuple[str, str, int, int]]:
+    """(name, kind, width, decimals) of a table's fields, from its header."""
     fields, at = [], 32
-    while at + 32 <= head and raw[at] != 0x0D:
-        name = raw[at : at + 11].split(b"\0")[0].decode("ascii", "replace")
-        fields.append((name, chr(raw[at + 11]), raw[at + 16], raw[at + 17]))
+    while at + 32 <= len(head) and head[at] != 0x0D:
+        name = head[at : at + 11].split(b"\0")[0].decode("ascii", "replace")
+        fields.append((name, chr(head[at + 11]), head[at + 16], head[at + 17]))
         at += 32
-
-    def value(kind, text):
-        text = text.decode(encoding, "replace").strip(" \0")
-        if not text:
+    return fields
+
+
+def dbf_value(kind: str, text: bytes, encoding: str):
+    """A field's value: blanks are null, dates ISO, logicals boolean."""
+    text = text.decode(encoding, "replace").strip(" \0")
+    if not text:
+        return None
+    if kind in "NFO":
+        try:
+            number = float(text)
+            return None if number != number else number
+        except ValueError:
             return None
-        if kind in "NFO":
-            try:
-                number = float(text)
-                return None if number != number else number
-            except ValueError:
-                return None
-        if kind == "L":
-            return text[0] in "yYtT1"
-        if kind == "D" and len(text) == 8:
-            return f"{text[:4]}-{text[4:6]}-{text[6:]}"
-        return text
-
-    rows = []
+    if kind == "L":
+        return text[0] in "yYtT1"
+    if kind == "D" and len(text) == 8:
+        return f"{text[:4]}-{text[4:6]}-{text[6:]}"
+    return text
+
+
+def read_dbf(raw: bytes, encoding: str = "cp1252"):
+    """(fields, rows): rows are value lists, None for a deleted one."""
+    count, head, size = struct.unpack_from("<IHH", raw, 4)
+    fields, rows = dbf_fields(raw[:head]), []
     for k in range(count):
         start = head + k * size
         if raw[start : start + 1] == b"*":
@@ -46,7 +52,7 @@ def read_dbf(raw: bytes, encoding: str = "cp1252"):
             continue
         at, row = start + 1, []
         for _, kind, width, _ in fields:
-            row.append(value(kind, raw[at : at + width]))
+            row.append(dbf_value(kind, raw[at : at + width], encoding))
             at += width
         rows.append(row)
     return fields, rows
