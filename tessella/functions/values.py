@@ -63,7 +63,11 @@ def glyph_match(damaged: Column, clean: Column) -> Column:
 def equivalent(a: Column, b: Column, encoding: bool = True) -> Column:
     """Equality of cleaned values, case kept; with ``encoding`` also through repair and damaged characters, which is
     looked at only where a suspicious character stands."""
-    x, y = clean_value(a), clean_value(b)
+    return equivalent_cleaned(clean_value(a), clean_value(b), encoding)
+
+
+def equivalent_cleaned(x: Column, y: Column, encoding: bool = True) -> Column:
+    """``equivalent`` of values that are cleaned already."""
     if not encoding:
         return x == y
     odd = x.rlike(f"[ÃÂ]|{GLYPH}") | y.rlike(f"[ÃÂ]|{GLYPH}")
@@ -144,6 +148,17 @@ def sql_literal(c: Column) -> Column:
     return F.when(c.isNull(), "NULL").when(c.rlike(r"[\\\n]"), F.concat(F.lit("E'"), escaped, F.lit("'"))).otherwise(F.concat(F.lit("'"), doubled, F.lit("'")))
 
 
+def sql_geometry(text: Column, file_srid: int, target_srid: int, multi: bool) -> Column:
+    """A geometry text as a SQL expression: read with the file's SRID, transformed where the target's differs, as a multi-part
+    geometry where the target's column wants it; NULL without one."""
+    made = F.concat(F.lit("ST_GeomFromText("), sql_literal(text), F.lit(f", {file_srid})"))
+    if target_srid != file_srid:
+        made = F.concat(F.lit("ST_Transform("), made, F.lit(f", {target_srid})"))
+    if multi:
+        made = F.concat(F.lit("ST_Multi("), made, F.lit(")"))
+    return F.when(text.isNull(), "NULL").otherwise(made)
+
+
 def sql_identifier(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 

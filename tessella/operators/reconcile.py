@@ -10,10 +10,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import values as V
-from ..functions.geometry import same_geometry
+from ..functions.geometry import same_geometry, traits
+from .pairing import nearest_pairs
+from .staging import settled
 
 
 @dataclass(frozen=True)
@@ -32,32 +34,6 @@ class ReconcileConfig:
         return self.source_of.get(column, column)
 
 
-ITEM = "key string, type string, n_differences int, differences array<struct<field:string,db_value:string,file_value:string>>"
-
-
-def sides(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> tuple[DataFrame, DataFrame]:
-    """(key, rec, sig, v0..., geom) of both; target rows without a key are dropped, the source's stay with a null key."""
-
-    def side(df: DataFrame, keys, name):
-        key = V.composite_key([F.col(k) for k in keys], cfg.placeholders, cfg.encoding)
-        cols = [F.col(name(c)).cast("string").alias(f"v{i}") for i, c in enumerate(cfg.compared)]
-        geom = F.col(name(cfg.geometry)) if cfg.geometry else F.lit(None)
-        df = df.select(key.alias("key"), F.col("rec"), *cols, geom.cast("string").alias("geom"))
-        content = [F.col("key"), *[F.col(f"v{i}") for i in range(len(cols))], *[F.col("geom")] * bool(cfg.geometry)]
-        return df.withColumn("sig", V.content_signature(content))
-
-    return side(target, cfg.keys, lambda c: c).where("key is not null"), side(source, cfg.source_keys or cfg.keys, cfg.source)
-
-
-def differences(cfg: ReconcileConfig, a: str = "t", b: str = "s") -> Column:
-    """Fields that aren't equivalent, with both values."""
-    found = [
-        F.when(~V.equivalent(F.col(f"{a}.v{i}"), F.col(f"{b}.v{i}"), cfg.encoding), F.struct(F.lit(c).alias("field"), F.col(f"{a}.v{i}").alias("db_value"), F.col(f"{b}.v{i}").alias("file_value")))
-        for i, c in enumerate(cfg.compared)
-    ]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-
 def contents(t: DataFrame, s: DataFrame) -> DataFrame:
     """One row per key and content, with its first row and number of rows on each side, and its key's figures: rows on each
     side (key_t, key_s), contents of the source (kinds_s), and contents that have no partner (left_t, left_s)."""
@@ -89,49 +65,108 @@ def target_twins(t: DataFrame, rows: DataFrame) -> DataFrame:
 
 def exact_pairs(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
     """Pairing, without geometry, of the keys that repeat on a side and stand in the target."""
-    t, s = sides(target, source, cfg)
+    both = staged(target, source, cfg)
+    t, s = both.where("is_t"), both.where("not is_t")
     rows = contents(t, s).where("key_t > 0 and (key_t > 1 or key_s > 1)")
     return paired(rows).unionByName(target_twins(t, rows))
 
 
+def staged(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
+    """Both sides in one written table: side (is_t), rec, key, values as stored (v0...) and cleaned (c0...), geometry with its traits,
+    and two signatures: of key and cleaned values (attr), and with the geometry's canonical key (sig). Target rows without a
+    key are left out."""
+
+    def side(df: DataFrame, keys, name, is_t: bool) -> DataFrame:
+        key = V.composite_key([F.col(k) for k in keys], cfg.placeholders, cfg.encoding)
+        raw = [F.col(name(c)).cast("string") for c in cfg.compared]
+        geom = F.col(name(cfg.geometry)) if cfg.geometry else F.lit(None)
+        each = [f(v).alias(f"{p}{i}") for p, f in (("v", lambda v: v), ("c", V.clean_value)) for i, v in enumerate(raw)]
+        return df.select(F.lit(is_t).alias("is_t"), F.col("rec").cast("long").alias("rec"), key.alias("key"), *each, geom.cast("string").alias("geom"))
+
+    both = side(target, cfg.keys, lambda c: c, True).where("key is not null").unionByName(side(source, cfg.source_keys or cfg.keys, cfg.source, False))
+    if cfg.geometry:
+        both = both.withColumn("_g", traits(F.col("geom"))).select(*both.columns, "_g.*")
+    else:
+        both = both.select("*", F.lit(None).cast("string").alias("shape"), F.lit(False).alias("flat"))
+    both = both.withColumn("attr", F.to_json(F.array("key", *[f"c{i}" for i in range(len(cfg.compared))])))
+    return settled(both.withColumn("sig", F.concat_ws("#", "attr", "shape")))
+
+
+def classes(both: DataFrame, cfg: ReconcileConfig) -> DataFrame:
+    """One row per key and content: its first row (t, s) and number of rows (tn, sn) on each side, and its key's figures: rows
+    (key_t, key_s), contents of the source (kinds_s), and on each side contents without a partner and those with a place."""
+    held = [c for c in both.columns if c not in ("is_t", "key", "sig", "flat", "shape")]
+    row, is_t = F.struct(*held), F.col("is_t")
+    each = both.where("key is not null and (is_t or not flat)").groupBy("key", "sig").agg(
+        F.min_by(row, F.when(is_t, F.col("rec"))).alias("t"), F.count_if(is_t).alias("tn"), F.min_by(row, F.when(~is_t, F.col("rec"))).alias("s"), F.count_if(~is_t).alias("sn")
+    )
+    alone = {"t": (F.col("tn") > 0) & (F.col("sn") == 0), "s": (F.col("sn") > 0) & (F.col("tn") == 0)}
+    placed = [F.count_if(alone[k] & F.col(f"{k}.x").isNotNull()).alias(f"placed_{k}") for k in "ts"] if cfg.geometry else []
+    keys = each.groupBy("key").agg(F.sum("tn").alias("key_t"), F.sum("sn").alias("key_s"), F.count_if(F.col("sn") > 0).alias("kinds_s"), *[F.count_if(alone[k]).alias(f"left_{k}") for k in "ts"], *placed)
+    return settled(each.join(keys, "key"))
+
+
 def items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
     """(key, type, differences, db_rec, file_rec, n_rows): every item of a comparison. n_rows is over 1 only for
     SKIPPED_TWIN, the source's rows after the first of a content. Differences stand on compared pairs; a geometry that
-    differs decides the type, whatever the attributes."""
-    t, s = sides(target, source, cfg)
-    rows = contents(t, s)
-    pairs = paired(rows)
-    values = F.struct(*[f"v{i}" for i in range(len(cfg.compared))], "geom")
-    db, file, none = F.col("db_rec"), F.col("file_rec"), F.lit(None).cast("long")
-    single = pairs.where("method = 'ELIMINATION'")
-    compared = single.join(t.select("key", F.col("rec").alias("db_rec"), values.alias("t")), ["key", "db_rec"]).join(s.select("key", F.col("rec").alias("file_rec"), values.alias("s")), ["key", "file_rec"])
-    diff = differences(cfg)
-    kind = F.when(F.size(diff) > 0, "ATTRIBUTE_MISMATCH").otherwise("MATCH")
+    differs decides the type, whatever the attributes. Source rows whose geometry has collapsed leave first, as DEGENERATE.
+
+    In a key that repeats, equal contents pair first; with geometry, then equal attributes where one side has no place left,
+    then the nearest rows; a row left on each side makes a pair, and other rows that face each other are duplicates."""
+    both = staged(target, source, cfg)
+    rows = classes(both, cfg)
+    diff_type = "array<struct<field:string,db_value:string,file_value:string>>"
+    none = F.lit(None)
+
+    def item(type_, db=none, file=none, n=F.lit(1), found=none):
+        return F.struct(F.lit(type_).alias("type") if isinstance(type_, str) else type_.alias("type"), found.cast(diff_type).alias("differences"), db.cast("long").alias("db_rec"), file.cast("long").alias("file_rec"), n.cast("long").alias("n_rows"))
+
+    t, s = F.col("t.rec"), F.col("s.rec")
+    two = F.col("key_t") > 0
+    alone_t, alone_s = two & (F.col("sn") == 0), two & (F.col("tn") == 0)
+    said = [
+        F.when((F.col("tn") > 0) & (F.col("sn") > 0), item("MATCH", t, s, found=F.array())),
+        F.when(alone_t & (F.col("left_s") == 0), item("ONLY_IN_DB", t)), F.when(alone_s & (F.col("left_t") == 0), item("ONLY_IN_SHP", file=s)),
+        F.when(~two & (F.col("kinds_s") == 1), item("ONLY_IN_SHP", file=s)),
+        F.when((F.col("sn") > 1) & (two | (F.col("kinds_s") == 1)), item("SKIPPED_TWIN", file=s, n=F.col("sn") - 1)),
+    ]
+    found = rows.select("key", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("i")).select("key", "i.*")
+    left = rows.where((alone_t | alone_s) & (F.col("left_t") > 0) & (F.col("left_s") > 0))
+    pairs = left.where("left_t = 1 and left_s = 1").groupBy("key").agg(*[F.first(c, True).alias(c) for c in "ts"])
+    left = left.where("left_t > 1 or left_s > 1")
     if cfg.geometry:
-        kind = F.when(~same_geometry(F.col("t.geom"), F.col("s.geom")), "GEOMETRY_MISMATCH").otherwise(kind)
-    compared = compared.select("key", kind.alias("type"), diff.alias("differences"), "db_rec", "file_rec")
-    shape = compared.schema["differences"].dataType
-
-    def plain(df, type_, db=none, file=none, found=F.lit(None)):
-        return df.select("key", type_.alias("type"), found.cast(shape).alias("differences"), db.alias("db_rec"), file.alias("file_rec"))
-
-    parts = [
-        plain(pairs.where("method = 'EXACT'"), F.lit("MATCH"), db, file, F.array()),
-        plain(pairs.where("method not in ('EXACT', 'ELIMINATION')"), F.when(F.col("method") == "NO_GEOMETRY", "DUPLICATE_SUID").otherwise(F.col("method")), db, file),
-        plain(target_twins(t, rows), F.col("method"), db, file),
-        plain(rows.where("key_t = 0 and kinds_s = 1"), F.lit("ONLY_IN_SHP"), file=F.col("srec")),
-        # Source keys with differing contents: every row is a duplicate.
-        plain(s.join(rows.where("key_t = 0 and kinds_s > 1").select("key", "sig"), ["key", "sig"]), F.lit("DUPLICATE_SUID"), file=F.col("rec")),
-        plain(s.where("key is null"), F.lit("NULL_SUID"), file=F.col("rec")),
-    ]
-    found = compared
-    for part in parts:
-        found = found.unionByName(part)
-    counted = rows.where("sn > 1 and (key_t > 0 or kinds_s = 1)").select("key", F.lit("SKIPPED_TWIN").alias("type"), F.lit(None).cast(shape).alias("differences"), none.alias("db_rec"), F.col("srec").alias("file_rec"), (F.col("sn") - 1).alias("n_rows"))
-    return found.withColumn("n_rows", F.lit(1).cast("long")).unionByName(counted)
+        blind = (F.col("placed_t") == 0) | (F.col("placed_s") == 0)
+        same = left.where(blind).groupBy("key", F.coalesce("t.attr", "s.attr").alias("attr")).agg(*[F.min_by(c, f"{c}.rec").alias(c) for c in "ts"]).where("t is not null and s is not null").drop("attr")
+        same = settled(same)
+        gone = same.select("key", F.col("t.rec").alias("rec"), F.lit(True).alias("is_t")).union(same.select("key", "s.rec", F.lit(False)))
+        left = left.withColumn("is_t", F.col("t").isNotNull()).withColumn("rec", F.coalesce("t.rec", "s.rec")).join(gone, ["key", "rec", "is_t"], "left_anti")
+        side = lambda c: left.where(F.col(c).isNotNull()).select("key", f"{c}.rec", f"{c}.x", f"{c}.y", F.array(*[F.col(f"{c}.c{i}") for i in range(len(cfg.compared))]).alias("attributes"), f"{c}.line")  # noqa: E731, B023
+        near = settled(nearest_pairs(side("t"), side("s")))
+        by_rec = lambda c, name: left.where(F.col(c).isNotNull()).select("key", F.col(f"{c}.rec").alias(name), c)  # noqa: E731, B023
+        met = near.where("method in ('GEOMETRY', 'ELIMINATION')").join(by_rec("t", "db_rec"), ["key", "db_rec"]).join(by_rec("s", "file_rec"), ["key", "file_rec"])
+        pairs = pairs.unionByName(same).unionByName(met.select("key", "t", "s"))
+        type_ = F.when(F.col("method") == "AMBIGUOUS", "DUPLICATE_SUID").when(F.col("db_rec").isNotNull(), "ONLY_IN_DB").otherwise("ONLY_IN_SHP")
+        found = found.unionByName(near.where("method not in ('GEOMETRY', 'ELIMINATION')").select("key", item(type_, F.col("db_rec"), F.col("file_rec")).alias("i")).select("key", "i.*"))
+    else:
+        found = found.unionByName(left.select("key", item("DUPLICATE_SUID", t, s).alias("i")).select("key", "i.*"))
+    # What each pair differs in.
+    at = lambda c, i: F.col(f"{c}.{i}")
+    fields = [F.when(~V.equivalent_cleaned(at("t", f"c{i}"), at("s", f"c{i}"), cfg.encoding), F.struct(F.lit(c).alias("field"), at("t", f"v{i}").alias("db_value"), at("s", f"v{i}").alias("file_value"))) for i, c in enumerate(cfg.compared)]
+    compared = pairs.withColumn("diff", F.filter(F.array(*fields), lambda x: x.isNotNull()))
+    kind = F.when(F.size("diff") > 0, "ATTRIBUTE_MISMATCH").otherwise("MATCH")
+    if cfg.geometry:
+        kind = F.when(~same_geometry(at("t", "geom"), at("s", "geom")), "GEOMETRY_MISMATCH").otherwise(kind)
+    found = found.unionByName(compared.select("key", item(kind, t, s, found=F.col("diff")).alias("i")).select("key", "i.*"))
+    # Single rows: the target's after the first of a content, the source's of keys that clash there, keyless and collapsed ones.
+    first = rows.where("tn > 1 or (key_t = 0 and kinds_s > 1)").select("key", "sig", F.col("t.rec").alias("first"), "key_t")
+    rec, is_t = F.col("rec"), F.col("is_t")
+    twins = both.where("is_t or not flat").join(first, ["key", "sig"]).where((is_t & (rec != F.col("first"))) | (~is_t & (F.col("key_t") == 0)))
+    twins = twins.select("key", item("DUPLICATE_SUID", F.when(is_t, rec), F.when(~is_t, rec)).alias("i"))
+    odd = both.where("not is_t and (flat or key is null)").select("key", item(F.when(F.col("flat"), "DEGENERATE").otherwise("NULL_SUID"), file=rec).alias("i"))
+    return found.unionByName(twins.unionByName(odd).select("key", "i.*"))
 
 
-TYPES = ("MATCH", "ATTRIBUTE_MISMATCH", "GEOMETRY_MISMATCH", "ONLY_IN_DB", "ONLY_IN_SHP", "DUPLICATE_SUID", "NULL_SUID", "SKIPPED_TWIN")
+TYPES = ("MATCH", "ATTRIBUTE_MISMATCH", "GEOMETRY_MISMATCH", "ONLY_IN_DB", "ONLY_IN_SHP", "DUPLICATE_SUID", "NULL_SUID", "SKIPPED_TWIN", "DEGENERATE")
 
 
 def summary(found: DataFrame) -> DataFrame:
@@ -142,58 +177,28 @@ def summary(found: DataFrame) -> DataFrame:
     return found.agg(*[of(n).alias(f"n_{n.lower()}") for n in TYPES], total.alias("n_total"), (total + both).alias("n_rows"))
 
 
-def sql_patches(found: DataFrame, target: DataFrame, source: DataFrame, table: str, cfg: ReconcileConfig) -> DataFrame:
-    """(key, statement): an UPDATE per mismatch, by the stored values of all key columns, and an INSERT per source-only
-    record with its keys and the mapped attributes."""
+def sql_patches(found: DataFrame, target: DataFrame, source: DataFrame, table: str, cfg: ReconcileConfig, file_srid: int = 4326, target_srid: int = 4326, multi: bool = False) -> DataFrame:
+    """(key, statement): an UPDATE per mismatch, by the stored values of all key columns, with the source's geometry where that
+    differs and the source has one, and an INSERT per source-only record with its keys, mapped attributes and geometry."""
     name = V.sql_identifier(table)
     quoted = lambda field: F.concat(F.lit('"'), F.replace(field, F.lit('"'), F.lit('""')), F.lit('"'))
-    sets = F.array_join(F.transform("differences", lambda d: F.concat(quoted(d.field), F.lit(" = "), V.sql_literal(d.file_value))), ", ")
+    names = [*(cfg.source_keys or cfg.keys), *[cfg.source(c) for c in cfg.compared]]
+    geom = [F.col(cfg.source(cfg.geometry)).cast("string").alias("geom")] if cfg.geometry else []
+    given = source.select(F.col("rec").alias("file_rec"), *[F.col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)], *geom)
     stored = target.select(F.col("rec").alias("db_rec"), F.struct(*cfg.keys).alias("k"))
     value = lambda k: F.col(f"k.{k}").cast("string")
     where = [F.concat(F.lit(V.sql_identifier(k)), F.when(value(k).isNull(), F.lit(" IS NULL")).otherwise(F.concat(F.lit(" = "), V.sql_literal(value(k))))) for k in cfg.keys]
-    update = F.concat(F.lit(f"UPDATE {name} SET "), sets, F.lit(" WHERE "), F.concat_ws(" AND ", *where))
-    changed = found.where("type in ('ATTRIBUTE_MISMATCH', 'GEOMETRY_MISMATCH') and size(differences) > 0").join(stored, "db_rec").select("key", update.alias("statement"))
-    columns = [*cfg.keys, *cfg.compared]
-    names = [*(cfg.source_keys or cfg.keys), *[cfg.source(c) for c in cfg.compared]]
-    given = source.select(F.col("rec").alias("file_rec"), *[F.col(n).cast("string").alias(f"c{i}") for i, n in enumerate(names)])
+    changed = found.where("type in ('ATTRIBUTE_MISMATCH', 'GEOMETRY_MISMATCH')").join(stored, "db_rec")
+    sets = F.transform("differences", lambda d: F.concat(quoted(d.field), F.lit(" = "), V.sql_literal(d.file_value)))
+    columns, values = [*cfg.keys, *cfg.compared], [V.sql_literal(F.col(f"c{i}")) for i in range(len(names))]
+    if cfg.geometry:
+        shape = V.sql_geometry(F.col("geom"), file_srid, target_srid, multi)
+        changed = changed.join(given.select("file_rec", "geom"), "file_rec")
+        moved = (F.col("type") == "GEOMETRY_MISMATCH") & F.col("geom").isNotNull()
+        sets = F.concat(sets, F.when(moved, F.array(F.concat(F.lit(f"{V.sql_identifier(cfg.geometry)} = "), shape))).otherwise(F.array().cast("array<string>")))
+        columns, values = [*columns, cfg.geometry], [*values, shape]
+    update = F.concat(F.lit(f"UPDATE {name} SET "), F.array_join("sets", ", "), F.lit(" WHERE "), F.concat_ws(" AND ", *where))
+    updates = changed.withColumn("sets", sets).where("size(sets) > 0").select("key", update.alias("statement"))
     head = f"INSERT INTO {name} ({', '.join(map(V.sql_identifier, columns))}) VALUES ("
-    insert = F.concat(F.lit(head), F.concat_ws(", ", *[V.sql_literal(F.col(f"c{i}")) for i in range(len(names))]), F.lit(")"))
-    return changed.unionByName(found.where("type = 'ONLY_IN_SHP'").join(given, "file_rec").select("key", insert.alias("statement")))
-
-
-#: Candidate pairs of one key beyond which no distances are taken.
-MOST_CANDIDATES = 40_000
-
-
-def nearest_pairs(t: DataFrame, s: DataFrame) -> DataFrame:
-    """Greedy pairing inside repeated keys of rows (key, rec, x, y, attributes): all edges by rounded distance, number of
-    differing attributes, target and source order; a key with too many candidates is reported and never gathered."""
-    counts = t.groupBy("key").agg(F.count("*").alias("tn")).join(s.groupBy("key").agg(F.count("*").alias("sn")), "key")
-    capped = counts.where(F.col("tn") * F.col("sn") > MOST_CANDIDATES).select("key")
-    fit = counts.where(F.col("tn") * F.col("sn") <= MOST_CANDIDATES).select("key")
-    side = lambda df, p: df.join(fit, "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("rec", "x", "y", "attributes"))).alias(p))
-
-    def pair(frames):
-        import math
-
-        import pandas as pd
-
-        for frame in frames:
-            rows = []
-            for key, left, right in zip(frame.key, frame.t, frame.s):
-                edges = sorted(
-                    (math.floor(math.hypot(a["x"] - b["x"], a["y"] - b["y"]) * 1e4 + 0.5), sum(u != v for u, v in zip(a["attributes"], b["attributes"])), i, j)
-                    for i, a in enumerate(left) for j, b in enumerate(right)
-                )
-                used_a, used_b = set(), set()
-                for d, _, i, j in edges:
-                    if i not in used_a and j not in used_b:
-                        used_a.add(i)
-                        used_b.add(j)
-                        rows.append((key, "GEOMETRY", left[i]["rec"], right[j]["rec"], d / 1e4))
-            yield pd.DataFrame(rows, columns=["key", "method", "db_rec", "file_rec", "distance"])
-
-    schema = "key string, method string, db_rec long, file_rec long, distance double"
-    found = side(t, "t").join(side(s, "s"), "key").mapInPandas(pair, schema)
-    skipped = t.join(capped, "key", "left_semi").select("key", F.lit("SKIPPED_CAP").alias("method"), F.col("rec").alias("db_rec"), F.lit(None).cast("long").alias("file_rec"), F.lit(None).cast("double").alias("distance"))
-    return found.unionByName(skipped)
+    insert = F.concat(F.lit(head), F.concat_ws(", ", *values), F.lit(")"))
+    return updates.unionByName(found.where("type = 'ONLY_IN_SHP'").join(given, "file_rec").select("key", insert.alias("statement")))

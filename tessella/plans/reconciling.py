@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import dedup, joins, reconcile
+from ..operators import dedup, joins, pairing, reconcile
 from ..registry import query, table
 
 CFG = reconcile.ReconcileConfig(keys=("okey",), compared=("status", "priority"), source_of={"status": "st", "priority": "pr"}, source_keys=("skey",))
@@ -249,10 +249,89 @@ def w07_mutual_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.mutual_unique(pairs, "a", "b")
 
 
-@query()
+@query("""
+with recursive t as (select cast(l_orderkey as varchar) as key, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as rec, max(l_quantity) as x, max(l_discount) * 100 as y, max(l_returnflag) as a, max(l_linestatus) as b from lineitem group by all),
+s as (select key, rec, x + (rec % 5) / 10 as x, y, a, b from t where rec % 3 <> 0),
+e as (select t.key, t.rec as d, s.rec as f, sqrt((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y)) as far, cast(t.a <> s.a as int) + cast(t.b <> s.b as int) as n from t join s on t.key = s.key),
+l as (select key, list(struct_pack(q := floor(far / 0.0001 + 0.5), n := n, d := d, f := f, far := far) order by floor(far / 0.0001 + 0.5), n, d, f) as edges from e group by key),
+r as (select key, edges, cast(null as struct(q double, n integer, d bigint, f bigint, far double)) as p from l
+  union all select key, list_filter(edges, lambda e: e.d <> edges[1].d and e.f <> edges[1].f), edges[1] from r where len(edges) > 0),
+p as (select key, p.d as d, p.f as f, p.far as far from r where p is not null),
+left_ as (select key, rec as d, null as f from t where rec not in (select d from p) union all select key, null, rec from s where rec not in (select f from p))
+select key, 'GEOMETRY' as method, d as db_rec, f as file_rec, round(far, 6) as distance from p
+union all select key, 'UNPAIRED', d, f, null from left_
+""")
 def j03_nearest_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem rows of an order, as points, paired with shifted copies."""
+    """Lineitem rows of an order, as points, paired with shifted copies; what is left over comes back from both sides."""
     rec = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
-    t = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("key"), rec.alias("rec"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"), F.array("l_returnflag", "l_linestatus").alias("attributes"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("key"), rec.alias("rec"))
+    t = rows.agg(F.max("l_quantity").alias("x"), (F.max("l_discount") * 100).alias("y"), F.array(F.max("l_returnflag"), F.max("l_linestatus")).alias("attributes"))
     s = t.where("rec % 3 <> 0").withColumn("x", F.col("x") + (F.col("rec") % 5) / 10)
-    return reconcile.nearest_pairs(t, s)
+    return pairing.nearest_pairs(t, s).withColumn("distance", F.round("distance", 6))
+
+
+#: Orders with geometry: the source's shapes are turned, reversed, moved, missing, collapsed or kept, by o_orderkey % 12.
+SHAPED = reconcile.ReconcileConfig(keys=("okey",), compared=("status",), source_of={"status": "st"}, source_keys=("skey",), geometry="geom")
+_KINDS = """(select o_orderkey as o, o_orderstatus as st, o_orderkey % 12 as kind, cast(o_orderkey as varchar) as key from orders) q"""
+
+
+def shaped_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(okey, status, geom, rec) and (skey, st, geom, rec). Kind 9 has two rows on both sides, whose neighbours are the other way
+    round; kind 10 stands in the source only."""
+    o, kind = F.col("o_orderkey"), F.col("o_orderkey") % 12
+    orders = table(spark, sf_dir, "orders").select(o, F.col("o_orderstatus").alias("st"), (o % 500).alias("x"), (o % 700).alias("y"), kind.alias("kind"))
+
+    def square(corners: str, dx=0.0) -> Column:
+        """A square of side 3 whose corners stand in the order given, moved along x."""
+        at = {"a": (0, 0), "b": (3, 0), "c": (3, 3), "d": (0, 3)}
+        said = [F.concat((F.col("x") + F.lit(dx) + at[c][0]).cast("string"), F.lit(" "), (F.col("y") + at[c][1]).cast("string")) for c in corners]
+        return F.concat(F.lit("POLYGON(("), F.concat_ws(",", *said), F.lit("))"))
+
+    k = F.col("kind")
+    target = orders.where("kind <> 10").select(o.alias("okey"), "st", square("abcda").alias("geom"), o.alias("rec"), "kind")
+    target = target.unionByName(orders.where("kind = 9").select(o.alias("okey"), "st", square("abcda", 10.0).alias("geom"), (o + 600000000).alias("rec"), "kind"))
+    geom = (
+        F.when(k == 1, square("cdabc")).when(k == 2, square("dcbad")).when(k == 3, square("abcda", 0.01)).when(k == 4, square("abcda", 0.00001)).when(k == 5, F.lit(None))
+        .when(k == 6, square("abaa")).when(k == 8, square("abcda", 0.5)).when(k == 9, square("abcda", 9.0)).when(k == 11, square("abcda", 0.0002)).otherwise(square("abcda"))
+    )
+    st = F.when(k.isin(7, 8), F.concat(F.col("st"), F.lit("!"))).otherwise(F.col("st"))
+    source = orders.select(o.cast("string").alias("skey"), st.alias("st"), geom.alias("geom"), o.alias("rec"))
+    source = source.unionByName(orders.where("kind = 9").select(o.cast("string").alias("skey"), F.lit("?").alias("st"), square("abcda", 1.0).alias("geom"), (o + 600000000).alias("rec")))
+    return target.select("okey", F.col("st").alias("status"), "geom", "rec"), source
+
+
+@query(f"""select key, case when kind in (0, 1, 2, 4, 11) then 'MATCH' when kind in (3, 5, 8) then 'GEOMETRY_MISMATCH' when kind = 7 then 'ATTRIBUTE_MISMATCH' when kind = 10 then 'ONLY_IN_SHP' end as type,
+  case when kind in (7, 8) then 'status' when kind = 10 then null else '' end as changed, case when kind <> 10 then o end as db_rec, o as file_rec from {_KINDS} where kind not in (6, 9)
+union all select key, 'ONLY_IN_DB', null, o, null from {_KINDS} where kind = 6
+union all select key, 'DEGENERATE', null, null, o from {_KINDS} where kind = 6
+union all select key, 'GEOMETRY_MISMATCH', 'status', o, o + 600000000 from {_KINDS} where kind = 9
+union all select key, 'GEOMETRY_MISMATCH', '', o + 600000000, o from {_KINDS} where kind = 9""")
+def x01_reconcile_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comparison with geometry: equal shapes however they are written, small moves within the tolerance, nearest rows of a
+    repeated key, missing and collapsed shapes."""
+    found = reconcile.items(*shaped_sides(spark, sf_dir), SHAPED)
+    return found.select("key", "type", F.array_join(F.transform("differences", lambda d: d.field), ",").alias("changed"), "db_rec", "file_rec")
+
+
+@query(f"""with c as (select case when kind in (0, 1, 2, 4, 11) then 'MATCH' when kind in (3, 5, 8, 9) then 'GEOMETRY_MISMATCH' when kind = 7 then 'ATTRIBUTE_MISMATCH' when kind = 10 then 'ONLY_IN_SHP' else 'ONLY_IN_DB' end as type, case when kind = 9 then 2 else 1 end as n from {_KINDS}
+  union all select 'DEGENERATE', 1 from {_KINDS} where kind = 6)
+select {", ".join(f"cast(coalesce(sum(n) filter (type = '{t}'), 0) as bigint) as n_{t.lower()}" for t in reconcile.TYPES)}, cast(sum(n) as bigint) as n_total,
+  (select cast(sum(case kind when 10 then 1 when 9 then 4 else 2 end) as bigint) from {_KINDS}) as n_rows from c""")
+def a01_shapes_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of both sides are accounted for, collapsed ones included."""
+    return reconcile.summary(reconcile.items(*shaped_sides(spark, sf_dir), SHAPED))
+
+
+@query(f"""with q as (select * from {_KINDS})
+select key, 'UPDATE' as verb, kind in (7, 8) as sets_status, kind in (3, 8) as sets_geometry from q where kind in (3, 7, 8)
+union all select key, 'UPDATE', true, true from q where kind = 9
+union all select key, 'UPDATE', false, true from q where kind = 9
+union all select key, 'INSERT', true, true from q where kind = 10""")
+def k01_shape_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches with geometry: which statements there are and what they set. A shape that the source lacks is never set."""
+    target, source = shaped_sides(spark, sf_dir)
+    patches = reconcile.sql_patches(reconcile.items(target, source, SHAPED), target, source, "orders", SHAPED, 32721, 4326, True)
+    shape = r"ST_Multi\(ST_Transform\(ST_GeomFromText\('POLYGON\(\([0-9., E-]+\)\)', 32721\), 4326\)\)"
+    said = F.col("statement")
+    verb = F.substring_index(said, " ", 1)
+    return patches.select("key", verb.alias("verb"), (said.contains('"status"')).alias("sets_status"), said.rlike(shape).alias("sets_geometry"))

@@ -126,16 +126,7 @@ def test_clip_areas_add_up():
 
 def test_same_geometry_columns(spark):
     rows = [("POLYGON((0 0,1 0,1 1,0 0))", "POLYGON((1 0,1 1,0 0,1 0))"), ("POINT(1 1)", "POINT(1 2)"), (None, "POINT(1 1)")]
-    assert one(spark, "a string, b string", rows, G.same_geometry(F.col("a"), F.col("b"))) == [(True,), (False,), (True,)]
-
-
-def test_nearest_pairs_are_greedy_and_capped(spark, monkeypatch):
-    t = spark.createDataFrame([("k", 1, 0.0, 0.0, ["a"]), ("k", 2, 5.0, 0.0, ["a"]), ("h", 3, 0.0, 0.0, ["a"])], "key string, rec long, x double, y double, attributes array<string>")
-    s = spark.createDataFrame([("k", 7, 4.0, 0.0, ["a"]), ("k", 8, 4.0, 0.0, ["b"]), ("h", 9, 0.0, 1.0, ["a"])], t.schema)
-    got = sorted(tuple(r) for r in reconcile.nearest_pairs(t, s).collect())
-    assert got == [("h", "GEOMETRY", 3, 9, 1.0), ("k", "GEOMETRY", 1, 8, 4.0), ("k", "GEOMETRY", 2, 7, 1.0)]
-    monkeypatch.setattr(reconcile, "MOST_CANDIDATES", 3)
-    assert ("k", "SKIPPED_CAP", 1, None, None) in [tuple(r) for r in reconcile.nearest_pairs(t, s).collect()]
+    assert one(spark, "a string, b string", rows, G.same_geometry(F.col("a"), F.col("b"))) == [(True,), (False,), (False,)]
 
 
 def test_hot_key_reconciles(spark):
@@ -154,4 +145,41 @@ def test_geometry_decides_the_type(spark):
     got = {r.key: (r.type, [d.field for d in r.differences or []]) for r in found.collect()}
     assert got == {"k|": ("GEOMETRY_MISMATCH", ["v"]), "k|2": ("ATTRIBUTE_MISMATCH", ["v"]), "k|3": ("GEOMETRY_MISMATCH", []), "o'n|4": ("ONLY_IN_SHP", [])}
     said = {r.key: r.statement for r in reconcile.sql_patches(found, t, s, "x", cfg).collect()}
-    assert said["k|"] == """UPDATE "x" SET "v" = 'y' WHERE "a" = 'k' AND "b" IS NULL""" and said["o'n|4"] == """INSERT INTO "x" ("a", "b", "v") VALUES ('o''n', '4', NULL)"""
+    assert said["k|"] == """UPDATE "x" SET "v" = 'y', "g" = ST_GeomFromText('POINT(1 2)', 4326) WHERE "a" = 'k' AND "b" IS NULL""" and said["o'n|4"] == """INSERT INTO "x" ("a", "b", "v", "g") VALUES ('o''n', '4', NULL, NULL)"""
+    assert said["k|3"] == """UPDATE "x" SET "g" = ST_GeomFromText('POINT(5 1)', 4326) WHERE "a" = 'k' AND "b" = '3'"""
+
+
+def test_canonical_keys_are_shapes():
+    """Two rings share a key just if one is the other turned or reversed, after rounding; repeated vertices included."""
+    rng, key = random.Random(8), lambda *rings, t="Polygon": G.canonical({"type": t, "parts": [list(rings)]})
+    for _ in range(300):
+        ring = [(rng.randrange(3) / 2, rng.randrange(3) / 2) for _ in range(rng.randrange(3, 7))]
+        ring = [p for p, q in zip(ring, ring[-1:] + ring[:-1]) if p != q]
+        other = [(rng.randrange(3) / 2, rng.randrange(3) / 2) for _ in range(len(ring))]
+        other = [p for p, q in zip(other, other[-1:] + other[:-1]) if p != q]
+        if len(ring) < 3 or len(other) < 3:
+            continue
+        k = rng.randrange(len(ring))
+        turned = (ring[k:] + ring[:k])[:: rng.choice((1, -1))]
+        assert key(ring + ring[:1]) == key(turned) == key([(x + 0.00002, y) for x, y in turned], t="MultiPolygon")
+        assert (key(ring) == key(other)) == G.rings_match(ring, other, 0.0)
+    a, b = [(0, 0), (9, 0), (9, 9)], [(1, 1), (2, 1), (2, 2)]
+    assert key(a, b) == key(b[::-1], a) != key(a)
+    line = lambda *p: G.canonical({"type": "LineString", "parts": [[list(p)]]})
+    assert line((0, 0), (1, 1)) != line((1, 1), (0, 0)) and line((0, 0)) != G.canonical({"type": "Point", "parts": [[[(0, 0)]]]})
+
+
+def test_repeated_keys_with_shapes(spark):
+    """Equal attributes pair where a side has no place; nearest rows pair else; what faces several others is a duplicate."""
+    cfg = reconcile.ReconcileConfig(keys=("k",), compared=("v",), geometry="g")
+    schema = "k string, v string, g string, rec long"
+    point = lambda x: f"POINT({x} 0)"
+    t = spark.createDataFrame([("a", "x", point(0), 1), ("a", "y", point(9), 2), ("b", "x", None, 3), ("b", "y", None, 4), ("c", "x", point(1), 5), ("c", "x", point(1), 6), ("d", "p", None, 7), ("d", "q", None, 8), ("e", "x", "LINESTRING(1 1,1 1)", 9)], schema)
+    s = spark.createDataFrame([("a", "x", point(8), 1), ("a", "z", point(1), 2), ("b", "y", point(5), 3), ("b", "w", point(5), 4), ("c", "x", point(1), 5), ("d", "r", None, 6), ("d", "s", point(2), 7), (None, "x", point(1), 8), ("e", "x", "LINESTRING(1 1,1 1)", 9), (None, None, "LINESTRING(2 2,2 2)", 10)], schema)
+    found = reconcile.items(t, s, cfg)
+    got = sorted((r.key or "", r.type, [d.field for d in r.differences or []], r.db_rec or 0, r.file_rec or 0) for r in found.collect())
+    assert got == sorted([
+        ("a", "GEOMETRY_MISMATCH", ["v"], 1, 2), ("a", "GEOMETRY_MISMATCH", ["v"], 2, 1), ("b", "GEOMETRY_MISMATCH", [], 4, 3), ("b", "GEOMETRY_MISMATCH", ["v"], 3, 4), ("c", "MATCH", [], 5, 5), ("c", "DUPLICATE_SUID", [], 6, 0),
+        *[("d", "DUPLICATE_SUID", [], a, b) for a, b in ((7, 0), (8, 0), (0, 6), (0, 7))], ("", "NULL_SUID", [], 0, 8), ("e", "ONLY_IN_DB", [], 9, 0), ("e", "DEGENERATE", [], 0, 9), ("", "DEGENERATE", [], 0, 10),
+    ])
+    assert reconcile.summary(found).first().n_rows == 19
