@@ -1,8 +1,10 @@
-"""Spatial joins by grid cells over boxes, with exact predicates after.
+"""Spatial joins over boxes on a grid of many levels, with exact predicates after.
 
-A box is dealt to the cells it touches; pairs meet in cells and count in the cell that holds the lower corner of
-their intersection, so no distinct is needed. Cell sizes are a parameter; a cell with very many boxes is split
-by the adaptive join.
+A box goes to the level whose cells are as large as itself, so it touches four cells at most, and a country-sized one makes no
+more rows than a parcel. Boxes of different sizes meet on the level of the larger one: each side is dealt to its own level and to
+those larger levels that the other side has, which are a few numbers. A pair counts in the cell that holds the lower corner of
+its intersection, so no distinct is needed. Many small boxes in one place go to small cells of their own; what is left of a
+skew is boxes that really meet, and those cells are split by the adaptive join.
 """
 
 from __future__ import annotations
@@ -10,22 +12,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BOX = ("minx", "miny", "maxx", "maxy")
+#: Levels reach from cells of size / 2^30 to size * 2^30.
+DEEPEST = 30
 
 
-def cells(df: DataFrame, size: float) -> DataFrame:
-    """One row per touched cell (cx, cy)."""
-    low = lambda c: F.floor(F.col(c) / size)
-    return df.withColumn("cx", F.explode(F.sequence(low("minx"), low("maxx")))).withColumn("cy", F.explode(F.sequence(low("miny"), low("maxy"))))
+def level(size: float) -> Column:
+    """The least level whose cells are as long as the box's longer side."""
+    side = F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny"))
+    return F.when(side > 0, F.greatest(F.lit(-DEEPEST), F.least(F.lit(DEEPEST), F.ceil(F.log2(side / size))))).otherwise(-DEEPEST).cast("int")
 
 
-def box_join(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
-    """All pairs of boxes that touch, columns prefixed a_ and b_, with the intersection's area ``shared``."""
-    left = cells(a, size).select(*[F.col(c).alias(f"a_{c}") for c in a.columns], "cx", "cy")
-    right = cells(b, size).select(*[F.col(c).alias(f"b_{c}") for c in b.columns], "cx", "cy")
+def levels(df: DataFrame, size: float) -> list[int]:
+    """The levels that a layer's boxes have: at most 61 numbers."""
+    return sorted(r[0] for r in df.select(level(size)).distinct().collect() if r[0] is not None)
+
+
+def cells(df: DataFrame, size: float, others: list[int]) -> DataFrame:
+    """One row per touched cell (at, cx, cy) on the box's own level and on the larger ones of ``others``."""
+    df = df.withColumn("own", level(size))
+    larger = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("own"))
+    df = df.withColumn("at", F.explode(F.concat(F.array("own"), larger))).withColumn("_s", F.lit(size) * F.pow(F.lit(2.0), F.col("at")))
+    low = lambda c: F.floor(F.col(c) / F.col("_s"))
+    return df.withColumn("cx", F.explode(F.sequence(low("minx"), low("maxx")))).withColumn("cy", F.explode(F.sequence(low("miny"), low("maxy")))).drop("_s")
+
+
+def box_join(a: DataFrame, b: DataFrame, size: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """All pairs of boxes that touch, and agree in the columns ``on``, columns prefixed a_ and b_, with the intersection's area
+    ``shared``. ``size`` is the length that level 0 has."""
+    of_a = levels(a, size)
+    of_b = of_a if a is b else levels(b, size)
+    side = lambda df, p, others: cells(df, size, others).select(*[F.col(c).alias(f"{p}_{c}") for c in (*df.columns, "own")], *[F.col(c).alias(f"_{c}") for c in on], "at", "cx", "cy")
+    left, right = side(a, "a", of_b), side(b, "b", of_a)
     x, y = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
     u, v = F.least("a_maxx", "b_maxx"), F.least("a_maxy", "b_maxy")
-    joined = left.join(right, ["cx", "cy"]).where((x <= u) & (y <= v) & (F.floor(x / size) == F.col("cx")) & (F.floor(y / size) == F.col("cy")))
-    return joined.withColumn("shared", (u - x) * (v - y)).drop("cx", "cy")
+    cell = F.lit(size) * F.pow(F.lit(2.0), F.col("at"))
+    joined = left.join(right, ["at", "cx", "cy", *[f"_{c}" for c in on]]).where((F.col("at") == F.greatest("a_own", "b_own")) & (x <= u) & (y <= v) & (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy")))
+    return joined.withColumn("shared", (u - x) * (v - y)).drop("at", "cx", "cy", "a_own", "b_own", *[f"_{c}" for c in on])
 
 
 def area(prefix: str = "") -> Column:
@@ -53,22 +75,24 @@ def replacement_classes(df: DataFrame, rec: str, parts: DataFrame, size: float)
     return joined.select(rec, kind.alias("class"), "n_parts")
 
 
+def around(points: DataFrame, within: float = 0.0) -> DataFrame:
+    """Boxes about points (x, y)."""
+    return points.select("*", *[(F.col(c) + sign * within).alias(f"{m}{c}") for m, sign in (("min", -1), ("max", 1)) for c in "xy"])
+
+
 def containment(points: DataFrame, pid: str, boxes: DataFrame, bid: str, size: float) -> DataFrame:
     """Per point how many boxes hold it, and the least of their ids."""
-    at = points.select(pid, "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
-    inside = at.join(cells(boxes, size), ["cx", "cy"]).where("x >= minx and x <= maxx and y >= miny and y <= maxy")
-    counts = inside.groupBy(pid).agg(F.count("*").alias("n_receivers"), F.min(bid).alias("receiver"))
+    inside = box_join(around(points.select(pid, "x", "y")), boxes.select(bid, *BOX), size)
+    counts = inside.groupBy(F.col(f"a_{pid}").alias(pid)).agg(F.count("*").alias("n_receivers"), F.min(f"b_{bid}").alias("receiver"))
     return points.select(pid).join(counts, pid, "left").withColumn("n_receivers", F.coalesce("n_receivers", F.lit(0)))
 
 
 def nearest(points: DataFrame, pid: str, boxes: DataFrame, bid: str, within: float) -> DataFrame:
     """The nearest box within a distance (ties: larger area, then smaller id), with the squared distance."""
-    d = lambda c: F.greatest(F.lit(0.0), F.col(f"min{c}") - F.col(c), F.col(c) - F.col(f"max{c}"))
-    at = points.select(pid, "x", "y", F.floor(F.col("x") / within).alias("cx"), F.floor(F.col("y") / within).alias("cy"))
-    around = at.withColumn("dx", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))).withColumn("dy", F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
-    around = around.withColumn("cx", F.col("cx") + F.col("dx")).withColumn("cy", F.col("cy") + F.col("dy")).drop("dx", "dy")
-    pairs = around.join(cells(boxes, within), ["cx", "cy"]).withColumn("d2", d("x") * d("x") + d("y") * d("y")).where(F.col("d2") <= within * within)
-    best = pairs.groupBy(pid).agg(F.min(F.struct("d2", (-area()).alias("a"), F.col(bid).alias("receiver"))).alias("m"))
+    d = lambda c: F.greatest(F.lit(0.0), F.col(f"b_min{c}") - F.col(f"a_{c}"), F.col(f"a_{c}") - F.col(f"b_max{c}"))
+    met = box_join(around(points.select(pid, "x", "y"), within), boxes.select(bid, *BOX), within)
+    pairs = met.withColumn("d2", d("x") * d("x") + d("y") * d("y")).where(F.col("d2") <= within * within)
+    best = pairs.groupBy(F.col(f"a_{pid}").alias(pid)).agg(F.min(F.struct("d2", (-area("b_")).alias("a"), F.col(f"b_{bid}").alias("receiver"))).alias("m"))
     return best.select(pid, F.col("m.receiver").alias("receiver"), F.col("m.d2").alias("d2"))
 
 
