@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -70,13 +68,3 @@ def group_links(df: DataFrame, group: str, order: str, lng: str, lat: str, most:
     lines = part.groupBy(group, "line").agg(F.sort_array(F.collect_list(F.struct("nth", F.array(lng, lat).alias("xy")))).alias("m")).where(F.size("m") > 1)
     shape = F.struct(F.lit("LineString").alias("type"), F.transform("m", lambda x: x.xy).alias("coordinates"))
     return lines.select(group, F.col("line").cast("long").alias("line"), F.to_json(shape).alias("geometry"))
-
-
-def epsg_of(prj: str) -> int | None:
-    """The EPSG code of a projection text: its own authority, or a UTM zone by name."""
-    codes = re.findall(r'AUTHORITY\s*\[\s*"EPSG"\s*,\s*"?(\d+)"?\s*\]', prj, re.I)
-    if codes:
-        return int(codes[-1])
-    if m := re.search(r"WGS_?\s?(?:19)?84[_ ]UTM[_ ]zone[_ ](\d{1,2})([NS])", prj, re.I):
-        return (32600 if m[2].upper() == "N" else 32700) + int(m[1])
-    return 4326 if re.search(r'^\s*GEOGCS\s*\[\s*"(GCS_)?WGS[_ ]?(19)?84', prj, re.I) else None
