@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from .numbering import dense_ids
 
 
 def decide(rows: DataFrame, key: str, urn: str, protected: str, evidence: str) -> DataFrame:
@@ -24,9 +26,7 @@ def decide(rows: DataFrame, key: str, urn: str, protected: str, evidence: str) -
 
 def with_group_ids(decided: DataFrame, key: str) -> DataFrame:
     """Groups numbered densely in key order, from one row per group."""
-    groups = decided.select(key).distinct()
-    parts = groups.withColumn("group_id", F.dense_rank().over(Window.orderBy(key)))
-    return decided.join(parts, key)
+    return dense_ids(decided, [key]).withColumn("group_id", F.col("group_id").cast("int"))
 
 
 def removal_targets(decided: DataFrame, urn: str) -> DataFrame:

@@ -40,9 +40,14 @@ def conflicts(df: DataFrame, keys: list[str], values: list[str], rec: str = "rec
 
 def conflict_samples(df: DataFrame, keys: list[str], value: str, most: int, rec: str = "rec") -> DataFrame:
     """Groups in conflict: the kept value (first by rec), the number of distinct values, up to five of them in order."""
-    grouped = df.groupBy(*keys).agg(F.min_by(value, rec).alias("kept"), F.collect_set(value).alias("s"), F.count(value).alias("c"), F.count("*").alias("n"))
-    hit = grouped.where((F.size("s") > 1) | ((F.col("c") > 0) & (F.col("c") < F.col("n"))))
-    return hit.select(*keys, "kept", F.size("s").cast("long").alias("n_values"), F.array_join(F.slice(F.array_sort("s"), 1, 5), ",").alias("samples")).orderBy(*keys).limit(most)
+    each = df.groupBy(*keys, value).agg(F.min(rec).alias("_rec"), F.count("*").alias("_n"))
+    stats = each.groupBy(*keys).agg(F.min_by(value, "_rec").alias("kept"), F.count(value).alias("n_values"), F.count("*").alias("_kinds"))
+    hit = stats.where("n_values > 1 or (n_values > 0 and _kinds > n_values)").drop("_kinds").orderBy(*keys).limit(most)
+    # Of the groups that are shown, five values each: the rank ends at five, however many values a group has.
+    values = each.where(F.col(value).isNotNull()).join(F.broadcast(hit.select(*keys)), keys, "left_semi")  # at most ``most`` rows
+    first = values.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).where("_r <= 5")
+    samples = first.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias("samples"))
+    return hit.join(samples, keys, "left").select(*keys, "kept", "n_values", F.coalesce("samples", F.lit("")).alias("samples"))
 
 
 def islands(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -59,6 +64,38 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     return parts.agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "d"))), lambda x: x.d), "")).alias("fingerprint"), F.sum("n").alias("n_rows"))
 
 
+#: Greatest prime below 2^61: lanes of a mergeable fingerprint are sums modulo it.
+PRIME = (1 << 61) - 1
+LANES = 4
+
+
+def row_lanes(columns: list[str]) -> list[Column]:
+    """Four numbers of 60 bits that a row's values give; nulls, empty texts and borders between columns are told apart."""
+    said = [F.when(F.col(c).isNull(), "n").otherwise(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string"))) for c in columns]
+    digest = F.sha2(F.concat_ws("|", *said), 256)
+    return [F.conv(F.substring(digest, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)") for k in range(LANES)]
+
+
+def multiset_state(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(lane0 ..., n_rows): the sums of the rows' lanes. Order, partitions and files don't matter, repeated rows count, and the sums are
+    partial aggregates, so no row is gathered."""
+    lanes = df.select(*[x.alias(f"lane{k}") for k, x in enumerate(row_lanes(columns))])
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)) % F.lit(PRIME)
+    return lanes.agg(*[total(f"lane{k}").cast("decimal(38,0)").alias(f"lane{k}") for k in range(LANES)], F.count("*").alias("n_rows"))
+
+
+def changed_state(state: DataFrame, inserted: DataFrame, deleted: DataFrame) -> DataFrame:
+    """The state of a table after rows come and go, from three states of one row each; the table isn't read again."""
+    signed = [df.select(*[(F.col(f"lane{k}") * sign).alias(f"lane{k}") for k in range(LANES)], (F.col("n_rows") * sign).alias("n_rows")) for df, sign in ((state, 1), (inserted, 1), (deleted, -1))]
+    both = signed[0].unionByName(signed[1]).unionByName(signed[2])
+    return both.agg(*[F.pmod(F.sum(f"lane{k}"), F.lit(PRIME)).cast("decimal(38,0)").alias(f"lane{k}") for k in range(LANES)], F.sum("n_rows").alias("n_rows"))
+
+
+def fingerprint_text(state: DataFrame) -> DataFrame:
+    """(fingerprint, n_rows) of a state."""
+    return state.select(F.concat_ws("-", *[F.col(f"lane{k}").cast("string") for k in range(LANES)], F.col("n_rows").cast("string")).alias("fingerprint"), "n_rows")
+
+
 def staging_checks(df: DataFrame, keys: list[str], required: list[str], text: str) -> DataFrame:
     """Rows, distinct and repeated keys, rows in repeated groups, missing values and damaged text, one row."""
     groups = df.groupBy(*keys).agg(F.count("*").alias("n"), *[F.count_if(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")).alias(f"m{i}") for i, c in enumerate(required)], F.count_if(F.col(text).contains("�")).alias("damaged"))

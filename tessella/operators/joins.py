@@ -25,7 +25,8 @@ def lookup(df: DataFrame, name: str, dimension: DataFrame, dim_name: str, dim_id
 
 def mutual_unique(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Pairs whose two ends each occur in one pair only."""
-    return pairs.withColumn("_a", F.count("*").over(Window.partitionBy(a))).withColumn("_b", F.count("*").over(Window.partitionBy(b))).where("_a = 1 and _b = 1").drop("_a", "_b")
+    single = lambda c: pairs.groupBy(c).agg(F.count("*").alias("_n")).where("_n = 1").select(c)
+    return pairs.join(single(a), a, "left_semi").join(single(b), b, "left_semi").select(pairs.columns)
 
 
 def latest_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from .numbering import running_total
 
 
 def validated_swap(staged: DataFrame, current: DataFrame, least: float = 0.97) -> DataFrame:
@@ -41,10 +43,10 @@ def badge(state: Column) -> Column:
     return F.when(worst == 2, "UPDATE_AVAILABLE").when(worst == 1, "NOT_DOWNLOADED").otherwise("UP_TO_DATE")
 
 
-def batches(df: DataFrame, by: list[str], order: list, weight: str, most: int) -> DataFrame:
-    """Batch numbers by cumulative weight within each group."""
-    total = F.sum(weight).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn("batch", F.floor((total - 1) / most))
+def batches(df: DataFrame, by: list[str], order: list[str], weight: str, most: int) -> DataFrame:
+    """Batch numbers by cumulative weight within each group, a group of any size."""
+    total = running_total(df, by, order, weight, "_total")
+    return total.withColumn("batch", F.floor((F.col("_total") - 1) / most)).drop("_total")
 
 
 def csv_field(c: Column, guard: bool = False) -> Column:

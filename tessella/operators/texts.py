@@ -57,14 +57,10 @@ def point_geojson(lng: Column, lat: Column, properties: list[str]) -> Column:
     return F.when(lng.isNotNull() & lat.isNotNull(), F.to_json(feature))
 
 
-def group_links(df: DataFrame, group: str, order: str, lng: str, lat: str, most: int = 1000) -> DataFrame:
-    """A line through the located members of each group that has two at least, in order. The members of a line are bounded:
-    those after the first ``most`` start further lines that share an end, so no group is gathered whole."""
-    from pyspark.sql import Window
-
+def group_links(df: DataFrame, group: str, order: str, lng: str, lat: str) -> DataFrame:
+    """One line through the located members of each group that has two at least, in order. The line is one value, so a group's
+    places, and nothing else of its rows, come together."""
     located = df.where(F.col(lng).isNotNull() & F.col(lat).isNotNull())
-    nth = located.withColumn("nth", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
-    part = nth.withColumn("line", F.explode(F.when((F.col("nth") % (most - 1) == 0) & (F.col("nth") > 0), F.array(F.floor(F.col("nth") / (most - 1)) - 1, F.floor(F.col("nth") / (most - 1)))).otherwise(F.array(F.floor(F.col("nth") / (most - 1))))))
-    lines = part.groupBy(group, "line").agg(F.sort_array(F.collect_list(F.struct("nth", F.array(lng, lat).alias("xy")))).alias("m")).where(F.size("m") > 1)
+    lines = located.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("nth"), F.array(lng, lat).alias("xy")))).alias("m")).where(F.size("m") > 1)
     shape = F.struct(F.lit("LineString").alias("type"), F.transform("m", lambda x: x.xy).alias("coordinates"))
-    return lines.select(group, F.col("line").cast("long").alias("line"), F.to_json(shape).alias("geometry"))
+    return lines.select(group, F.to_json(shape).alias("geometry"))

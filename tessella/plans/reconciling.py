@@ -241,11 +241,11 @@ def w06_key_multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select distinct l_suppkey as a, l_partkey as b from lineitem where l_quantity >= 45 and l_linenumber = 1)
+with p as (select distinct o_custkey as a, o_orderdate as b from orders where o_orderstatus = 'P')
 select a, b from (select *, count(*) over (partition by a) as x, count(*) over (partition by b) as y from p) where x = 1 and y = 1
 """)
 def w07_mutual_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").where("l_quantity >= 45 and l_linenumber = 1").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")).distinct()
+    pairs = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("a"), F.col("o_orderdate").alias("b")).distinct()
     return joins.mutual_unique(pairs, "a", "b")
 
 

@@ -91,6 +91,25 @@ def a16_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.fingerprint(table(spark, sf_dir, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
 
 
+_LANES = ", ".join(f"sum(cast('0x' || substr(h, {1 + 15 * k}, 15) as bigint)::hugeint) % 2305843009213693951 as l{k}" for k in range(4))
+_SAID = " || '|' || ".join(f"coalesce(length({c}::varchar)::varchar || ':' || {c}::varchar, 'n')" for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_comment_"))
+
+
+@query(f"""with r as (select sha256({_SAID}) as h from (select *, case when l_linenumber <> 3 then l_linestatus end as l_comment_ from lineitem)), s as (select {_LANES}, count(*) as n_rows from r)
+select l0 || '-' || l1 || '-' || l2 || '-' || l3 || '-' || n_rows as fingerprint, n_rows, true as by_changes, true as tells_copies from s""")
+def a16_mergeable_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fingerprint that is a sum over rows: the same from a part's state, rows that came and rows that went; another one if rows
+    stand twice."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("l_comment_", F.when(F.col("l_linenumber") != 3, F.col("l_linestatus")))
+    columns = ["l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_comment_"]
+    state = lambda df: grouping.multiset_state(df, columns)
+    whole, old, came, went = state(rows), state(rows.where("l_quantity < 30")), state(rows.where("l_quantity >= 20")), state(rows.where("l_quantity >= 20 and l_quantity < 30"))
+    text = grouping.fingerprint_text
+    changed, copied = text(grouping.changed_state(old, came, went)), text(grouping.changed_state(whole, went, state(rows.limit(0))))
+    named = text(whole).join(F.broadcast(changed.select(F.col("fingerprint").alias("_c")))).join(F.broadcast(copied.select(F.col("fingerprint").alias("_d"))))  # one row each
+    return named.select("fingerprint", "n_rows", (F.col("_c") == F.col("fingerprint")).alias("by_changes"), (F.col("_d") != F.col("fingerprint")).alias("tells_copies"))
+
+
 @query("select l_returnflag, n from (select l_returnflag, count(*) as n, case l_returnflag when 'R' then 0 when 'A' then 1 else 2 end as o from lineitem group by 1) order by o")
 def o05_class_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = F.when(F.col("l_returnflag") == "R", 0).when(F.col("l_returnflag") == "A", 1).otherwise(2)

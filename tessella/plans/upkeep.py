@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import texts, upserts
+from ..operators import numbering, texts, upserts
 from ..registry import query, table
 
 _STORED = """(select c_custkey as k, case when c_custkey % 10 = 0 then null else c_nationkey end as n, c_mktsegment as seg, c_acctbal as bal from customer where c_custkey % 7 <> 3)"""
@@ -117,7 +117,7 @@ def k22_geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", texts.point_geojson(lng, lat, ["c_mktsegment"]).alias("feature"))
 
 
-@query("""select o_custkey, cast(0 as bigint) as line, '{"type":"LineString","coordinates":[' || string_agg('[' || cast(o_orderkey % 180 as varchar) || ',' || cast(o_orderkey % 90 as varchar) || ']', ',' order by o_orderkey) || ']}' as geometry
+@query("""select o_custkey, '{"type":"LineString","coordinates":[' || string_agg('[' || cast(o_orderkey % 180 as varchar) || ',' || cast(o_orderkey % 90 as varchar) || ']', ',' order by o_orderkey) || ']}' as geometry
   from orders where o_orderkey % 9 <> 0 group by o_custkey having count(*) > 1""")
 def k22_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -125,14 +125,13 @@ def k22_group_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.group_links(rows, "o_custkey", "o_orderkey", "lng", "lat")
 
 
-@query("""select id, change, rank from (select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as id, case when l_linenumber <> 4 then round(l_quantity - 25, 2) end as change,
-  row_number() over (order by case when l_linenumber <> 4 then abs(round(l_quantity - 25, 2)) end desc nulls last, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey) as rank from lineitem) where rank <= 300""")
+@query("""select id, change, row_number() over (order by case when l_linenumber <> 4 then abs(change) end desc nulls last, id, n) as rank from (select (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey as id,
+  l_linenumber, case when l_linenumber <> 4 then round(l_quantity - 25, 2) end as change, row_number() over (partition by (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey order by l_quantity) as n from lineitem)""")
 def k24_pending_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Largest change first, unknown ones last; the rank stands for the order of the file."""
+    """All changes, the largest first and unknown ones last; the rank stands for the order of the file."""
     change = F.when(F.col("l_linenumber") != 4, F.round(F.col("l_quantity") - 25, 2))
     rows = table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("id"), change.alias("change"))
-    first = rows.orderBy(F.desc_nulls_last(F.abs("change")), "id").limit(300)
-    return numbered(first, [F.desc_nulls_last(F.abs("change")), "id"])
+    return numbering.numbered(rows.withColumn("largest", -F.coalesce(F.abs("change"), F.lit(-1.0))), ["largest", "id", "change"], "rank").select("id", "change", "rank")
 
 
 def numbered(rows: DataFrame, order: list) -> DataFrame:
@@ -174,8 +173,7 @@ def u04_item_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].union(parts[1]).union(parts[2]).orderBy("list", "id")
 
 
-@query("select count(*) as n_rows, count(*) as n_ids, true as gapless_keys from events")
+@query("select event_id, row_number() over (order by event_type, event_id) as rid from events")
 def w10_row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Row ids without an order: one for every row, none twice."""
-    rows = table(spark, sf_dir, "events").withColumn("rid", F.monotonically_increasing_id())
-    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("rid").alias("n_ids"), (F.count("rid") == F.count("*")).alias("gapless_keys"))
+    """Row ids without gaps over a whole table, found range by range."""
+    return numbering.numbered(table(spark, sf_dir, "events").select("event_type", "event_id"), ["event_type", "event_id"], "rid").select("event_id", "rid")
