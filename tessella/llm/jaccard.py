@@ -355,9 +355,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels, step, opened = None, 0, 0
     while True:
         placed = sets.withColumn("component", F.col("id")) if labels is None else sets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        by_token = placed.select("id", "n", "point", "component", F.explode("shared" if step else F.slice("shared", 1, STAR)).alias("s")).select("*", "s.token", "s.count")
-        before, opened = opened, open_rows(by_token) if step else 0
-        last = step > 1 and opened * 2 > before or step > 0 and not opened
+        by_token = tokens_of(placed, F.slice("shared", 1, STAR) if not step else F.col("shared"), "n", "point")
+        before, last = opened, False
+        if step:
+            opens = scratch.write(open_tokens(tokens_of(placed, F.col("shared"))))
+            kinds, opened = opens.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+            if not opened:
+                break
+            last = step > 1 and opened * 2 > before
+            # Only shingles whose sets lie in several components go on, and no row of another one leaves its task.
+            if kinds <= SENT_NAMES:
+                by_token = by_token.join(F.broadcast(opens.select("token")), "token", "left_semi")
+            else:
+                by_token = tokens_of(placed, F.col("shared")).join(opens.select("token"), "token", "left_semi").join(sets.select("id", "n", "point"), "id")
         blocks = F.ceil(F.col("count") / BLOCK)
         own = F.pmod(F.xxhash64("id", "token", F.lit(step)), blocks)
         if last:
@@ -384,7 +394,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id")).alias("component_id"), "text_hash", F.coalesce("component", "id").alias("component"))
 
 
-def open_rows(rows: DataFrame) -> int:
-    """How many rows have a shingle whose sets lie in more than one component."""
-    per_token = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-    return per_token.where("x <> y").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+def tokens_of(placed: DataFrame, shared, *more: str) -> DataFrame:
+    """(id, component, token, count) of the shingles of each set, with further columns."""
+    return placed.select("id", "component", *more, F.explode(shared).alias("s")).select("id", "component", *more, "s.token", "s.count")
+
+
+def open_tokens(rows: DataFrame) -> DataFrame:
+    """(token, rows) of the shingles whose sets lie in more than one component."""
+    per_token = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("rows"))
+    return per_token.where("x <> y").select("token", "rows")

@@ -106,3 +106,29 @@ def test_empty(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert result(registry.QUERIES["op6_count_vector_jaccard"](spark, sf)) == brute(rows)
+
+
+def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    """Shingles whose sets are one component already aren't dealt again, so a group four times as large takes about four times
+    the rows, not sixteen."""
+    made = []
+    plain = jaccard.candidates
+
+    def counted(rows, seed):
+        made.append(rows.count())
+        return plain(rows, seed)
+
+    monkeypatch.setattr(jaccard, "candidates", counted)
+    sums = []
+    for n in (300, 1200):
+        rng, words = random.Random(3), [f"w{k}" for k in range(150)]
+        texts = []
+        for k in range(n):
+            own = list(words)
+            own[rng.randrange(150)] = f"x{k}"
+            texts.append((k, " ".join(own)))
+        made.clear()
+        found = jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+        assert found.select("component_id").distinct().count() == 1
+        sums.append(sum(made))
+    assert sums[1] <= 5 * sums[0]
