@@ -358,16 +358,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         by_token = tokens_of(placed, F.slice("shared", 1, STAR) if not step else F.col("shared"), "n", "point")
         before, last = opened, False
         if step:
-            opens = scratch.write(open_tokens(tokens_of(placed, F.col("shared"))))
-            kinds, opened = opens.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).first()
+            thin = tokens_of(placed, F.col("shared"))
+            opens = scratch.write(open_tokens(thin))
+            opened = opens.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
             if not opened:
                 break
             last = step > 1 and opened * 2 > before
-            # Only shingles whose sets lie in several components go on, and no row of another one leaves its task.
-            if kinds <= SENT_NAMES:
-                by_token = by_token.join(F.broadcast(opens.select("token")), "token", "left_semi")
-            else:
-                by_token = tokens_of(placed, F.col("shared")).join(opens.select("token"), "token", "left_semi").join(sets.select("id", "n", "point"), "id")
+            # Only shingles whose sets lie in several components go on; their rows get their points after that.
+            by_token = thin.join(opens.select("token"), "token", "left_semi").join(sets.select("id", "n", "point"), "id")
         blocks = F.ceil(F.col("count") / BLOCK)
         own = F.pmod(F.xxhash64("id", "token", F.lit(step)), blocks)
         if last:
