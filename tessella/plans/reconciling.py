@@ -335,3 +335,37 @@ def k01_shape_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.col("statement")
     verb = F.substring_index(said, " ", 1)
     return patches.select("key", verb.alias("verb"), (said.contains('"status"')).alias("sets_status"), said.rlike(shape).alias("sets_geometry"))
+
+
+_ADDRESSES = """(select concat(n_name, '|', c_mktsegment, '|', cast(cast(floor(c_acctbal / 100) as bigint) as varchar)) as match_key, 'site:' || c_custkey as urn, c_custkey as k, c_mktsegment as seg,
+  case c_custkey % 7 when 0 then 'CADASTRE' when 1 then 'FIELD' when 2 then 'MANUAL' else 'IMPORT' end as source, c_custkey % 11 = 3 as matched, c_custkey % 5 = 2 as has_units from customer join nation on c_nationkey = n_nationkey where c_nationkey % 3 <> 1)"""
+_VERDICTS = f"""with r as (select match_key, urn, k, source, matched, has_units, source in ('IMPORT', 'FIELD') as rem, source = 'CADASTRE' as prot from (select concat(split_part(match_key, '|', 1), '|', seg, '|', cast(cast(floor(cast(split_part(match_key, '|', 3) as double) / 20) as bigint) as varchar)) as match_key, urn, k, source, matched, has_units from {_ADDRESSES})),
+g as (select match_key, count(*) as n_group, count(*) filter (rem and matched) as n_matched, bool_or(prot) as p, min(k) filter (rem) as least from r group by 1),
+b as (select r.*, n_group, n_matched, case when prot then 'PROTECTED_SOURCE' when matched then 'INFRA_MATCHED' when n_group = 1 then 'NO_DUPLICATE' {{extra}}
+  when rem and n_matched = 0 and k = least then case when p then 'KEPT_ALONGSIDE_PROTECTED' else 'LOWEST_URN_KEPT' end when n_matched > 0 then 'REDUNDANT_WITH_MATCHED' else 'REDUNDANT_NOT_LOWEST_URN' end as why from r join g using (match_key)),
+d as (select *, case when rem and has_units and why like 'REDUNDANT%' then 'HAS_INTERNAL_UNITS' else why end as reason from b),
+e as (select *, case when reason like 'REDUNDANT%' then 'REMOVE' else 'KEEP' end as decision from d),
+o as (select match_key, row_number() over (order by match_key) as group_id from (select distinct match_key from e where decision = 'REMOVE' or reason in ('KEPT_ALONGSIDE_PROTECTED', 'HAS_INTERNAL_UNITS')))
+select group_id, match_key, urn, source, n_group, n_matched, reason, decision from e join o using (match_key)"""
+
+
+def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").where("c_nationkey % 3 <> 1").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
+    key = F.concat("n_name", F.lit("|"), "c_mktsegment", F.lit("|"), F.floor(F.floor(F.col("c_acctbal") / 100) / 20).cast("string"))
+    source = F.when(k % 7 == 0, "CADASTRE").when(k % 7 == 1, "FIELD").when(k % 7 == 2, "MANUAL").otherwise("IMPORT")
+    return rows.select(key.alias("match_key"), F.concat(F.lit("site:"), k.cast("string")).alias("urn"), source.alias("source"), (k % 11 == 3).alias("matched"), (k % 5 == 2).alias("has_units"))
+
+
+@query(_VERDICTS.format(extra=""))
+def x04_address_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Duplicate addresses in the order of the rules: sources, infrastructure, lowest URN, units inside; the groups to show, numbered."""
+    found = dedup.reported(dedup.decide_by_source(addresses(spark, sf_dir), ["IMPORT", "FIELD"], ["CADASTRE"]))
+    return found.select("group_id", "match_key", "urn", "source", "n_group", "n_matched", "reason", "decision")
+
+
+@query(_VERDICTS.format(extra="when rem and p then 'REDUNDANT_WITH_PROTECTED'"))
+def x04_verdicts_beside_protected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a removable row beside a protected one goes."""
+    found = dedup.reported(dedup.decide_by_source(addresses(spark, sf_dir), ["IMPORT", "FIELD"], ["CADASTRE"], True))
+    return found.select("group_id", "match_key", "urn", "source", "n_group", "n_matched", "reason", "decision")
