@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,3 +21,19 @@ def settled(df: DataFrame) -> DataFrame:
         else:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """A new folder where all executors can write and read, in the one that ``spark.checkpoint.dir`` names (a temporary one for a
+    local master without the setting). It goes when the driver ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.gettempdir()
+    name = f"{root.rstrip('/')}/tessella-table-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return name

@@ -5,10 +5,12 @@ cell is inside where an odd number of a row's rings holds it."""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import layers, upserts
-from ..operators.staging import settled
+from ..operators import layers, upserts, versions
+from ..operators.staging import settled, shared_folder
 from ..registry import query, table
 from ..sources import shape_ranges
 
@@ -157,3 +159,54 @@ def s23_record_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parcels as records of a shapefile, read back: rings measured, holes put into their shells by winding numbers."""
     whole = layers.examined(parcels(spark, sf_dir), "geom").where("geom is not null").select("rec", layers.shape_record(F.col("geom")).alias("content"))
     return shape_ranges.record_parts(whole, "content").groupBy("rec").agg(F.sum("area").alias("area"), F.sum("n_holes").alias("n_holes"))
+
+
+@query(f"""with {_CELLS}, u as (select distinct k1, k2, cx, cy from cells where k1 is not null), t as (select k1, k2, count(*) as area from u group by all)
+select 1 as n_refused, 2 as n_commits, count(*) as n_rows, cast(sum(area) as double) as area, true as reverted from t""")
+def x10_parcel_consolidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels united by key replace a table as a checked version. A load that lost the western half is refused, and the table keeps
+    its rows; a load of the same rows goes through, and the first version comes back when it is asked for."""
+    table_ = versions.Versions(spark, shared_folder(spark))
+    united = settled(layers.union_by_key(parcels(spark, sf_dir), "geom", ["k1", "k2"], ["brand"]))
+    drift = versions.facts_gate(lambda old, new: upserts.gates(old, new, "area", "n_vertices", 1 << 20))
+    gates = [versions.unique_gate(["k1", "k2"]), versions.ratio_gate(), drift]
+    first = table_.replace(united, gates)
+    refused = 0
+    try:
+        table_.replace(united.where("minx >= 500"), gates)
+    except versions.Refused:
+        refused = 1
+    second = table_.replace(united.repartition(3), gates)
+    commits = len(table_.commits())
+    table_.revert(first)
+    back = first != second and table_.commits()[-1][1] == first
+    now = table_.read()
+    return now.agg(F.lit(refused).alias("n_refused"), F.lit(commits).alias("n_commits"), F.count("*").alias("n_rows"), F.sum("area").alias("area"), F.lit(back).alias("reverted"))
+
+
+@query(f"""with {_UNIFIED} select 'loaded' as state, count(*) as n_rows, cast(sum(a) as double) as area from (select g.rec, nullif(count(xor.rec), 0) as a from g left join xor on g.rec = xor.rec group by g.rec)""")
+def x03_layer_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A staged layer, processed, replaces an empty table whole: stage, repair, unify, overlap report, count check, commit."""
+    target = versions.Versions(spark, shared_folder(spark))
+    layer, report = layers.process(parcels(spark, sf_dir), "geom", replace(CFG, block=False))
+    facts = {r.measure: r.value for r in report.collect()}
+
+    def counted(_: DataFrame | None, staged: DataFrame) -> str | None:
+        n = staged.count()
+        return None if n == facts["inserted_rows"] and not facts["would_block"] else f"{n} rows, {facts}"
+
+    target.replace(layer.drop("collided"), [counted])
+    return target.read().agg(F.lit("loaded").alias("state"), F.count("*").alias("n_rows"), F.sum("area").alias("area"))
+
+
+@query(f"""select 'swapped' as state, count(*) as n_layers, cast(sum(area) as double) as area from (select sum(h) as area from {_SKYLINE} group by nation, block)""")
+def x09_coverage_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polygons as shape records, read in parts, repaired, cut into pieces, and swapped in behind the gates: no area lost, no piece too
+    large, none invalid."""
+    whole = layers.examined(skylines(spark, sf_dir), "geom").select("nation", "block", layers.shape_record(F.col("geom")).alias("content"), "area")
+    parts = shape_ranges.record_parts(whole.drop("area"), "content").select("nation", "block", "part", F.hex("geom").alias("geom"))
+    cut = settled(layers.subdivided(layers.examined(parts, "geom"), ["nation", "block", "part"], MOST_VERTICES))
+    target = versions.Versions(spark, shared_folder(spark))
+    before = settled(whole.select("area", F.lit(0).alias("n_vertices")))
+    target.replace(cut, [versions.facts_gate(lambda old, new: upserts.gates(old, new, "area", "n_vertices", MOST_VERTICES), before)])
+    return target.read().agg(F.lit("swapped").alias("state"), F.countDistinct("nation", "block").alias("n_layers"), F.round(F.sum("area"), 6).alias("area"))
