@@ -173,10 +173,10 @@ def shared_area(a: Column, b: Column) -> Column:
     return _shared(a, b)
 
 
-def pairs_with_area(left: DataFrame, right: DataFrame, a: str, b: str, cell: float) -> DataFrame:
-    """(a, b, area) of all pairs of polygons whose boxes meet in an area; rows hold an id, geom and box."""
-    boxes = lambda df, i: df.select(F.col(i).alias("id"), *spatial.BOX)
-    met = spatial.box_join(boxes(left, a), boxes(right, b), cell).where("shared > 0").select("a_id", "b_id")
+def pairs_with_area(left: DataFrame, right: DataFrame, a: str, b: str, cell: float, on: tuple[str, ...] = ()) -> DataFrame:
+    """(a_id, b_id, area) of all pairs of polygons whose boxes meet in an area and that agree in ``on``; rows hold an id, geom and box."""
+    boxes = lambda df, i: df.select(F.col(i).alias("id"), *on, *spatial.BOX)
+    met = spatial.box_join(boxes(left, a), boxes(right, b), cell, on).where("shared > 0").select("a_id", "b_id")
     met = met.join(left.select(F.col(a).alias("a_id"), F.col("geom").alias("a_geom")), "a_id").join(right.select(F.col(b).alias("b_id"), F.col("geom").alias("b_geom")), "b_id")
     return met.select("a_id", "b_id", shared_area(F.col("a_geom"), F.col("b_geom")).alias("area"))
 
