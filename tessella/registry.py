@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from .plans import carto, documents, layers, loading, network, parcels, reconciling, reports, rules, sets, upkeep  # noqa: E402, F401
+from .plans import carto, documents, layers, loading, network, parcels, progress, reconciling, reports, rules, sets, upkeep  # noqa: E402, F401
