@@ -54,7 +54,7 @@ def f10_percentages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select s_suppkey, case when s_suppkey % 3 = 0 then null else s_suppkey end as tail from supplier")
 def f14_urn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urn = F.when(F.col("s_suppkey") % 3 == 0, "cgeo:x:none").otherwise(F.concat(F.lit("cgeo:x:id:"), F.col("s_suppkey").cast("string")))
+    urn = F.when(F.col("s_suppkey") % 3 == 0, "site:x:none").otherwise(F.concat(F.lit("site:x:id:"), F.col("s_suppkey").cast("string")))
     return table(spark, sf_dir, "supplier").select("s_suppkey", V.urn_tail(urn).alias("tail"))
 
 

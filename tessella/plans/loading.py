@@ -104,11 +104,11 @@ def a26_source_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resources(spark, sf_dir).groupBy("source").agg(loads.badge(F.col("state")).alias("badge"), F.count("*").alias("n"))
 
 
-@query("""with m as (select 'cgeo:master:id:' || s_suppkey as urn, s_suppkey as id from supplier union all select 'cgeo:master:id:' || s_suppkey, s_suppkey + 1000000 from supplier where s_suppkey % 8 = 0),
+@query("""with m as (select 'site:master:id:' || s_suppkey as urn, s_suppkey as id from supplier union all select 'site:master:id:' || s_suppkey, s_suppkey + 1000000 from supplier where s_suppkey % 8 = 0),
 g as (select urn, count(*) as n, min(id) as id from m where urn is not null group by urn)
-select c_custkey, case when g.n is null then 'NEW' when g.n = 1 then 'EXISTING' else 'AMBIGUOUS' end as class, case when g.n = 1 then g.id end as master_id from customer left join g on g.urn = 'cgeo:master:id:' || c_custkey""")
+select c_custkey, case when g.n is null then 'NEW' when g.n = 1 then 'EXISTING' else 'AMBIGUOUS' end as class, case when g.n = 1 then g.id end as master_id from customer left join g on g.urn = 'site:master:id:' || c_custkey""")
 def j21_link_masters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urn = lambda c: F.concat(F.lit("cgeo:master:id:"), F.col(c))
+    urn = lambda c: F.concat(F.lit("site:master:id:"), F.col(c))
     s = table(spark, sf_dir, "supplier").select("s_suppkey")
     masters = s.select(urn("s_suppkey").alias("urn"), F.col("s_suppkey").alias("id")).union(s.where("s_suppkey % 8 = 0").select(urn("s_suppkey"), F.col("s_suppkey") + 1000000))
     found = masters.groupBy("urn").agg(F.count("*").alias("n"), F.min("id").alias("id"))
