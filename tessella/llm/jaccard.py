@@ -13,9 +13,9 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 4. What is left is verified on the whole sets.
 
 First each point takes two partners only: the one of highest random priority, which makes stars, and the one with the
-most room over the threshold. The first round looks at each set's first STAR shared shingles. Verified pairs are contracted to components,
-and that goes on while it at least halves what is open. Then all pairs that still lie in different components are
-taken, by all shingles, so no link between components is lost, while a large group of copies costs a few pairs per
+most room over the threshold, and each round looks at the first STAR shingles of a set that it shares with other components. Verified pairs are
+contracted to components, and that goes on while it at least halves what is open. Then all pairs that still lie in
+different components are taken, by all such shingles, so no link between components is lost, while a large group of copies costs a few pairs per
 member. A shingle with many sets is dealt out as pairs of blocks of BLOCK sets.
 
 Documents without words link with nothing and are their own component. Null ids take no part: their
@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Scratch, buffers, rest, runs
 from .graph import components
@@ -43,7 +43,7 @@ MOST_COUNT = 3
 _ANY = 1 << 30
 LEAF = 16
 BLOCK = 256
-STAR = 8
+STAR = 4
 #: A shingle in more than this share of all texts goes last in the order, as far as runs of texts show it.
 COMMON = 0.0005
 #: So many of those at most, the most frequent: 8 MB.
@@ -358,14 +358,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         by_token = tokens_of(placed, F.slice("shared", 1, STAR) if not step else F.col("shared"), "n", "point")
         before, last = opened, False
         if step:
-            thin = tokens_of(placed, F.col("shared"))
+            thin = tokens_of(placed, F.col("shared"), pos=True)
             opens = scratch.write(open_tokens(thin))
             opened = opens.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
             if not opened:
                 break
             last = step > 1 and opened * 2 > before
-            # Only shingles whose sets lie in several components go on; their rows get their points after that.
-            by_token = thin.join(opens.select("token"), "token", "left_semi").join(sets.select("id", "n", "point"), "id")
+            # Only shingles whose sets lie in several components go on, the first STAR of each set before the last round;
+            # their rows get their points after that.
+            thin = thin.join(opens.select("token"), "token", "left_semi")
+            if not last:
+                thin = thin.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("nth") <= STAR).drop("nth")
+            by_token = thin.drop("pos").join(sets.select("id", "n", "point"), "id")
         blocks = F.ceil(F.col("count") / BLOCK)
         own = F.pmod(F.xxhash64("id", "token", F.lit(step)), blocks)
         if last:
@@ -392,9 +396,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id")).alias("component_id"), "text_hash", F.coalesce("component", "id").alias("component"))
 
 
-def tokens_of(placed: DataFrame, shared, *more: str) -> DataFrame:
-    """(id, component, token, count) of the shingles of each set, with further columns."""
-    return placed.select("id", "component", *more, F.explode(shared).alias("s")).select("id", "component", *more, "s.token", "s.count")
+def tokens_of(placed: DataFrame, shared, *more: str, pos: bool = False) -> DataFrame:
+    """(id, component, token, count) of the shingles of each set, with further columns and perhaps their place in its order."""
+    return placed.select("id", "component", *more, F.explode(shared).alias("s")).select("id", "component", *more, "s.token", "s.count", *["s.pos"] * pos)
 
 
 def open_tokens(rows: DataFrame) -> DataFrame:
