@@ -14,7 +14,7 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 
 First each point takes two partners only: the one of highest random priority, which makes stars, and the one with the
 most room over the threshold, and each round looks at the first STAR shingles of a set that it shares with other components. Verified pairs are
-contracted to components, and that goes on while it at least halves what is open. Then all pairs that still lie in
+contracted to components, and that goes on while it closes a tenth of what is open. Then all pairs that still lie in
 different components are taken, by all such shingles, so no link between components is lost, while a large group of copies costs a few pairs per
 member. A shingle with many sets is dealt out as pairs of blocks of BLOCK sets.
 
@@ -363,7 +363,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             opened = opens.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
             if not opened:
                 break
-            last = step > 1 and opened * 2 > before
+            last = step > 1 and opened * 10 > before * 9
             # Only shingles whose sets lie in several components go on, the first STAR of each set before the last round;
             # their rows get their points after that.
             thin = thin.join(opens.select("token"), "token", "left_semi")
