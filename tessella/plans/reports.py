@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import columns, values as V
 from ..operators import checks, loads
+from ..operators.staging import shared_folder
 from ..registry import query, table
+from ..sources import text_files
 
 
 @query("""select c_custkey, case when c_custkey % 97 = 0 then 'EMPTY_NAME' when length(c_name) > 20 then 'TOO_LONG' when c_acctbal not between -900 and 9900 then 'RANGE' when c_mktsegment not in ('BUILDING', 'MACHINERY', 'HOUSEHOLD') then 'ENUM' end as reason from customer""")
@@ -116,10 +118,35 @@ def s02_paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").orderBy("o_orderkey").offset(300).limit(100)
 
 
-@query("select * from (values ('id', 'ID'), ('nombre', 'Nombré'), ('departamento', 'departamen'), ('localidad', 'localidd')) t(target, source)")
+@query("""select column_name as target, case ordinal_position % 3 when 0 then upper(column_name) when 1 then ' ' || replace(column_name, '_', ' ') || ' ' else column_name[1:-2] end as source from information_schema.columns where table_name = 'customer' and (ordinal_position % 3 <> 2 or length(replace(column_name, '_', '')) > 5)""")
 def p20_column_automap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = columns.auto_map(["ID", "Nombré", "departamen", "localidd", "x"], ["id", "nombre", "departamento", "localidad", "y"])
-    return spark.createDataFrame(sorted(found.items()), "target string, source string")
+    """The columns of a table and those of a file that spells them in capitals, with spaces, or a letter short, which is taken for
+    names of five letters or more only."""
+    names = table(spark, sf_dir, "customer").columns
+    spelled = [n.upper() if k % 3 == 0 else f" {n.replace('_', ' ')} " if k % 3 == 1 else n[:-1] for k, n in enumerate(names, 1)]
+    return spark.createDataFrame(sorted(columns.auto_map(spelled[::-1], names).items()), "target string, source string")
+
+
+_PLACES = """(select c_custkey as k, c_custkey % 6 as kind, (c_custkey * 37 % 3600 - 1800) / 10.0 as lng, (c_custkey * 91 % 1800 - 900) / 10.0 as lat from customer)"""
+
+
+@query(f"""select k, case when kind = 0 then 'POINT(1 ' || k || ')' when kind = 5 then 'POLYGON((0 0,1 0,1 ' || k || ',0 0))' when kind in (1, 2) then 'POINT(' || cast(lng as double) || ' ' || cast(lat as double) || ')' end as geom,
+  case when kind = 3 then 'a "quoted"; one' else 'plain' end as note from {_PLACES} where kind <> 4
+union all select k, null, 'plain' from {_PLACES} where kind = 4""")
+def s13_delimited_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as delimited files, written and read back: quoted fields, and a geometry from its own column or from latitude and
+    longitude."""
+    c = F.col("c_custkey")
+    kind = c % 6
+    at = lambda v: F.format_string("%.1f", v)
+    lng, lat = at((c * 37 % 3600 - 1800) / 10.0), at((c * 91 % 1800 - 900) / 10.0)
+    wkt = F.when(kind == 0, F.concat(F.lit("POINT(1 "), c.cast("string"), F.lit(")"))).when(kind == 5, F.concat(F.lit("POLYGON((0 0,1 0,1 "), c.cast("string"), F.lit(",0 0))"))).when(kind == 2, F.lit("POINT(nowhere)"))
+    rows = table(spark, sf_dir, "customer").select(c.alias("id"), wkt.alias("WKT"), F.when(kind == 4, F.lit("north")).when(kind == 3, F.lit(None)).otherwise(F.concat(lat, F.lit(" deg"))).alias("Latitud"), F.when(kind != 3, lng).alias("Lng"), F.when(kind == 3, F.lit('a "quoted"; one')).otherwise("plain").alias("note"))
+    folder = shared_folder(spark)
+    rows.write.mode("overwrite").option("sep", ";").option("header", True).option("escape", '"').csv(folder)
+    read = text_files.read_delimited(spark, f"{folder}/*.csv")
+    where = text_files.spatial_columns(rows.columns)
+    return read.select(F.col("values.id").cast("int").alias("k"), text_files.row_geometry(F.col("values"), where).alias("geom"), F.col("values.note").alias("note"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, 'row' || chr(9) || l_returnflag as raw, 'row\\t' || l_returnflag as encoded from lineitem")

@@ -9,7 +9,10 @@ import datetime
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.functions import pandas_udf
+
+from ..functions.geometry import parse_any, to_degrees
 
 DELIMITERS = ",;\t"
 
@@ -90,6 +93,37 @@ def point_text(lat: str, lng: str) -> str | None:
     return f"POINT({float(lng)} {float(lat)})"
 
 
+_NUMBER = re.compile(r"\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)")
+
+
+def leading_number(text: str | None) -> float | None:
+    """The number that a text begins with, whatever follows it."""
+    m = _NUMBER.match(text or "")
+    return float(m[1]) if m else None
+
+
+@pandas_udf(T.StringType())
+def _row_geometry(geom: pd.Series, lat: pd.Series, lng: pd.Series) -> pd.Series:
+    out = []
+    for g, a, b in zip(geom, lat, lng):
+        x, y = leading_number(b), leading_number(a)
+        if g and parse_any(g):
+            out.append(g)
+        elif x is None or y is None:
+            out.append(None)
+        else:
+            x, y = to_degrees(x, y)
+            out.append(f"POINT({x!r} {y!r})")
+    return pd.Series(out, dtype=object)
+
+
+def row_geometry(values: Column, columns: dict[str, str]) -> Column:
+    """A record's geometry text from its values and ``spatial_columns``: the geometry column if that can be read, else latitude and
+    longitude by the numbers they begin with (metres are taken as the fallback zone's), else null."""
+    of = lambda role: values[columns[role]] if role in columns else F.lit(None).cast("string")
+    return _row_geometry(of("geometry"), of("lat"), of("lng"))
+
+
 def file_date(name: str, pattern: str) -> datetime.date | None:
     """The date in a file name by a pattern with groups d, m and y; null if it isn't in the calendar."""
     m = re.search(pattern, name)

@@ -183,3 +183,13 @@ def test_repeated_keys_with_shapes(spark):
         *[("d", "DUPLICATE_SUID", [], a, b) for a, b in ((7, 0), (8, 0), (0, 6), (0, 7))], ("", "NULL_SUID", [], 0, 8), ("e", "ONLY_IN_DB", [], 9, 0), ("e", "DEGENERATE", [], 0, 9), ("", "DEGENERATE", [], 0, 10),
     ])
     assert reconcile.summary(found).first().n_rows == 19
+
+
+def test_geometry_of_delimited_rows(spark):
+    rows = [("POINT(1 2)", "5", "6"), ("nothing", " -34.5 S", "-56.25x"), ("", "6140000", "600000"), (None, "x", "1"), (None, None, "1"), (None, ".5", "1e1"), ("POINT(", "", "")]
+    df = spark.createDataFrame([({"Geom": g, "lat": a, "lon": b},) for g, a, b in rows], "v map<string,string>")
+    got = [r.g for r in df.select(text_files.row_geometry(F.col("v"), {"geometry": "Geom", "lat": "lat", "lng": "lon"}).alias("g")).collect()]
+    assert got[:2] == ["POINT(1 2)", "POINT(-56.25 -34.5)"] and got[3:] == [None, None, "POINT(10.0 0.5)", None]
+    (x, y), = G.parse_wkt(got[2])["parts"][0][0]
+    assert (round(x, 3), round(y, 3)) == tuple(round(v, 3) for v in G.utm_inverse(600000, 6140000))
+    assert [r.g for r in df.select(text_files.row_geometry(F.col("v"), {}).alias("g")).collect()] == [None] * 7
