@@ -13,15 +13,16 @@ _G = "group by k, case when k is null then rec end"
 
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem with a key that is sometimes null."""
+    """Lineitem with a key that is sometimes null. A few lines share order, number and part, and so their rec: their place in the
+    table (file, row) orders them."""
     k = F.when(F.col("l_partkey") % 40 != 0, F.col("l_partkey"))
     status = F.when(F.col("l_linenumber") != 3, F.col("l_linestatus"))
-    return table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("rec"), k.alias("k"), F.col("l_returnflag").alias("flag"), status.alias("status"))
+    return table(spark, sf_dir, "lineitem").select(((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")).alias("rec"), k.alias("k"), F.col("l_returnflag").alias("flag"), status.alias("status"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
 @query(f"select k, arg_min_null(flag, rec) as flag, arg_min_null(status, rec) as status, min(rec) as rec, count(*) as n_rows from {_L} {_G}")
 def a02_unify_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.unify(rows(spark, sf_dir), ["k"], ["flag", "status"]).select("k", "flag", "status", "rec", "n_rows")
+    return grouping.unify(rows(spark, sf_dir), ["k"], ["flag", "status"], ties=("file", "row")).select("k", "flag", "status", "rec", "n_rows")
 
 
 @query(f"select cast(count(*) filter (n > 1) as bigint) as n_groups, cast(coalesce(sum(n - 1) filter (n > 1), 0) as bigint) as n_merged from (select count(*) as n from {_L} {_G})")
@@ -43,7 +44,7 @@ def a05_conflict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""select k, arg_min_null(flag, rec) as kept, count(distinct flag) as n_values, array_to_string(list_sort(list_distinct(list(flag)))[1:5], ',') as samples from {_L} where k is not null group by k
 having count(distinct flag) > 1 order by k limit 20""")
 def a05_conflict_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.conflict_samples(rows(spark, sf_dir).where("k is not null"), ["k"], "flag", 20)
+    return grouping.conflict_samples(rows(spark, sf_dir).where("k is not null"), ["k"], "flag", 20, ties=("file", "row"))
 
 
 @query("select event_type, min(event_id) as first, max(event_id) as last, count(*) as n from (select event_type, event_id, event_id - row_number() over (partition by event_type order by event_id) as g from events) group by event_type, g")
