@@ -144,9 +144,10 @@ def s13_delimited_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").select(c.alias("id"), wkt.alias("WKT"), F.when(kind == 4, F.lit("north")).when(kind == 3, F.lit(None)).otherwise(F.concat(lat, F.lit(" deg"))).alias("Latitud"), F.when(kind != 3, lng).alias("Lng"), F.when(kind == 3, F.lit('a "quoted"; one')).otherwise("plain").alias("note"))
     folder = shared_folder(spark)
     rows.write.mode("overwrite").option("sep", ";").option("header", True).option("escape", '"').csv(folder)
-    read = text_files.read_delimited(spark, f"{folder}/*.csv")
+    # Spark writes an empty first partition as a file that holds its header only: no record, and no fault of the table.
+    read = text_files.read_delimited(spark, f"{folder}/*.csv").where("error is null or error <> 'no records'")
     where = text_files.spatial_columns(rows.columns)
-    return read.select(F.col("values.id").cast("int").alias("k"), text_files.row_geometry(F.col("values"), where).alias("geom"), F.col("values.note").alias("note"))
+    return read.select(F.col("values.id").cast("long").alias("k"), text_files.row_geometry(F.col("values"), where).alias("geom"), F.col("values.note").alias("note"))
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, 'row' || chr(9) || l_returnflag as raw, 'row\\t' || l_returnflag as encoded from lineitem")
