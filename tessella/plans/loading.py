@@ -126,14 +126,15 @@ def p19_merge_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t04_stream_without_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as a stream of files, each event kept once; the batch ends with the input."""
-    import uuid
-
+    """Events as a stream of files, each event kept once; the batch ends with the input. What is kept goes to files that the
+    executors write, as are the stream's states."""
+    from ..operators.staging import shared_folder
     from ..streaming import pages
 
     events = table(spark, sf_dir, "events")
-    name = f"events_{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     kept = pages.without_repeats(stream.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), "event_id", "ts", "3650 days")
-    kept.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    sink = kept.writeStream.format("parquet").option("path", f"{folder}/kept").option("checkpointLocation", f"{folder}/states")
+    sink.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{folder}/kept")
