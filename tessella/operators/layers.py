@@ -22,10 +22,12 @@ from ..functions.geometry import UnsupportedGeometry, area, bounds, parse_any
 from ..sources.shape_ranges import record_bytes
 from . import spatial
 from .grouping import group_key
-from .staging import settled
+from .staging import settled, spread
 
 #: Rows of a key that one task makes into one.
 FAN = 64
+#: Pieces that leave a task together.
+PIECES = 4096
 SHAPE = T.StructType([T.StructField("geom", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in (*spatial.BOX, "area")] + [T.StructField(c, T.IntegerType()) for c in ("n_vertices", "n_parts")])
 _SHAPE_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SHAPE)
 
@@ -53,10 +55,14 @@ def _examined(texts: pd.Series, repair: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["invalid", "reason", *SHAPE.names])
 
 
+#: Filters on its results stay behind it: pushed before it, each would examine all geometries once more.
+_examined = _examined.asNondeterministic()
+
+
 def examined(df: DataFrame, geom: str, repair: bool = True) -> DataFrame:
     """Adds whether a geometry is invalid and why, and, repaired if wanted, its text, box, area, vertices and parts; a geometry
     that is empty after repair is null."""
-    return df.withColumn("_x", _examined(F.col(geom), F.lit(repair))).select(*[c for c in df.columns if c != geom], "_x.*")
+    return spread(df).withColumn("_x", _examined(F.col(geom), F.lit(repair))).select(*[c for c in df.columns if c != geom], "_x.*")
 
 
 def combined(geoms: list[dict], how: str) -> tuple[dict | None, bool]:
@@ -98,7 +104,7 @@ def merged(df: DataFrame, key: str, rec: str, how: str, fan: int = FAN) -> DataF
         many = dealt.where("n > 1")
         sizes = many.groupBy("k", "gx", "gy").agg(F.count("*").alias("m"))
         chunked = many.join(sizes, ["k", "gx", "gy"]).withColumn("chunk", F.pmod(F.xxhash64("rec"), F.ceil(F.col("m") / fan)))
-        one = chunked.select(*names, "gx", "gy", "chunk").groupBy("k", "gx", "gy", "chunk").applyInArrow(lambda t: combine(t), f"{schema}, rec long, {_SHAPE_DDL}, collided boolean")
+        one = spread(chunked.select(*names, "gx", "gy", "chunk"), "k", "gx", "gy", "chunk").groupBy("k", "gx", "gy", "chunk").applyInArrow(lambda t: combine(t), f"{schema}, rec long, {_SHAPE_DDL}, collided boolean")
         most = stats.agg(F.max("n")).first()[0] or 0
         if most <= 1:
             break
@@ -168,6 +174,9 @@ def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([O.polygon_area(O.intersection(parse_any(x), parse_any(y))) for x, y in zip(a, b)], dtype=float)
 
 
+_shared = _shared.asNondeterministic()
+
+
 def shared_area(a: Column, b: Column) -> Column:
     """Area of the intersection of two repaired polygon texts."""
     return _shared(a, b)
@@ -178,7 +187,7 @@ def pairs_with_area(left: DataFrame, right: DataFrame, a: str, b: str, cell: flo
     boxes = lambda df, i: df.select(F.col(i).alias("id"), *on, *spatial.BOX)
     met = spatial.box_join(boxes(left, a), boxes(right, b), cell, on).where("shared > 0").select("a_id", "b_id")
     met = met.join(left.select(F.col(a).alias("a_id"), F.col("geom").alias("a_geom")), "a_id").join(right.select(F.col(b).alias("b_id"), F.col("geom").alias("b_geom")), "b_id")
-    return met.select("a_id", "b_id", shared_area(F.col("a_geom"), F.col("b_geom")).alias("area"))
+    return spread(met).select("a_id", "b_id", shared_area(F.col("a_geom"), F.col("b_geom")).alias("area"))
 
 
 def overlaps(layer: DataFrame, rec: str, least: float, cell: float) -> DataFrame:
@@ -187,7 +196,7 @@ def overlaps(layer: DataFrame, rec: str, least: float, cell: float) -> DataFrame
     met = spatial.box_join(boxes, boxes, cell).where("a_id < b_id and shared > 0").select("a_id", "b_id")
     for side in ("a", "b"):
         met = met.join(layer.select(F.col(rec).alias(f"{side}_id"), F.col("geom").alias(f"{side}_geom")), f"{side}_id")
-    return met.select("a_id", "b_id", shared_area(F.col("a_geom"), F.col("b_geom")).alias("area")).where(F.col("area") > least)
+    return spread(met).select("a_id", "b_id", shared_area(F.col("a_geom"), F.col("b_geom")).alias("area")).where(F.col("area") > least)
 
 
 def union_by_key(rows: DataFrame, geom: str, keys: list[str], carried: list[str], rec: str = "rec", repair: bool = True) -> DataFrame:
@@ -247,6 +256,8 @@ def shape_record(a: Column) -> Column:
 def subdivided(df: DataFrame, ids: list[str], most: int = 256) -> DataFrame:
     """Pieces (ids, piece, geom, area, n_vertices) with at most ``most`` vertices of repaired geometries."""
 
+    names = [*ids, "piece", "geom", "area", "n_vertices"]
+
     def cut(frames):
         for frame in frames:
             rows = []
@@ -254,7 +265,10 @@ def subdivided(df: DataFrame, ids: list[str], most: int = 256) -> DataFrame:
                 *own, text = values
                 for k, g in enumerate(O.subdivided(parse_any(text), most) if text else []):
                     rows.append((*own, k, O.to_wkt(g), area(g), O.vertices(g)))
-            yield pd.DataFrame(rows, columns=[*ids, "piece", "geom", "area", "n_vertices"])
+                if len(rows) >= PIECES:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)
     return df.select(*ids, "geom").mapInPandas(cut, f"{kinds}, piece int, geom string, area double, n_vertices int")

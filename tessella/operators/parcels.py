@@ -20,7 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import lines, overlay as O
 from ..functions.geometry import parse_any, traits
 from . import grouping, layers, spatial
-from .staging import settled
+from .staging import settled, spread
 
 KEY = ("type", "province", "locality", "number")
 
@@ -96,7 +96,7 @@ def matched(target: DataFrame, candidates: DataFrame, cfg: UpdateConfig, accepts
     found = candidates.alias("c").join(counts.alias("t"), same_key("c", "t"), "left").select("c.*", "t.n", "t.id")
     old = target.select(F.col("id").alias("old_id"), F.col("geom").alias("old_geom"))
     found = found.join(old, (F.col("id") == F.col("old_id")) & (F.col("n") == 1), "left")
-    found = found.withColumn("shape", traits(F.col("geom")).shape).withColumn("old_shape", traits(F.col("old_geom")).shape)
+    found = spread(found).withColumn("shape", traits(F.col("geom")).shape).withColumn("old_shape", traits(F.col("old_geom")).shape)
     differs = F.col("old_id").isNotNull() & ~F.col("shape").eqNullSafe(F.col("old_shape"))
     found = found.withColumn("far", _far(F.when(differs, F.col("geom")), F.col("old_geom")))
     kind = F.when(F.col("n").isNull(), "NEW").when(F.col("n") > 1, "AMBIGUOUS").when(~differs, "UNCHANGED").when(F.col("far") <= cfg.tolerance, "TOLERATED").otherwise("CHANGED")
@@ -138,6 +138,7 @@ def covered_by(missing: DataFrame, parts: DataFrame, cfg: UpdateConfig) -> tuple
     met = met.join(missing.select("id", F.col("area").alias("_whole"), F.col("geom").alias("_old")), "id").withColumn("share", F.col("area") / F.col("_whole")).where(F.col("share") >= cfg.part)
     met = settled(met.join(parts.select("rec", F.col("geom").alias("_part")), "rec"))
     each = met.groupBy("id").agg(F.count("*").alias("n"), F.max("share").alias("best"), F.first("_old").alias("_old"), F.collect_list("_part").alias("_parts"))
+    each = spread(each)
     each = each.withColumn("together", F.when((F.col("n") > 1) & (F.col("best") < cfg.whole), _together("_old", "_parts")).otherwise(F.col("best")))
     kind = F.when(F.col("best") >= cfg.whole, "REPLACED_ONE").when((F.col("n") >= 2) & (F.col("together") >= cfg.whole), "SUBDIVIDED").when(F.col("together") >= cfg.partial, "PARTIAL").otherwise("ORPHAN")
     out = missing.select("id").join(each.select("id", kind.alias("cover")), "id", "left").withColumn("cover", F.coalesce("cover", F.lit("ORPHAN")))
