@@ -4,8 +4,9 @@ All edges between a key's target and source rows stand in one order: rounded dis
 row, source row. Pairing takes the first edge whose rows are both free, again and again. The result is the one in which every
 pair is the best edge of both its rows among those free at the time, so it can be found from any place:
 
-* A key of up to SMALL rows goes to one task, which follows chains of best partners until two rows are each other's best.
-  That takes time with the square of the rows and memory with the rows.
+* Keys of up to SMALL rows go to tasks by buckets of about BUCKET rows. Keys of few edges are paired together: the edges of many of
+  them in one order, taken greedily. In other keys a task follows chains of best partners until two rows are each other's best.
+  That takes time with the square of a key's rows and memory with the rows.
 * A larger key is dealt to blocks of space of about BLOCK rows with a margin around them. A block takes its edges up to a reach in
   order and keeps those that nothing outside its margin can change: an edge longer than the way to the margin's end makes both
   rows doubtful, and so does an edge to a doubtful row. Blocks are shifted and the reach grows with the distance of the rows
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.overlay import ranges
-from .staging import settled
+from .staging import settled, spread
 
 SMALL = 1 << 13
 BLOCK = 4096
@@ -27,6 +28,9 @@ BLOCK = 4096
 QUANTUM = 1e-4
 #: Edges of a block that are looked at together; beyond, the block's reach is halved.
 EDGES = 1 << 21
+#: Rows of small keys that a task looks at together, and edges of a key up to which all are listed.
+BUCKET = 1 << 15
+FEW = 1 << 12
 _ROW = "key string, side int, rec long, x double, y double, attributes array<string>, line array<double>"
 
 
@@ -54,8 +58,9 @@ def sides(table: pa.Table) -> tuple[Points, Points, np.ndarray]:
     for c in range(width):
         seen: dict = {}
         codes[:, c] = [seen.setdefault(v[c] if v and c < len(v) else None, len(seen)) for v in values]
-    lines = np.full((n, 16, 2), np.nan)
-    for k, line in enumerate(table.column("line").to_pylist()):
+    lines = np.full((n, 16, 2), np.nan, np.float64)
+    drawn = table.column("line").to_pylist() if table.column("line").null_count < n else []
+    for k, line in enumerate(drawn):
         if line:
             p = np.array(line, float).reshape(-1, 2)
             lines[k] = p[np.minimum(np.arange(16), len(p) - 1)]  # short samples repeat their last point
@@ -68,10 +73,10 @@ def sides(table: pa.Table) -> tuple[Points, Points, np.ndarray]:
 def distances(a: Points, i, b: Points, j) -> np.ndarray:
     """Distance of rows: between their places; of two lines no less than the Hausdorff distance of their samples."""
     d = np.hypot(*(a.xy[i] - b.xy[j]).T)
-    both = np.flatnonzero(~np.isnan(a.lines[i][..., 0, 0]) & ~np.isnan(b.lines[j][..., 0, 0]) & np.ones(len(d), bool))
+    both = np.flatnonzero(~np.isnan(a.lines[:, 0, 0])[i] & ~np.isnan(b.lines[:, 0, 0])[j] & np.ones(len(d), bool))
     for at in range(0, len(both), 4096):
         k = both[at : at + 4096]
-        p, q = (np.broadcast_to(v, (len(d), 16, 2))[k] for v in (a.lines[i], b.lines[j]))
+        p, q = (v.lines[np.broadcast_to(x, len(d))[k]] for v, x in ((a, i), (b, j)))
         apart = np.hypot(*np.moveaxis(p[:, :, None] - q[:, None], -1, 0))
         d[k] = np.maximum(d[k], np.maximum(apart.min(2).max(1), apart.min(1).max(1)))
     return d
@@ -185,9 +190,52 @@ def _pairs(key: str, rows) -> pa.Table:
     return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.float64()))], ["key", "db_rec", "file_rec", "distance"])
 
 
-def _whole_key(table: pa.Table) -> pa.Table:
-    t, s, _ = sides(table)
-    return _pairs(table.column("key")[0].as_py(), chained(t, s))
+def listed(t: Points, s: Points, of_t: np.ndarray, of_s: np.ndarray, keys: np.ndarray) -> list[tuple[int, int, float]]:
+    """All greedy pairs (target, source, distance) of several keys, from the list of all their edges. ``of_t`` and ``of_s`` say the
+    rows' keys, numbers in order."""
+    first, last = np.searchsorted(of_s, of_t, "left"), np.searchsorted(of_s, of_t, "right")
+    out, at = [], 0
+    free_t, free_s = bytearray(b"\1" * len(t)), bytearray(b"\1" * len(s))
+    upto = np.concatenate([[0], np.cumsum(last - first)])
+    ends = np.searchsorted(of_t, keys, "right")  # blocks end where a key does
+    while at < len(t):
+        fit = ends[(upto[ends] <= upto[at] + EDGES) & (ends > at)]
+        end = int(fit[-1] if len(fit) else ends[ends > at][0])
+        n = (last - first)[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:end], n)
+        d = distances(t, i, s, j)
+        order = np.lexsort((s.rec[j], t.rec[i], (t.codes[i] != s.codes[j]).sum(1), quantised(d)))
+        for a, b, length in zip(i[order].tolist(), j[order].tolist(), d[order].tolist()):
+            if free_t[a] and free_s[b]:
+                free_t[a] = free_s[b] = 0
+                out.append((a, b, length))
+        at = end
+    return out
+
+
+def _whole_keys(table: pa.Table) -> pa.Table:
+    """The pairs of all keys of a bucket."""
+    coded = table.column("key").combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    names, key = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    t, s, order = sides(table)
+    key = key[order]
+    of_t, of_s = key[: len(t)], key[len(t) :]
+    by_t, by_s = np.argsort(of_t, kind="stable"), np.argsort(of_s, kind="stable")
+    t, s, of_t, of_s = t.take(by_t), s.take(by_s), of_t[by_t], of_s[by_s]
+    n_t, n_s = np.bincount(of_t, minlength=len(names)), np.bincount(of_s, minlength=len(names))
+    few = n_t * n_s <= FEW
+    small_t, small_s = few[of_t], few[of_s]
+    p, q = t.take(small_t), s.take(small_s)
+    pairs = listed(p, q, of_t[small_t], of_s[small_s], np.flatnonzero(few & (n_t > 0)))
+    said, a, b, d = ([names[k] for k in of_t[small_t][[x[0] for x in pairs]]] if pairs else []), [int(p.rec[x[0]]) for x in pairs], [int(q.rec[x[1]]) for x in pairs], [x[2] for x in pairs]
+    for k in np.flatnonzero(~few):
+        more = chained(t.take(of_t == k), s.take(of_s == k))
+        said, a, b, d = said + [names[k]] * len(more), a + [x[0] for x in more], b + [x[1] for x in more], d + [x[2] for x in more]
+    columns = zip((said, a, b, d), (pa.string(), pa.int64(), pa.int64(), pa.float64()))
+    return pa.table([pa.array(c, kind) for c, kind in columns], ["key", "db_rec", "file_rec", "distance"])
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -214,14 +262,16 @@ def by_distance(rows: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
         sized = stats.withColumn("wide", wide).withColumn("reach", reach).withColumn("size", side).withColumn("alone", (F.col("n") <= small) | (side >= wide))
         sized = settled(sized)
         keyed = left.join(sized, "key")
-        own = settled(keyed.where("alone").select(*left.columns).groupBy("key").applyInArrow(lambda g: _whole_key(g), _FOUND))
+        buckets = F.ceil(F.lit(sized.where("alone").agg(F.sum("n")).first()[0] or 0) / F.lit(BUCKET))
+        own = keyed.where("alone").select(*left.columns, F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), buckets)).alias("bucket"))
+        own = settled(spread(own, "bucket").groupBy("bucket").applyInArrow(lambda g: _whole_keys(g), _FOUND))
         found = own if found is None else found.unionByName(own)
         big = sized.where("not alone").agg(F.sum("n")).first()[0]
         if not big:
             return found
-        spread = lambda c: F.sequence(*[F.floor((F.col(c) - F.col(f"least{c}") + sign * 2 * F.col("reach")) / F.col("size") + shift).cast("int") for sign in (-1, 1)])  # noqa: E731, B023
+        reached = lambda c: F.sequence(*[F.floor((F.col(c) - F.col(f"least{c}") + sign * 2 * F.col("reach")) / F.col("size") + shift).cast("int") for sign in (-1, 1)])  # noqa: E731, B023
         at = lambda c: F.floor((F.col(c) - F.col(f"least{c}")) / F.col("size") + shift).cast("int")  # noqa: E731, B023
-        dealt = keyed.where("not alone").withColumn("bx", F.explode(spread("x"))).withColumn("by", F.explode(spread("y"))).withColumn("home", (F.col("bx") == at("x")) & (F.col("by") == at("y")))
+        dealt = keyed.where("not alone").withColumn("bx", F.explode(reached("x"))).withColumn("by", F.explode(reached("y"))).withColumn("home", (F.col("bx") == at("x")) & (F.col("by") == at("y")))
         inf = F.lit(float("inf"))
         for c in "xy":  # what a block knows: its own space and a margin of twice the reach; nothing lies beyond a key's extent
             begin = F.col(f"least{c}") + (F.col(f"b{c}") - shift) * F.col("size") - 2 * F.col("reach")
