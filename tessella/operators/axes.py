@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import lines as L
 from ..functions.geometry import bounds, parse_any
 from . import spatial
-from .staging import settled
+from .staging import settled, spread
 
 
 @dataclass(frozen=True)
@@ -49,6 +49,10 @@ def _covered(a: pd.Series, others: pd.Series, reach: pd.Series) -> pd.Series:
     return pd.Series([L.covered(parse_any(x), [parse_any(y) for y in o], r) for x, o, r in zip(a, others, reach)], dtype=float)
 
 
+#: Filters on their results stay behind them, so no line is looked at twice.
+_traits, _hausdorff, _covered = _traits.asNondeterministic(), _hausdorff.asNondeterministic(), _covered.asNondeterministic()
+
+
 def covered(a: Column, others: Column, reach: float) -> Column:
     """Length of a line within reach of any line of an array."""
     return _covered(a, others, F.lit(reach))
@@ -59,7 +63,7 @@ def prepared(df: DataFrame) -> DataFrame:
     geometry or a whole-number reference."""
     trimmed = df.withColumn("ref", F.nullif(F.trim("ref"), F.lit(""))).where(F.col("ref").rlike(r"^[0-9]+\z") & F.col("geom").isNotNull())
     first = trimmed.groupBy("ref").agg(F.min(F.struct(*[c for c in df.columns if c != "ref"])).alias("r")).select("ref", "r.*")
-    return first.withColumn("_t", _traits("geom")).select("ref", *[c for c in df.columns if c != "ref"], "_t.*").where("len is not null")
+    return spread(first).withColumn("_t", _traits("geom")).select("ref", *[c for c in df.columns if c != "ref"], "_t.*").where("len is not null")
 
 
 def classified(staged: DataFrame, current: DataFrame, attributes: list[str], cfg: AxesConfig) -> DataFrame:
@@ -80,13 +84,13 @@ def candidates(removed: DataFrame, new: DataFrame, cfg: AxesConfig) -> DataFrame
     wide = lambda df: df.select("ref", "street", "geom", "len", *[(F.col(c) + (-1 if c.startswith("min") else 1) * cfg.cover / 2).alias(c) for c in spatial.BOX])
     pairs = spatial.box_join(wide(removed), wide(new), cfg.cell, on=("street",))
     pairs = pairs.select(F.col("a_ref").alias("old_ref"), F.col("b_ref").alias("new_ref"), F.col("a_street").alias("street"), F.col("a_geom").alias("old_geom"), F.col("b_geom").alias("new_geom"), F.col("a_len").alias("old_len"), F.col("b_len").alias("new_len"))
-    pairs = pairs.withColumn("covered", covered(F.col("old_geom"), F.array("new_geom"), cfg.cover)).withColumn("back", covered(F.col("new_geom"), F.array("old_geom"), cfg.cover))
+    pairs = spread(pairs).withColumn("covered", covered(F.col("old_geom"), F.array("new_geom"), cfg.cover)).withColumn("back", covered(F.col("new_geom"), F.array("old_geom"), cfg.cover))
     return pairs.where("old_len > 0 and (covered > 0 or back > 0)")
 
 
 def renumbered(pairs: DataFrame, cfg: AxesConfig) -> DataFrame:
     """Pairs of one shape in which each side has that one candidate only."""
-    near = settled(pairs.withColumn("hausdorff", _hausdorff("old_geom", "new_geom")).where(F.col("hausdorff") < cfg.renumbered))
+    near = settled(spread(pairs).withColumn("hausdorff", _hausdorff("old_geom", "new_geom")).where(F.col("hausdorff") < cfg.renumbered))
     single = lambda c: near.groupBy(c).agg(F.count("*").alias("n")).where("n = 1").select(c)
     return near.join(single("old_ref"), "old_ref").join(single("new_ref"), "new_ref").select("old_ref", "new_ref", "street", "old_len", "new_len", "hausdorff")
 
@@ -103,7 +107,7 @@ def analysed(staged: DataFrame, current: DataFrame, attributes: list[str], cfg:
     enough = lambda part, whole: part >= cfg.share * whole
     # A section's partners are those that touch its metre: what they cover together is united, not added.
     cover = rest.groupBy("old_ref", "street").agg(F.first("old_geom").alias("geom"), F.first("old_len").alias("len"), F.array_sort(F.collect_list(F.struct("new_ref", "new_geom"))).alias("parts"))
-    cover = cover.where("size(parts) >= 2").withColumn("covered", covered(F.col("geom"), F.transform("parts", lambda p: p.new_geom), cfg.cover))
+    cover = spread(cover.where("size(parts) >= 2")).withColumn("covered", covered(F.col("geom"), F.transform("parts", lambda p: p.new_geom), cfg.cover))
     splits = settled(cover.where(enough(F.col("covered"), F.col("len"))).select("old_ref", "street", F.transform("parts", lambda p: p.new_ref).alias("new_refs"), (F.col("covered") / F.col("len")).alias("coverage")))
     left = rest.join(splits.select("old_ref"), "old_ref", "left_anti").where("covered > 0")
     joined = left.groupBy("new_ref", "street").agg(F.sort_array(F.collect_list("old_ref")).alias("old_refs"), F.sum("covered").alias("covered"), F.sum("old_len").alias("len"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import values as V
 from ..functions.geometry import same_geometry, traits
 from .pairing import nearest_pairs
-from .staging import settled
+from .staging import settled, spread
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,7 @@ def staged(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFr
 
     both = side(target, cfg.keys, lambda c: c, True).where("key is not null").unionByName(side(source, cfg.source_keys or cfg.keys, cfg.source, False))
     if cfg.geometry:
-        both = both.withColumn("_g", traits(F.col("geom"))).select(*both.columns, "_g.*")
+        both = spread(both).withColumn("_g", traits(F.col("geom"))).select(*both.columns, "_g.*")
     else:
         both = both.select("*", F.lit(None).cast("string").alias("shape"), F.lit(False).alias("flat"))
     both = both.withColumn("attr", F.to_json(F.array("key", *[f"c{i}" for i in range(len(cfg.compared))])))

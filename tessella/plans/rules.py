@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geometry
 from ..operators import spatial, texts
+from ..operators.staging import spread
 from ..registry import query, table
 from . import carto, reconciling
 
@@ -91,7 +92,7 @@ def g02_wkt_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select c_custkey % 9 = 0 as same, count(*) as n_rows from customer where c_custkey % 50 not in (7, 8) and c_custkey % 3 <> 0 group by 1")
 def g10_same_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings that start elsewhere and run the other way are the same; others aren't."""
-    rows = shapes(spark, sf_dir).where("c_custkey % 50 not in (7, 8) and wkt is not null")
+    rows = spread(shapes(spark, sf_dir).where("c_custkey % 50 not in (7, 8) and wkt is not null"))
     other = F.lit("MULTIPOLYGON(((0 2,1 0,0 0,0 2)))")
     return rows.groupBy(geometry.same_geometry(F.col("wkt"), other).alias("same")).agg(F.count("*").alias("n_rows"))
 
