@@ -10,15 +10,17 @@ A text that is no geometry counts as an invalid one without a region; points and
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import overlay as O
-from ..functions.geometry import UnsupportedGeometry, area, bounds, parse_any
+from ..functions.geometry import measures, parse_any
 from ..sources.shape_ranges import record_bytes
 from . import spatial
 from .grouping import group_key
@@ -28,31 +30,55 @@ from .staging import settled, spread
 FAN = 64
 #: Pieces that leave a task together.
 PIECES = 4096
+#: Characters of the geometry texts that are worked on together.
+TEXTS = 1 << 19
 SHAPE = T.StructType([T.StructField("geom", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in (*spatial.BOX, "area")] + [T.StructField(c, T.IntegerType()) for c in ("n_vertices", "n_parts")])
 _SHAPE_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in SHAPE)
 
 
-def described(geom: dict | None, text: str | None = None) -> tuple:
-    """The row of a geometry, in SHAPE; all null without one."""
-    if geom is None:
-        return (None,) * 8
-    return (text or O.to_wkt(geom), *bounds(geom), area(geom), O.vertices(geom), len(geom["parts"]))
+def described(geoms: list[dict | None], texts: list[str | None]) -> list[tuple]:
+    """The rows of geometries, in SHAPE; all null without one. A text that is given isn't written again."""
+    rows = iter(measures([g for g in geoms if g is not None]))
+    return [(None,) * 8 if g is None else (text or O.to_wkt(g), *next(rows), O.vertices(g), len(g["parts"])) for g, text in zip(geoms, texts)]
+
+
+def runs(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about TEXTS characters together."""
+    start, held = 0, 0
+    for k, n in enumerate(sizes):
+        if held and held + n > TEXTS:
+            yield start, k
+            start, held = k, 0
+        held += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def by_runs(work, *columns: pd.Series) -> list:
+    """The results of ``work``, a function of equally long lists, over rows of a bounded number of characters at a time."""
+    size = lambda x: len(x) if isinstance(x, str) else 0 if x is None or np.isscalar(x) else sum(map(len, x))
+    lists = [list(c) for c in columns]
+    out: list = []
+    for start, end in runs([sum(map(size, row)) for row in zip(*lists)]):
+        out += work(*[x[start:end] for x in lists])
+    return out
+
+
+def _examine(texts: list, repair: list) -> list[tuple]:
+    geoms = [parse_any(text) for text in texts]
+    reasons: list = [None if text is None else "unreadable" for text in texts]
+    known = [k for k, g in enumerate(geoms) if g is not None]
+    for k, reason in zip(known, O.invalid_reasons([geoms[k] for k in known])):
+        reasons[k] = reason
+    bad = [k for k in known if reasons[k] is not None and repair[k] and reasons[k] != "a coordinate isn't finite"]
+    mended = dict(zip(bad, O.make_valid_all([geoms[k] for k in bad])))
+    shapes = described([mended.get(k, g) for k, g in enumerate(geoms)], [None if k in mended else text for k, text in enumerate(texts)])
+    return [(reason is not None, reason, *shape) for reason, shape in zip(reasons, shapes)]
 
 
 @pandas_udf(T.StructType([T.StructField("invalid", T.BooleanType()), T.StructField("reason", T.StringType()), *SHAPE]))
 def _examined(texts: pd.Series, repair: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, mend in zip(texts, repair):
-        geom = parse_any(text)
-        if text is None:
-            rows.append((False, None, *described(None)))
-        elif geom is None:
-            rows.append((True, "unreadable", *described(None)))
-        else:
-            reason = O.invalid_reason(geom)
-            polygons = geom if reason is None or not mend or reason == "a coordinate isn't finite" else O.make_valid(geom)
-            rows.append((reason is not None, reason, *described(polygons, text if polygons is geom else None)))
-    return pd.DataFrame(rows, columns=["invalid", "reason", *SHAPE.names])
+    return pd.DataFrame(by_runs(_examine, texts, repair), columns=["invalid", "reason", *SHAPE.names])
 
 
 #: Filters on its results stay behind it: pushed before it, each would examine all geometries once more.
@@ -65,18 +91,18 @@ def examined(df: DataFrame, geom: str, repair: bool = True) -> DataFrame:
     return spread(df).withColumn("_x", _examined(F.col(geom), F.lit(repair))).select(*[c for c in df.columns if c != geom], "_x.*")
 
 
-def combined(geoms: list[dict], how: str) -> tuple[dict | None, bool]:
-    """One geometry of many, and whether their plain collection is invalid. ``how``: union, or parity: what an odd number of
+def combined(groups: list[list[dict]], how: str) -> list[tuple[dict | None, bool]]:
+    """One geometry of each group, and whether their plain collection is invalid. ``how``: union, or parity: what an odd number of
     them holds, the even-odd repair of the collection."""
-    geoms = [g for g in geoms if "Polygon" in g["type"]]
-    if not geoms:
-        return None, False
-    whole = {"type": "MultiPolygon", "parts": [p for g in geoms for p in g["parts"]]}
+    groups = [[g for g in geoms if "Polygon" in g["type"]] for geoms in groups]
     if how == "union":
-        return O.union(geoms), False
-    if O.invalid_reason(whole) is None:
-        return whole, False
-    return O.make_valid(whole), True
+        return [(g, False) for g in O.unions(groups)]
+    wholes = [{"type": "MultiPolygon", "parts": [p for g in geoms for p in g["parts"]]} for geoms in groups]
+    found: list = [(whole if geoms else None, False) for whole, geoms in zip(wholes, groups)]
+    bad = [k for k, reason in enumerate(O.invalid_reasons(wholes)) if reason is not None and groups[k]]
+    for k, g in zip(bad, O.make_valid_all([wholes[k] for k in bad])):
+        found[k] = (g, True)
+    return found
 
 
 def merged(df: DataFrame, key: str, rec: str, how: str, fan: int = FAN) -> DataFrame:
@@ -87,11 +113,35 @@ def merged(df: DataFrame, key: str, rec: str, how: str, fan: int = FAN) -> DataF
     names = ["k", "rec", *shape, "collided"]
     rows = df.select(F.col(key).alias("k"), F.col(rec).cast("long").alias("rec"), *shape, F.lit(False).alias("collided"))
 
-    def combine(group: pa.Table) -> pa.Table:
-        geoms = [parse_any(x) for x in group.column("geom").to_pylist() if x is not None]
-        found, odd = combined(geoms, how)
-        values = (group.column("k")[0].as_py(), min(group.column("rec").to_pylist()), *described(found), odd or any(group.column("collided").to_pylist()))
-        return pa.Table.from_pylist([dict(zip(names, values))], pa.schema([group.schema.field(n) if n in ("k", "rec", "geom", "collided") else pa.field(n, pa.int32() if n.startswith("n_") else pa.float64()) for n in names]))
+    def combine(batches):
+        """Rows come group by group, the first of each marked as ``head``; groups of many texts are worked on together."""
+        held: list[list] = []  # key, least rec, texts, collided
+
+        def together(schema: pa.Schema) -> pa.RecordBatch:
+            found = combined([[parse_any(x) for x in texts] for _, _, texts, _ in held], how)
+            shapes = described([g for g, _ in found], [None] * len(held))
+            values = [(k, rec, *shape, odd or was) for (k, rec, _, was), (_, odd), shape in zip(held, found, shapes)]
+            fields = [schema.field(n) if n in ("k", "geom", "collided") else pa.field(n, pa.int64() if n == "rec" else pa.int32() if n.startswith("n_") else pa.float64()) for n in names]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*values), fields)], schema=pa.schema(fields))
+
+        size, schema = 0, None
+        for batch in batches:
+            schema = batch.schema
+            columns = [batch.column(c).to_pylist() for c in ("rec", "geom", "collided", "head")]
+            keys = iter(batch.column("k").filter(batch.column("head")).to_pylist())
+            for rec, text, was, head in zip(*columns):
+                if head:
+                    if size > TEXTS:
+                        yield together(schema)
+                        held, size = [], 0
+                    held.append([next(keys), rec, [], False])
+                last = held[-1]
+                last[1], last[3] = min(last[1], rec), last[3] or was
+                if text is not None:
+                    last[2].append(text)
+                    size += len(text)
+        if held:
+            yield together(schema)
 
     while True:
         middle = [((F.col(f"min{c}") + F.col(f"max{c}")) / 2).alias(f"c{c}") for c in "xy"]
@@ -104,7 +154,9 @@ def merged(df: DataFrame, key: str, rec: str, how: str, fan: int = FAN) -> DataF
         many = dealt.where("n > 1")
         sizes = many.groupBy("k", "gx", "gy").agg(F.count("*").alias("m"))
         chunked = many.join(sizes, ["k", "gx", "gy"]).withColumn("chunk", F.pmod(F.xxhash64("rec"), F.ceil(F.col("m") / fan)))
-        one = spread(chunked.select(*names, "gx", "gy", "chunk"), "k", "gx", "gy", "chunk").groupBy("k", "gx", "gy", "chunk").applyInArrow(lambda t: combine(t), f"{schema}, rec long, {_SHAPE_DDL}, collided boolean")
+        group = ["k", "gx", "gy", "chunk"]
+        told = spread(chunked.select("rec", "geom", "collided", *group), *group).withColumn("head", F.row_number().over(Window.partitionBy(*group).orderBy("rec")) == 1)
+        one = told.select("k", "rec", "geom", "collided", "head").mapInArrow(combine, f"{schema}, rec long, {_SHAPE_DDL}, collided boolean")
         most = stats.agg(F.max("n")).first()[0] or 0
         if most <= 1:
             break
@@ -169,9 +221,15 @@ def process(staged: DataFrame, geom: str, cfg: LayerConfig, rec: str = "rec") ->
     return layer, report.groupBy("measure").agg(F.sum("value").alias("value"))
 
 
+def parsed(*columns: list) -> list[list[dict | None]]:
+    """Geometries of texts, each text read once."""
+    known = {text: parse_any(text) for c in columns for text in c if text is not None}
+    return [[known.get(text) for text in c] for c in columns]
+
+
 @pandas_udf(T.DoubleType())
 def _shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([O.polygon_area(O.intersection(parse_any(x), parse_any(y))) for x, y in zip(a, b)], dtype=float)
+    return pd.Series(by_runs(lambda x, y: O.shared_areas(list(zip(*parsed(x, y)))), a, b), dtype=float)
 
 
 _shared = _shared.asNondeterministic()
@@ -261,13 +319,13 @@ def subdivided(df: DataFrame, ids: list[str], most: int = 256) -> DataFrame:
     def cut(frames):
         for frame in frames:
             rows = []
-            for values in frame.itertuples(index=False):
-                *own, text = values
-                for k, g in enumerate(O.subdivided(parse_any(text), most) if text else []):
-                    rows.append((*own, k, O.to_wkt(g), area(g), O.vertices(g)))
-                if len(rows) >= PIECES:
-                    yield pd.DataFrame(rows, columns=names)
-                    rows = []
+            for start, end in runs([len(x or "") for x in frame["geom"]]):
+                for values in zip(frame[start:end].itertuples(index=False), O.subdivided_all([parse_any(x) if x else {"type": "", "parts": []} for x in frame["geom"][start:end]], most)):
+                    (*own, _), found = values
+                    rows += [(*own, k, O.to_wkt(g), m[-1], O.vertices(g)) for k, (g, m) in enumerate(zip(found, measures(found)))]
+                    if len(rows) >= PIECES:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
             yield pd.DataFrame(rows, columns=names)
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in ids)

@@ -45,29 +45,35 @@ def _far(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else lines.hausdorff(parse_any(x), parse_any(y)) for x, y in zip(a, b)], dtype=float)
 
 
+def _shares(a: list, b: list) -> list[float | None]:
+    out: list[float | None] = [None] * len(a)
+    some = [k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
+    pairs = list(zip(*layers.parsed([a[k] for k in some], [b[k] for k in some])))
+    for k, odd, both in zip(some, O.odd_areas(pairs), O.union_areas(pairs)):
+        out[k] = odd / both if both else None
+    return out
+
+
 @pandas_udf(T.DoubleType())
 def _moved_share(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area in one of two polygons only, as a share of what they cover together."""
-    out = []
-    for x, y in zip(a, b):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        p, q = parse_any(x), parse_any(y)
-        both = O.polygon_area(O.union([p, q]))
-        out.append(O.polygon_area(O.symmetric_difference(p, q)) / both if both else None)
-    return pd.Series(out, dtype=float)
+    return pd.Series(layers.by_runs(_shares, a, b), dtype=float)
+
+
+#: What the covered polygon weighs beside its parts.
+_OLD = 1 << 30
+
+
+def _covers(old: list, parts: list) -> list[float]:
+    geoms = layers.parsed(old)[0]
+    shared = O.areas([[(p, _OLD), *[(parse_any(y), 1) for y in several]] for p, several in zip(geoms, parts)], lambda n: n > _OLD)
+    return [v / O.polygon_area(p) for v, p in zip(shared, geoms)]
 
 
 @pandas_udf(T.DoubleType())
 def _together(old: pd.Series, parts: pd.Series) -> pd.Series:
     """Share of a polygon that several cover together."""
-    out = []
-    for x, several in zip(old, parts):
-        p = parse_any(x)
-        cover = O.union([parse_any(y) for y in several])
-        out.append(O.polygon_area(O.intersection(p, cover)) / O.polygon_area(p) if cover else 0.0)
-    return pd.Series(out, dtype=float)
+    return pd.Series(layers.by_runs(_covers, old, parts), dtype=float)
 
 
 def same_key(a: str, b: str):
