@@ -214,7 +214,8 @@ def process(staged: DataFrame, geom: str, cfg: LayerConfig, rec: str = "rec") ->
         facts += [merged_rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("long").alias("value")) for c in ("groups", "rows_merged")])).alias("x")).select("x.*"), count(base, "null_key_rows", null)]
     if cfg.overlaps:
         found = count(overlaps(layer.where("geom is not null" + ("" if cfg.repair else " and not invalid")), rec, cfg.least_area, cfg.cell), "overlaps", true)
-        facts += [found, found.select(F.lit("would_block").alias("measure"), ((F.col("value") > 0) & F.lit(cfg.block)).cast("long").alias("value"))]
+        blocked = F.struct(F.lit("would_block").alias("measure"), ((F.col("value") > 0) & F.lit(cfg.block)).cast("long").alias("value"))
+        facts.append(found.select(F.inline(F.array(F.struct("measure", "value"), blocked))))
     report = facts[0]
     for f in facts[1:]:
         report = report.unionByName(f)
