@@ -43,6 +43,8 @@ def box_join(a: DataFrame, b: DataFrame, size: float, on: tuple[str, ...] = ())
     of_b = of_a if a is b else levels(b, size)
     side = lambda df, p, others: cells(df, size, others).select(*[F.col(c).alias(f"{p}_{c}") for c in (*df.columns, "own")], *[F.col(c).alias(f"_{c}") for c in on], "at", "cx", "cy")
     left, right = side(a, "a", of_b), side(b, "b", of_a)
+    if a is b:
+        right = right.hint("merge")  # as large as the other side: a small file says little of what its cells take in each task
     x, y = F.greatest("a_minx", "b_minx"), F.greatest("a_miny", "b_miny")
     u, v = F.least("a_maxx", "b_maxx"), F.least("a_maxy", "b_maxy")
     cell = F.lit(size) * F.pow(F.lit(2.0), F.col("at"))
