@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions import lines as L
-from ..functions.geometry import bounds, parse_any
-from . import spatial
+from ..functions.geometry import measures, parse_any
+from . import layers, spatial
 from .staging import settled, spread
 
 
@@ -35,24 +35,39 @@ _TRAITS = T.StructType([T.StructField("len", T.DoubleType()), T.StructField("sai
 
 @pandas_udf(_TRAITS)
 def _traits(texts: pd.Series) -> pd.DataFrame:
-    found = [None if (g := parse_any(x)) is None else (L.length(g), L.comparable(g), *bounds(g)) for x in texts]
-    return pd.DataFrame([f or (None,) * 6 for f in found], columns=_TRAITS.names)
+    geoms = [parse_any(x) for x in texts]
+    boxes = iter(measures([g for g in geoms if g is not None]))
+    return pd.DataFrame([(None,) * 6 if g is None else (L.length(g), L.comparable(g), *next(boxes)[:4]) for g in geoms], columns=_TRAITS.names)
+
+
+def _hausdorffs(a: list, b: list) -> list[float | None]:
+    out: list[float | None] = [None] * len(a)
+    some = [k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
+    for k, far in zip(some, L.hausdorffs([parse_any(a[k]) for k in some], [parse_any(b[k]) for k in some])):
+        out[k] = far
+    return out
 
 
 @pandas_udf(T.DoubleType())
 def _hausdorff(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else L.hausdorff(parse_any(x), parse_any(y)) for x, y in zip(a, b)], dtype=float)
+    return pd.Series(layers.by_runs(_hausdorffs, a, b), dtype=float)
 
 
 @pandas_udf(T.DoubleType())
 def _covered(a: pd.Series, others: pd.Series, reach: pd.Series) -> pd.Series:
-    return pd.Series([L.covered(parse_any(x), [parse_any(y) for y in o], r) for x, o, r in zip(a, others, reach)], dtype=float)
+    within = float(reach.iloc[0]) if len(reach) else 0.0
+    return pd.Series(layers.by_runs(lambda x, o: L.covers([parse_any(t) for t in x], [[parse_any(t) for t in several] for several in o], within), a, others), dtype=float)
 
 
 #: Filters on their results stay behind them, so no line is looked at twice.
 _traits, _hausdorff, _covered = _traits.asNondeterministic(), _hausdorff.asNondeterministic(), _covered.asNondeterministic()
 
 
+def apart(a: Column, b: Column) -> Column:
+    """The greatest distance of a vertex of either geometry to the other one; null where one is missing."""
+    return _hausdorff(a, b)
+
+
 def covered(a: Column, others: Column, reach: float) -> Column:
     """Length of a line within reach of any line of an array."""
     return _covered(a, others, F.lit(reach))

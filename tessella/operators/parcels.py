@@ -20,6 +20,7 @@ from pyspark.sql.functions import pandas_udf
 from ..functions import lines, overlay as O
 from ..functions.geometry import parse_any, traits
 from . import grouping, layers, spatial
+from .axes import apart
 from .staging import settled, spread
 
 KEY = ("type", "province", "locality", "number")
@@ -40,11 +41,6 @@ class UpdateConfig:
     cell: float = 64.0
 
 
-@pandas_udf(T.DoubleType())
-def _far(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else lines.hausdorff(parse_any(x), parse_any(y)) for x, y in zip(a, b)], dtype=float)
-
-
 def _shares(a: list, b: list) -> list[float | None]:
     out: list[float | None] = [None] * len(a)
     some = [k for k, (x, y) in enumerate(zip(a, b)) if x is not None and y is not None]
@@ -102,9 +98,11 @@ def matched(target: DataFrame, candidates: DataFrame, cfg: UpdateConfig, accepts
     found = candidates.alias("c").join(counts.alias("t"), same_key("c", "t"), "left").select("c.*", "t.n", "t.id")
     old = target.select(F.col("id").alias("old_id"), F.col("geom").alias("old_geom"))
     found = found.join(old, (F.col("id") == F.col("old_id")) & (F.col("n") == 1), "left")
-    found = spread(found).withColumn("shape", traits(F.col("geom")).shape).withColumn("old_shape", traits(F.col("old_geom")).shape)
-    differs = F.col("old_id").isNotNull() & ~F.col("shape").eqNullSafe(F.col("old_shape"))
-    found = found.withColumn("far", _far(F.when(differs, F.col("geom")), F.col("old_geom")))
+    # Only texts that differ are looked at: equal ones have one shape, and a new row has nothing to be compared with.
+    unlike = F.col("old_id").isNotNull() & ~F.col("geom").eqNullSafe(F.col("old_geom"))
+    found = spread(found).withColumn("shape", traits(F.when(unlike, F.col("geom"))).shape).withColumn("old_shape", traits(F.when(unlike, F.col("old_geom"))).shape)
+    differs = unlike & ~F.col("shape").eqNullSafe(F.col("old_shape"))
+    found = found.withColumn("far", apart(F.when(differs, F.col("geom")), F.col("old_geom")))
     kind = F.when(F.col("n").isNull(), "NEW").when(F.col("n") > 1, "AMBIGUOUS").when(~differs, "UNCHANGED").when(F.col("far") <= cfg.tolerance, "TOLERATED").otherwise("CHANGED")
     found = settled(found.withColumn("class", kind))
     share = _moved_share(F.when(F.col("class") == "CHANGED", F.col("geom")), F.col("old_geom"))
@@ -172,9 +170,9 @@ def reassigned(references: DataFrame, parts: DataFrame) -> DataFrame:
     return best.select("ref_id", "parcel_id", F.col("m.rec").alias("rec"))
 
 
-def plan(target: DataFrame, staged: DataFrame, references: DataFrame, cfg: UpdateConfig = UpdateConfig(), accepts: DataFrame | None = None, choices: DataFrame | None = None) -> dict[str, DataFrame]:
-    """``staged`` (rec, outcome), ``stored`` (id, outcome, cover), ``moves`` (ref_id, parcel_id, rec) and ``digest``, a mergeable
-    fingerprint of all writes, by which a run can tell that the plan it was given is still the one the data make."""
+def matching(target: DataFrame, staged: DataFrame, cfg: UpdateConfig = UpdateConfig(), accepts: DataFrame | None = None, choices: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What both sides have to do with each other: ``seen`` staged rows, ``found``, the accepted ones with their class, ``new`` ones,
+    ``unmatched`` stored rows, and ``pairs`` of those."""
     seen = settled(accepted(staged))
     target = target.withColumn("number", F.nullif(F.trim(F.col("number").cast("string")), F.lit("")))
     found = settled(matched(target, seen.where("skipped is null").drop("skipped"), cfg, accepts))
@@ -182,10 +180,22 @@ def plan(target: DataFrame, staged: DataFrame, references: DataFrame, cfg: Updat
     unmatched = settled(layers.examined(unmatched, "geom").drop("invalid", "reason"))
     pairable = unmatched.alias("t").join(seen.where("skipped is null or skipped <> 'NULL_KEY'").alias("s"), same_key("t", "s"), "left_anti").where("geom is not null")
     new = settled(found.where("class = 'NEW'").select("rec", *KEY, "geom", "area", *spatial.BOX))
-    pairs = settled(paired(new, pairable, cfg, choices))
-    applied, open_ = pairs.where("status = 'APPLIED'"), pairs.where("status <> 'APPLIED'").select("id").distinct()
-    missing = settled(unmatched.join(applied.select("id"), "id", "left_anti"))
-    cover, parts = covered_by(missing.where("geom is not null"), new.join(applied.select("rec"), "rec", "left_anti"), cfg)
+    return {"seen": seen, "found": found, "new": new, "unmatched": unmatched, "pairs": settled(paired(new, pairable, cfg, choices))}
+
+
+def staged_outcomes(match: dict[str, DataFrame]) -> DataFrame:
+    """(rec, outcome): what each staged row comes to. What becomes of stored rows has no part in it."""
+    by_rec = match["pairs"].groupBy("rec").agg(F.max_by("status", F.when(F.col("status") == "APPLIED", 2).when(F.col("status") == "AMBIGUOUS", 1).otherwise(0)).alias("pair"))
+    out = match["seen"].select("rec", "skipped").join(match["found"].select("rec", "class", "applied"), "rec", "left").join(by_rec, "rec", "left")
+    return out.select("rec", F.when(F.col("skipped").isNotNull(), F.concat(F.lit("SKIPPED_"), "skipped")).when(F.col("class") == "CHANGED", F.when(F.col("applied"), "CHANGED_APPLIED").otherwise("CHANGED_PENDING"))
+                      .when(F.col("class") != "NEW", F.col("class")).when(F.col("pair") == "APPLIED", "PAIRED").when(F.col("pair").isNotNull(), F.concat(F.lit("INSERTED_PAIR_"), "pair")).otherwise("INSERTED").alias("outcome"))
+
+
+def verdicts(match: dict[str, DataFrame], references: DataFrame, cfg: UpdateConfig = UpdateConfig()) -> tuple[DataFrame, DataFrame]:
+    """(id, outcome, cover) of the stored rows that are missing from the staged ones, and (id, rec, share, geom) of what covers them."""
+    applied, open_ = match["pairs"].where("status = 'APPLIED'"), match["pairs"].where("status <> 'APPLIED'").select("id").distinct()
+    missing = settled(match["unmatched"].join(applied.select("id"), "id", "left_anti"))
+    cover, parts = covered_by(missing.where("geom is not null"), match["new"].join(applied.select("rec"), "rec", "left_anti"), cfg)
     held = references.groupBy(F.col("parcel_id").alias("id")).agg(F.count("*").alias("n_refs"), F.count_if(~F.col("movable")).alias("n_fixed"))
     verdict = missing.select("id").join(cover, "id", "left").join(open_.withColumn("_open", F.lit(True)), "id", "left").join(held, "id", "left")
     used, divided = F.coalesce(F.col("n_refs"), F.lit(0)) > 0, F.coalesce(F.col("cover") == "SUBDIVIDED", F.lit(False))
@@ -193,18 +203,29 @@ def plan(target: DataFrame, staged: DataFrame, references: DataFrame, cfg: Updat
         F.when(F.col("_open"), "KEPT_STILL_PAIRABLE").when(used & divided & (F.col("n_fixed") == 0), "DELETED_AFTER_MOVES").when(used & divided, "KEPT_NOT_REASSIGNABLE")
         .when(used, "KEPT_REFERENCED").otherwise("DELETED")
     )
-    verdict = settled(verdict.select("id", outcome.alias("outcome"), F.coalesce("cover", F.lit("ORPHAN")).alias("cover")))
+    return settled(verdict.select("id", outcome.alias("outcome"), F.coalesce("cover", F.lit("ORPHAN")).alias("cover"))), parts
+
+
+def moves_of(verdict: DataFrame, parts: DataFrame, references: DataFrame) -> DataFrame:
+    """``reassigned`` references of the parcels that go once these have moved."""
     going = verdict.where("outcome = 'DELETED_AFTER_MOVES'").select(F.col("id"))
-    moves = settled(reassigned(references.join(going.withColumnRenamed("id", "parcel_id"), "parcel_id", "left_semi"), parts.join(going, "id", "left_semi")))
-    # What each side comes to.
-    by_rec = pairs.groupBy("rec").agg(F.max_by("status", F.when(F.col("status") == "APPLIED", 2).when(F.col("status") == "AMBIGUOUS", 1).otherwise(0)).alias("pair"))
-    staged_out = seen.select("rec", "skipped").join(found.select("rec", "class", "applied"), "rec", "left").join(by_rec, "rec", "left")
-    staged_out = staged_out.select("rec", F.when(F.col("skipped").isNotNull(), F.concat(F.lit("SKIPPED_"), "skipped")).when(F.col("class") == "CHANGED", F.when(F.col("applied"), "CHANGED_APPLIED").otherwise("CHANGED_PENDING"))
-                                   .when(F.col("class") != "NEW", F.col("class")).when(F.col("pair") == "APPLIED", "PAIRED").when(F.col("pair").isNotNull(), F.concat(F.lit("INSERTED_PAIR_"), "pair")).otherwise("INSERTED").alias("outcome"))
-    staged_out = settled(staged_out)
-    stored = verdict.unionByName(applied.select("id", F.lit("PAIRED").alias("outcome"), F.lit(None).cast("string").alias("cover")))
+    return reassigned(references.join(going.withColumnRenamed("id", "parcel_id"), "parcel_id", "left_semi"), parts.join(going, "id", "left_semi"))
+
+
+def stored_outcomes(match: dict[str, DataFrame], verdict: DataFrame) -> DataFrame:
+    """(id, outcome, cover): what the stored rows come to that the staged ones don't name."""
+    return verdict.unionByName(match["pairs"].where("status = 'APPLIED'").select("id", F.lit("PAIRED").alias("outcome"), F.lit(None).cast("string").alias("cover")))
+
+
+def plan(target: DataFrame, staged: DataFrame, references: DataFrame, cfg: UpdateConfig = UpdateConfig(), accepts: DataFrame | None = None, choices: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``staged`` (rec, outcome), ``stored`` (id, outcome, cover), ``moves`` (ref_id, parcel_id, rec) and ``digest``, a mergeable
+    fingerprint of all writes, by which a run can tell that the plan it was given is still the one the data make."""
+    match = matching(target, staged, cfg, accepts, choices)
+    verdict, parts = verdicts(match, references, cfg)
+    moves = settled(moves_of(verdict, parts, references))
+    staged_out = settled(staged_outcomes(match))
     text = lambda *c: F.concat_ws("|", *c)
-    writes = staged_out.where("outcome like 'INSERTED%' or outcome = 'CHANGED_APPLIED'").join(seen.select("rec", "geom"), "rec").select(text(F.lit("W"), "rec", "outcome", F.md5("geom")).alias("entry"))
-    writes = writes.unionByName(applied.select(text(F.lit("P"), "rec", "id").alias("entry"))).unionByName(verdict.where("outcome like 'DELETED%'").select(text(F.lit("D"), "id").alias("entry")))
+    writes = staged_out.where("outcome like 'INSERTED%' or outcome = 'CHANGED_APPLIED'").join(match["seen"].select("rec", "geom"), "rec").select(text(F.lit("W"), "rec", "outcome", F.md5("geom")).alias("entry"))
+    writes = writes.unionByName(match["pairs"].where("status = 'APPLIED'").select(text(F.lit("P"), "rec", "id").alias("entry"))).unionByName(verdict.where("outcome like 'DELETED%'").select(text(F.lit("D"), "id").alias("entry")))
     writes = writes.unionByName(moves.select(text(F.lit("S"), "ref_id", "rec").alias("entry")))
-    return {"staged": staged_out, "stored": stored, "moves": moves, "digest": grouping.fingerprint_text(grouping.multiset_state(writes, ["entry"]))}
+    return {"staged": staged_out, "stored": stored_outcomes(match, verdict), "moves": moves, "digest": grouping.fingerprint_text(grouping.multiset_state(writes, ["entry"]))}

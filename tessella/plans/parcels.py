@@ -43,14 +43,17 @@ def lots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFr
 union all select p + 100000000, case kind when 5 then 'INSERTED' when 8 then 'SKIPPED_DUPLICATE_KEY' else 'INSERTED_PAIR_AMBIGUOUS' end from {_P} where kind in (5, 8, 11)""")
 def x11_staged_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each staged lot comes to."""
-    return parcels.plan(*lots(spark, sf_dir))["staged"]
+    target, staged, _ = lots(spark, sf_dir)
+    return parcels.staged_outcomes(parcels.matching(target, staged))
 
 
 @query(f"""select p as id, case kind when 3 then 'PAIRED' when 4 then 'KEPT_STILL_PAIRABLE' when 11 then 'KEPT_STILL_PAIRABLE' when 5 then case when used and fixed then 'KEPT_NOT_REASSIGNABLE' when used then 'DELETED_AFTER_MOVES' else 'DELETED' end
   else case when used then 'KEPT_REFERENCED' else 'DELETED' end end as outcome, case kind when 4 then 'REPLACED_ONE' when 5 then 'SUBDIVIDED' when 6 then 'REPLACED_ONE' when 11 then 'REPLACED_ONE' when 3 then null else 'ORPHAN' end as cover from {_P} where kind in (3, 4, 5, 6, 7, 8, 11)""")
 def x11_stored_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each stored lot that the staged layer doesn't name comes to, and what lies in its place now."""
-    return parcels.plan(*lots(spark, sf_dir))["stored"]
+    target, staged, refs = lots(spark, sf_dir)
+    match = parcels.matching(target, staged)
+    return parcels.stored_outcomes(match, parcels.verdicts(match, refs)[0])
 
 
 @query(f"""select p * 10 + 1 as ref_id, p as parcel_id, p as rec from {_P} where kind = 5 and used and not fixed
@@ -58,4 +61,5 @@ union all select p * 10 + 2, p, p + 100000000 from {_P} where kind = 5 and used
 union all select p * 10 + 3, p, p from {_P} where kind = 5 and used and not fixed""")
 def x11_moved_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """References to subdivided lots and the parts that receive them: the nearest, or by cover without a place."""
-    return parcels.plan(*lots(spark, sf_dir))["moves"]
+    target, staged, refs = lots(spark, sf_dir)
+    return parcels.moves_of(*parcels.verdicts(parcels.matching(target, staged), refs), refs)

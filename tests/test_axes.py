@@ -37,6 +37,20 @@ def test_cover_equals_dense_samples():
     assert L.covered(straight, [], 1) == 0 and L.covered(straight, [line((0, 5), (9, 5))], 1) == 0 and L.covered(straight, [line((2, 3), (2, 9))], 3) == pytest.approx(0)
 
 
+def test_many_lines_at_once_are_what_each_is_alone(monkeypatch):
+    """Lines of one place, several parts and no others beside them; in one run and in many."""
+    rng = random.Random(4)
+    place = lambda: (rng.uniform(0, 9), rng.uniform(0, 9)) if rng.random() < 0.7 else (rng.randint(0, 9), rng.randint(0, 9))
+    some = lambda n: {"type": "MultiLineString", "parts": [[[place() for _ in range(n)]] for _ in range(rng.randint(1, 2))]}
+    a, b = [some(rng.randint(1, 6)) for _ in range(400)], [some(rng.randint(1, 6)) for _ in range(400)]
+    others = [[some(rng.randint(1, 5)) for _ in range(rng.randint(0, 4))] for _ in a]
+    for pairs in (1 << 18, 200, 1):
+        monkeypatch.setattr(L, "PAIRS", pairs)
+        assert L.hausdorffs(a, b) == [L.hausdorff(x, y) for x, y in zip(a, b)]
+        assert L.covers(a, others, 0.7) == pytest.approx([L.covered(x, o, 0.7) for x, o in zip(a, others)], abs=1e-12)
+    assert L.hausdorffs([], []) == L.covers([], [], 1.0) == []
+
+
 def test_distance_and_comparable_texts():
     a, b = line((0, 0), (10, 0)), line((0, 1), (5, 3), (10, 0))
     assert L.hausdorff(a, b) == 3 == L.hausdorff(b, a)
