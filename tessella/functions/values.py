@@ -17,7 +17,11 @@ def clean_value(c: Column) -> Column:
     """Null becomes empty; trimmed; one quote off each end; trimmed; CR, LF, TAB and no-break space out; a final ".0" out.
     Values of letters, digits and a few marks, the most, have nothing to clean and pass one test only."""
     text = F.coalesce(c.cast("string"), F.lit(""))
-    return F.when(text.rlike(r"^[A-Za-z0-9|_-]*\z"), text).otherwise(_cleaned(text))
+    return F.when(_plain(text), text).otherwise(_cleaned(text))
+
+
+def _plain(text: Column) -> Column:
+    return text.rlike(r"^[A-Za-z0-9|_-]*\z")
 
 
 def _cleaned(c: Column) -> Column:
@@ -40,9 +44,10 @@ def repair_encoding(c: Column) -> Column:
 
 
 def clean_key(c: Column, repair: bool = True) -> Column:
-    """Keys compare in lower case after cleaning and repair."""
-    c = clean_value(c)
-    return F.lower(repair_encoding(c) if repair else c)
+    """Keys compare in lower case after cleaning and repair; a plain one needs neither, so it is looked at once."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    odd = F.transform(F.array(_cleaned(text)), lambda x: F.lower(repair_encoding(x) if repair else x))[0]
+    return F.when(_plain(text), F.lower(text)).otherwise(odd)
 
 
 #: Characters that a wrong decoding leaves: replacement, Hangul, CJK, kana, private use, controls.
@@ -78,13 +83,10 @@ def equivalent_cleaned(x: Column, y: Column, encoding: bool = True) -> Column:
 def composite_key(parts: list[Column], placeholders: bool = False, repair: bool = True) -> Column:
     """Cleaned parts joined by a pipe; null only if every part is empty (or a placeholder, if those count as such)."""
     cleaned = [clean_key(p, repair) for p in parts]
-    empty = [c.isin(*PLACEHOLDERS) if placeholders else c == "" for c in cleaned]
     if placeholders:
-        cleaned = [F.when(e, F.lit("")).otherwise(c) for c, e in zip(cleaned, empty)]
-    none = empty[0]
-    for e in empty[1:]:
-        none = none & e
-    return F.when(~none, F.concat_ws("|", *cleaned))
+        cleaned = [F.when(c.isin(*PLACEHOLDERS), F.lit("")).otherwise(c) for c in cleaned]
+    # Marks alone are as long as the marks just if every part is empty. Each part is named once: the code for cleaning is long.
+    return F.nullif(F.concat_ws("|", *cleaned), F.lit("|" * (len(parts) - 1)))
 
 
 def display_key(parts: list[Column]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import values as V
 from ..functions.geometry import same_geometry, traits
 from .pairing import nearest_pairs
-from .staging import settled, spread
+from .staging import settled, spread, written
 
 
 @dataclass(frozen=True)
@@ -34,12 +34,11 @@ class ReconcileConfig:
         return self.source_of.get(column, column)
 
 
-def contents(t: DataFrame, s: DataFrame) -> DataFrame:
+def contents(both: DataFrame) -> DataFrame:
     """One row per key and content, with its first row and number of rows on each side, and its key's figures: rows on each
     side (key_t, key_s), contents of the source (kinds_s), and contents that have no partner (left_t, left_s)."""
-    tagged = t.select("key", "sig", F.col("rec").alias("trec"), F.lit(None).cast("long").alias("srec"))
-    tagged = tagged.union(s.where("key is not null").select("key", "sig", F.lit(None).cast("long"), "rec"))
-    each = tagged.groupBy("key", "sig").agg(F.min("trec").alias("trec"), F.count("trec").alias("tn"), F.min("srec").alias("srec"), F.count("srec").alias("sn"))
+    own, other = F.when(F.col("is_t"), F.col("rec")), F.when(~F.col("is_t"), F.col("rec"))
+    each = both.where("key is not null").groupBy("key", "sig").agg(F.min(own).alias("trec"), F.count(own).alias("tn"), F.min(other).alias("srec"), F.count(other).alias("sn"))
     alone = lambda own, other: F.count_if((F.col(own) > 0) & (F.col(other) == 0))
     keys = each.groupBy("key").agg(F.sum("tn").alias("key_t"), F.sum("sn").alias("key_s"), F.count_if(F.col("sn") > 0).alias("kinds_s"), alone("tn", "sn").alias("left_t"), alone("sn", "tn").alias("left_s"))
     return each.join(keys, "key")
@@ -49,12 +48,10 @@ def paired(rows: DataFrame) -> DataFrame:
     """(key, method, db_rec, file_rec) of the keys that stand in the target, from ``contents``: pairs of both sides, and
     first rows left over."""
     out = rows.where("key_t > 0")
-    exact = out.where("tn > 0 and sn > 0").select("key", F.lit("EXACT").alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec"))
-    left = out.where("tn = 0 or sn = 0")
-    single = left.where("left_t = 1 and left_s = 1").groupBy("key").agg(F.max("trec").alias("db_rec"), F.max("srec").alias("file_rec")).select("key", F.lit("ELIMINATION").alias("method"), "db_rec", "file_rec")
-    method = F.when(F.col("left_s") == 0, "ONLY_IN_DB").when(F.col("left_t") == 0, "ONLY_IN_SHP").otherwise("NO_GEOMETRY")
-    rest = left.where("not (left_t = 1 and left_s = 1)").select("key", method.alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec"))
-    return exact.unionByName(single).unionByName(rest)
+    met, one = "(tn > 0 and sn > 0)", "(left_t = 1 and left_s = 1)"
+    single = out.where(f"not {met} and {one}").groupBy("key").agg(F.max("trec").alias("db_rec"), F.max("srec").alias("file_rec")).select("key", F.lit("ELIMINATION").alias("method"), "db_rec", "file_rec")
+    method = F.when(F.expr(met), "EXACT").when(F.col("left_s") == 0, "ONLY_IN_DB").when(F.col("left_t") == 0, "ONLY_IN_SHP").otherwise("NO_GEOMETRY")
+    return out.where(f"{met} or not {one}").select("key", method.alias("method"), F.col("trec").alias("db_rec"), F.col("srec").alias("file_rec")).unionByName(single)
 
 
 def target_twins(t: DataFrame, rows: DataFrame) -> DataFrame:
@@ -65,14 +62,18 @@ def target_twins(t: DataFrame, rows: DataFrame) -> DataFrame:
 
 def exact_pairs(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
     """Pairing, without geometry, of the keys that repeat on a side and stand in the target."""
-    both = staged(target, source, cfg)
-    t, s = both.where("is_t"), both.where("not is_t")
-    rows = contents(t, s).where("key_t > 0 and (key_t > 1 or key_s > 1)")
-    return paired(rows).unionByName(target_twins(t, rows))
+    both = written(sides(target, source, cfg).select("is_t", "rec", "key", "sig"))
+    rows = written(contents(both).where("key_t > 0 and (key_t > 1 or key_s > 1)").drop("key_s", "kinds_s"))
+    return paired(rows).unionByName(target_twins(both.where("is_t"), rows))
 
 
 def staged(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
-    """Both sides in one written table: side (is_t), rec, key, values as stored (v0...) and cleaned (c0...), geometry with its traits,
+    """``sides``, settled."""
+    return settled(sides(target, source, cfg))
+
+
+def sides(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
+    """Both sides in one table: side (is_t), rec, key, values as stored (v0...) and cleaned (c0...), geometry with its traits,
     and two signatures: of key and cleaned values (attr), and with the geometry's canonical key (sig). Target rows without a
     key are left out."""
 
@@ -89,7 +90,7 @@ def staged(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFr
     else:
         both = both.select("*", F.lit(None).cast("string").alias("shape"), F.lit(False).alias("flat"))
     both = both.withColumn("attr", F.to_json(F.array("key", *[f"c{i}" for i in range(len(cfg.compared))])))
-    return settled(both.withColumn("sig", F.concat_ws("#", "attr", "shape")))
+    return both.withColumn("sig", F.concat_ws("#", "attr", "shape"))
 
 
 def classes(both: DataFrame, cfg: ReconcileConfig) -> DataFrame:
