@@ -44,11 +44,15 @@ _ANY = 1 << 30
 LEAF = 16
 BLOCK = 256
 STAR = 8
+#: Counts of points that are unpacked together.
+COUNTS = 1 << 20
 #: A shingle in more than this share of all texts goes last in the order, as far as runs of texts show it.
 COMMON = 0.0005
 #: So many of those at most, the most frequent: 8 MB.
 MOST_COMMON = 1 << 20
 RUN_BYTES = 1 << 20
+#: Bytes of text whose sets are made together: a word takes many times its bytes on the way.
+SET_BYTES = 1 << 18
 #: Names of sets (16 bytes each) are sent to every executor up to this number; more of them meet the texts in a shuffle.
 SENT_NAMES = 500_000
 
@@ -105,8 +109,9 @@ class Points:
             packed = raw[starts[at][:, None] + np.arange(g // 4)]
             low, high = packed[:, : g // 8].view(np.uint64), packed[:, g // 8 :].view(np.uint64)
             self.words[g] = np.stack([low | high, high, low & high])  # which groups hold one, two, three or more
-            for i in range(0, len(at), 1024):
-                self.coarse[at[i : i + 1024]] = self._counts(g, np.arange(i, min(i + 1024, len(at)))).reshape(-1, g // GROUPS, GROUPS).sum(1)
+            step = max(1, COUNTS // g)
+            for i in range(0, len(at), step):
+                self.coarse[at[i : i + step]] = self._counts(g, np.arange(i, min(i + step, len(at)))).reshape(-1, g // GROUPS, GROUPS).sum(1, dtype=np.int32)
         self.excess = (sizes - self.coarse.sum(1)).astype(np.int32)
 
     def _counts(self, g: int, place: np.ndarray) -> np.ndarray:
@@ -126,15 +131,16 @@ class Points:
         for g in np.unique(self.groups[a]).tolist():
             for h in np.unique(self.groups[b]).tolist():
                 both = np.flatnonzero((self.groups[a] == g) & (self.groups[b] == h))
-                for i in range(0, len(both), 1 << 12):
-                    at = both[i : i + (1 << 12)]
+                step = max(1, COUNTS // max(g, h))
+                for i in range(0, len(both), step):
+                    at = both[i : i + step]
                     x, y = self.place[a[at]], self.place[b[at]]
                     if g == h:
                         w = self.words[g]
                         out[at] += sum(np.bitwise_count(w[k, x] & w[k, y]).sum(1, dtype=np.int64) for k in range(3))
                     else:
                         low = min(g, h)
-                        x, y = (self._counts(k, v).reshape(len(at), -1, low).sum(1, dtype=np.int64) for k, v in ((g, x), (h, y)))
+                        x, y = (self._counts(k, v).reshape(len(at), -1, low).sum(1, dtype=np.int32) for k, v in ((g, x), (h, y)))
                         out[at] += np.minimum(x, y).sum(1)
         return out
 
@@ -151,7 +157,7 @@ def summaries(docs: DataFrame, common: np.ndarray) -> DataFrame:
     def summed(batches):
         for batch in batches:
             data, offs = buffers(batch.column(1))
-            for i, j in runs(offs, RUN_BYTES):
+            for i, j in runs(offs, SET_BYTES):
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 n = np.array([len(s) for s in sets])
                 prefixes = [prefix(s, common).view(np.int64) if len(s) else s.view(np.int64) for s in sets]
@@ -322,7 +328,7 @@ def full_sets(docs: DataFrame, names: DataFrame) -> DataFrame:
         for batch in batches:
             data, offs = buffers(batch.column(1))
             wanted = batch.column(0).to_numpy()
-            for i, j in runs(offs, RUN_BYTES):
+            for i, j in runs(offs, SET_BYTES):
                 sets = shingle_sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 # Another text under the same id isn't the one that is meant.
                 sets = [s for k, s in enumerate(sets, i) if len(s) and set_id(s) == wanted[k]]

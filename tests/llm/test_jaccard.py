@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -132,3 +133,19 @@ def test_rows_grow_with_a_group_of_near_copies(spark, monkeypatch):
         assert found.select("component_id").distinct().count() == 1
         sums.append(sum(made))
     assert sums[1] <= 5 * sums[0]
+
+
+def test_points_of_large_sets_are_unpacked_in_parts():
+    """Sets of 8000 and 4000 shingles have points of different lengths, which are folded to be compared."""
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in [8000] * 40 + [4000] * 40]
+    points = jaccard.Points(np.frombuffer(b"".join(jaccard.point(s) for s in sets), np.uint8), np.array([len(s) for s in sets]))
+    a, b = rng.integers(0, 40, 4000), rng.integers(40, 80, 4000)
+    tracemalloc.start()
+    try:
+        found, peak = points.bound(a, b), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 16_000_000
+    k = [0, 17, 3999]
+    assert found[k].tolist() == [points.bound(a[[i]], b[[i]])[0] for i in k]
