@@ -5,7 +5,9 @@ Documents link when the Jaccard similarity of their shingle sets is at least 0.7
 1. Documents with equal sets become one representative.
 2. The shingles of a set are put in one order, the same for all sets: by hash, the very common ones last.
    Two sets that link share one of their first ``n / 4 + 1`` shingles, so only sets that share such a
-   shingle are compared. Which shingles count as common touches the cost alone, never the result.
+   shingle are compared. Which shingles count as common touches the cost alone, never the result. At the first shingle
+   that two sets share, all of their overlap is yet to come: a set whose rest after a shingle allows a link with none of
+   the sets there is not compared at that shingle (``promising``).
 3. Each set's shingles are hashed into groups, at least as many as shingles; the counts are a point. Among the
    sets that share a shingle, an R-tree over the points, folded to GROUPS coordinates, yields the pairs whose
    summed coordinate minima reach the overlap that the threshold needs. The unfolded points bound them again
@@ -351,12 +353,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     small = scratch.write(base.select("doc_id", "n", "id", "text_hash"))
     scratch.drop(base)
     # The shingles that each set shares with others, in its order, with the number of sets that have them.
-    tokens = reps.select("id", F.posexplode("prefix").alias("pos", "token"))
+    tokens = reps.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     shared = scratch.write(tokens.groupBy("token").count().where("count > 1"))
-    rows = tokens.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "count"))).alias("shared"))
+    met = scratch.write(tokens.join(shared, "token"))
+    rows = promising(met).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "token", "count"))).alias("shared"))
     sets = scratch.write(rows.join(reps.select("id", "n", "point"), "id"))
     names = scratch.write(reps.select("id", "doc_id"))
-    scratch.drop(reps, shared)
+    scratch.drop(reps, shared, met)
 
     labels, step, opened = None, 0, 0
     while True:
@@ -398,6 +401,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "first_id", "doc_id")).alias("component_id"), "text_hash", F.coalesce("component", "id").alias("component"))
 
 
+def promising(rows: DataFrame) -> DataFrame:
+    """The rows (id, n, pos, token, count) that may be where a set first shares a shingle with one that it links with: both have
+    n - pos shingles left, at least the overlap that they need. Of shingles with more than BLOCK sets all rows stay."""
+    few = rows.where(F.col("count") <= BLOCK)
+    a, b = few.alias("a"), few.alias("b")
+    left = lambda s: F.col(f"{s}.n") - F.col(f"{s}.pos")
+    enough = 7 * F.least(left("a"), left("b")) >= 3 * (F.col("a.n") + F.col("b.n"))
+    kept = a.join(b.hint("merge"), (F.col("a.token") == F.col("b.token")) & (F.col("a.id") != F.col("b.id")) & enough, "left_semi")
+    return kept.unionByName(rows.where(F.col("count") > BLOCK))
+
+
 def tokens_of(placed: DataFrame, shared, *more: str) -> DataFrame:
     """(id, component, token, count) of the shingles of each set, with further columns."""
     return placed.select("id", "component", *more, F.explode(shared).alias("s")).select("id", "component", *more, "s.token", "s.count")

@@ -149,3 +149,35 @@ def test_points_of_large_sets_are_unpacked_in_parts():
     assert peak < 16_000_000
     k = [0, 17, 3999]
     assert found[k].tolist() == [points.bound(a[[i]], b[[i]])[0] for i in k]
+
+
+def test_sets_of_unlike_sizes_are_not_dealt(spark, monkeypatch):
+    """A passage in texts of which each is twice as long as the next makes no row with a point, and links stay."""
+    made = []
+    plain = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda rows, seed: made.append(rows.count()) or plain(rows, seed))
+    passage, rng = [f"p{k}" for k in range(60)], random.Random(4)
+    texts = [(k, " ".join(passage + [f"u{rng.randrange(10**9)}" for _ in range(40 * 2**k)])) for k in range(6)]
+    assert result(jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts) and sum(made) == 0
+    texts += [(100 + k, t + " more") for k, t in texts]
+    assert result(jaccard.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))) == brute(texts) and sum(made) > 0
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_the_first_shared_shingle_of_a_link_is_kept(spark, block, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool[k % 3 * 15 :], rng.integers(3, 30), replace=False)) for k in range(120)]
+    prefixes = [jaccard.prefix(s, pool[:0]).view(np.int64).tolist() for s in sets]
+    counts = {t: sum(t in p for p in prefixes) for p in prefixes for t in p}
+    rows = [(k, len(s), pos, t, counts[t]) for k, (s, p) in enumerate(zip(sets, prefixes)) for pos, t in enumerate(p) if counts[t] > 1]
+    found = jaccard.promising(spark.createDataFrame(rows, "id long, n long, pos int, token long, count long"))
+    kept = [(r.id, r.token) for r in found.collect()]
+    assert len(kept) == len(set(kept)) and set(kept) <= {(r[0], r[3]) for r in rows}
+    for a in range(120):
+        for b in range(a):
+            both = np.intersect1d(sets[a], sets[b]).size
+            if 7 * both >= 3 * (len(sets[a]) + len(sets[b])):
+                first = next(t for t in prefixes[a] if t in prefixes[b])
+                assert (a, first) in kept and (b, first) in kept
