@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.overlay import ranges
-from .staging import settled, spread
+from .staging import settled, spread, written
 
 SMALL = 1 << 13
 BLOCK = 4096
@@ -260,11 +260,11 @@ def by_distance(rows: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
         reach = F.lit(widen * 1.5) * wide / F.sqrt(F.least(F.col("n_t"), F.col("n_s")))
         side = F.greatest(wide * F.sqrt(block / F.col("n")), 8 * reach)
         sized = stats.withColumn("wide", wide).withColumn("reach", reach).withColumn("size", side).withColumn("alone", (F.col("n") <= small) | (side >= wide))
-        sized = settled(sized)
+        sized = written(sized)
         keyed = left.join(sized, "key")
         buckets = F.ceil(F.lit(sized.where("alone").agg(F.sum("n")).first()[0] or 0) / F.lit(BUCKET))
         own = keyed.where("alone").select(*left.columns, F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), buckets)).alias("bucket"))
-        own = settled(spread(own, "bucket").groupBy("bucket").applyInArrow(lambda g: _whole_keys(g), _FOUND))
+        own = written(spread(own, "bucket").groupBy("bucket").applyInArrow(lambda g: _whole_keys(g), _FOUND))
         found = own if found is None else found.unionByName(own)
         big = sized.where("not alone").agg(F.sum("n")).first()[0]
         if not big:
@@ -277,7 +277,7 @@ def by_distance(rows: DataFrame, small: int = SMALL, block: int = BLOCK) -> Data
             begin = F.col(f"least{c}") + (F.col(f"b{c}") - shift) * F.col("size") - 2 * F.col("reach")
             end = begin + F.col("size") + 4 * F.col("reach")
             dealt = dealt.withColumn(f"{c}1", F.when(begin <= F.col(f"least{c}"), -inf).otherwise(begin)).withColumn(f"{c}2", F.when(end >= F.col(f"most{c}"), inf).otherwise(end))
-        sure = settled(dealt.select(*left.columns, "home", "x1", "y1", "x2", "y2", "reach", "bx", "by").groupBy("key", "bx", "by").applyInArrow(lambda g: _block(g), _FOUND))
+        sure = written(dealt.select(*left.columns, "home", "x1", "y1", "x2", "y2", "reach", "bx", "by").groupBy("key", "bx", "by").applyInArrow(lambda g: _block(g), _FOUND))
         found = found.unionByName(sure)
         gone = sure.select("key", F.lit(0).alias("side"), F.col("db_rec").alias("rec")).union(sure.select("key", F.lit(1), "file_rec"))
         left = settled(keyed.where("not alone").select(*left.columns).join(gone, ["key", "side", "rec"], "left_anti"))
@@ -290,9 +290,9 @@ def nearest_pairs(t: DataFrame, s: DataFrame) -> DataFrame:
     has none left. AMBIGUOUS: rows without a place (x or y is null or no number) face several others. Every row of both sides comes
     back once; rows without a key take no part."""
     side = lambda df, k: df.select("key", F.lit(k).alias("side"), F.col("rec").cast("long").alias("rec"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "attributes", (F.col("line") if "line" in df.columns else F.lit(None)).cast("array<double>").alias("line"))
-    rows = settled(side(t, 0).unionByName(side(s, 1)).where("key is not null"))
+    rows = written(side(t, 0).unionByName(side(s, 1)).where("key is not null"))
     finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
-    found = settled(by_distance(rows.where(finite("x") & finite("y"))))
+    found = written(by_distance(rows.where(finite("x") & finite("y"))))
     gone = found.select("key", F.lit(0).alias("side"), F.col("db_rec").alias("rec")).union(found.select("key", F.lit(1), "file_rec"))
     left = rows.select("key", "side", "rec").join(gone, ["key", "side", "rec"], "left_anti")
     counts = left.groupBy("key").agg(F.count_if(F.col("side") == 0).alias("n_t"), F.count_if(F.col("side") == 1).alias("n_s"), F.min("rec").alias("any"), *[F.max(F.when(F.col("side") == k, F.col("rec"))).alias(c) for k, c in ((0, "db_rec"), (1, "file_rec"))])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import values as V
 from ..functions.geometry import same_geometry, traits
 from .pairing import nearest_pairs
-from .staging import settled, spread, written
+from .staging import dropped, spread, written
 
 
 @dataclass(frozen=True)
@@ -68,8 +68,8 @@ def exact_pairs(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> D
 
 
 def staged(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
-    """``sides``, settled."""
-    return settled(sides(target, source, cfg))
+    """``sides``, written, with a digest of 16 bytes for the signature; the texts it is made of are not kept beside it."""
+    return written(sides(target, source, cfg).withColumn("sig", F.unhex(F.md5("sig"))).drop("attr", "shape"))
 
 
 def sides(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
@@ -93,18 +93,24 @@ def sides(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFra
     return both.withColumn("sig", F.concat_ws("#", "attr", "shape"))
 
 
-def classes(both: DataFrame, cfg: ReconcileConfig) -> DataFrame:
-    """One row per key and content: its first row (t, s) and number of rows (tn, sn) on each side, and its key's figures: rows
-    (key_t, key_s), contents of the source (kinds_s), and on each side contents without a partner and those with a place."""
-    held = [c for c in both.columns if c not in ("is_t", "key", "sig", "flat", "shape")]
-    row, is_t = F.struct(*held), F.col("is_t")
+def classes(both: DataFrame, cfg: ReconcileConfig) -> tuple[DataFrame, DataFrame]:
+    """One row per key and content: its first row's rec (t, s) and number of rows (tn, sn) on each side, and its key's figures: rows
+    (key_t, key_s), contents of the source (kinds_s), and on each side contents without a partner and those with a place; and the
+    signatures (key, sig, first) of contents that repeat in the target. Values and geometries stay behind; only rows that are compared
+    need them."""
+    rec, is_t = F.col("rec"), F.col("is_t")
+    placed = [F.min_by(F.col("x").isNotNull(), rec).alias("placed")] if cfg.geometry else []
     each = both.where("key is not null and (is_t or not flat)").groupBy("key", "sig").agg(
-        F.min_by(row, F.when(is_t, F.col("rec"))).alias("t"), F.count_if(is_t).alias("tn"), F.min_by(row, F.when(~is_t, F.col("rec"))).alias("s"), F.count_if(~is_t).alias("sn")
+        F.min(F.when(is_t, rec)).alias("t"), F.count_if(is_t).alias("tn"), F.min(F.when(~is_t, rec)).alias("s"), F.count_if(~is_t).alias("sn"), *placed
     )
+    each = written(each)
+    again = written(each.where("tn > 1").select("key", "sig", F.col("t").alias("first")))
     alone = {"t": (F.col("tn") > 0) & (F.col("sn") == 0), "s": (F.col("sn") > 0) & (F.col("tn") == 0)}
-    placed = [F.count_if(alone[k] & F.col(f"{k}.x").isNotNull()).alias(f"placed_{k}") for k in "ts"] if cfg.geometry else []
+    placed = [F.count_if(alone[k] & F.col("placed")).alias(f"placed_{k}") for k in "ts"] if cfg.geometry else []
     keys = each.groupBy("key").agg(F.sum("tn").alias("key_t"), F.sum("sn").alias("key_s"), F.count_if(F.col("sn") > 0).alias("kinds_s"), *[F.count_if(alone[k]).alias(f"left_{k}") for k in "ts"], *placed)
-    return settled(each.join(keys, "key"))
+    rows = written(each.drop("sig", "placed").join(keys, "key"))
+    dropped(each)
+    return rows, again
 
 
 def items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFrame:
@@ -115,16 +121,25 @@ def items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFra
     In a key that repeats, equal contents pair first; with geometry, then equal attributes where one side has no place left,
     then the nearest rows; a row left on each side makes a pair, and other rows that face each other are duplicates."""
     both = staged(target, source, cfg)
-    rows = classes(both, cfg)
+    rows, again = classes(both, cfg)
     diff_type = "array<struct<field:string,db_value:string,file_value:string>>"
     none = F.lit(None)
 
     def item(type_, db=none, file=none, n=F.lit(1), found=none):
         return F.struct(F.lit(type_).alias("type") if isinstance(type_, str) else type_.alias("type"), found.cast(diff_type).alias("differences"), db.cast("long").alias("db_rec"), file.cast("long").alias("file_rec"), n.cast("long").alias("n_rows"))
 
-    t, s = F.col("t.rec"), F.col("s.rec")
+    t, s, rec, is_t, content = (F.col(c) for c in ("t", "s", "rec", "is_t", "content"))
     two = F.col("key_t") > 0
     alone_t, alone_s = two & (F.col("sn") == 0), two & (F.col("tn") == 0)
+    # Single rows: the target's after the first of a content, the source's of keys that clash there, keyless and collapsed ones.
+    odd = both.where("not is_t and (flat or key is null)").select("key", item(F.when(F.col("flat"), "DEGENERATE").otherwise("NULL_SUID"), file=rec).alias("i"))
+    clash = rows.where("key_t = 0 and kinds_s > 1").select("key").distinct()
+    if not again.isEmpty():
+        twins = both.where("is_t").select("key", "sig", "rec").join(again, ["key", "sig"]).where(rec != F.col("first"))
+        odd = odd.unionByName(twins.select("key", item("DUPLICATE_SUID", rec).alias("i")))
+    if not clash.isEmpty():
+        odd = odd.unionByName(both.where("not is_t and not flat").select("key", "rec").join(clash, "key").select("key", item("DUPLICATE_SUID", file=rec).alias("i")))
+    odd = written(odd.select("key", "i.*"))
     said = [
         F.when((F.col("tn") > 0) & (F.col("sn") > 0), item("MATCH", t, s, found=F.array())),
         F.when(alone_t & (F.col("left_s") == 0), item("ONLY_IN_DB", t)), F.when(alone_s & (F.col("left_t") == 0), item("ONLY_IN_SHP", file=s)),
@@ -132,24 +147,31 @@ def items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFra
         F.when((F.col("sn") > 1) & (two | (F.col("kinds_s") == 1)), item("SKIPPED_TWIN", file=s, n=F.col("sn") - 1)),
     ]
     found = rows.select("key", F.explode(F.filter(F.array(*said), lambda x: x.isNotNull())).alias("i")).select("key", "i.*")
-    left = rows.where((alone_t | alone_s) & (F.col("left_t") > 0) & (F.col("left_s") > 0))
-    pairs = left.where("left_t = 1 and left_s = 1").groupBy("key").agg(*[F.first(c, True).alias(c) for c in "ts"])
-    left = left.where("left_t > 1 or left_s > 1")
+    # Rows that face others get their values and geometries back.
+    cleaned = [f"c{i}" for i in range(len(cfg.compared))]
+    shown = F.struct("rec", *[f"v{i}" for i in range(len(cfg.compared))], *cleaned, *(["geom"] if cfg.geometry else [])).alias("content")
+    faced = rows.where((alone_t | alone_s) & (F.col("left_t") > 0) & (F.col("left_s") > 0)).withColumn("is_t", F.col("tn") > 0).withColumn("rec", F.coalesce("t", "s"))
+    held = lambda which, figures, *more: faced.where(which).select("key", "is_t", "rec", *figures).join(both.select("key", "is_t", "rec", shown, *more), ["key", "is_t", "rec"])
+    pairs, several, used = held("left_t = 1 and left_s = 1", ()), "left_t > 1 or left_s > 1", [both, rows, again]
+    pairs = spread(pairs, "key") if cfg.geometry else pairs
+    pairs = pairs.groupBy("key").agg(*[F.first(F.when(side, content), True).alias(c) for c, side in (("t", is_t), ("s", ~is_t))])
     if cfg.geometry:
+        left = written(held(several, ("placed_t", "placed_s"), "x", "y", "line", F.array(*cleaned).alias("attributes")))
         blind = (F.col("placed_t") == 0) | (F.col("placed_s") == 0)
-        same = left.where(blind).groupBy("key", F.coalesce("t.attr", "s.attr").alias("attr")).agg(*[F.min_by(c, f"{c}.rec").alias(c) for c in "ts"]).where("t is not null and s is not null").drop("attr")
-        same = settled(same)
+        of = lambda c, side: F.min_by(F.when(side, content), F.when(side, rec)).alias(c)
+        same = written(left.where(blind).groupBy("key", "attributes").agg(of("t", is_t), of("s", ~is_t)).where("t is not null and s is not null").drop("attributes"))
         gone = same.select("key", F.col("t.rec").alias("rec"), F.lit(True).alias("is_t")).union(same.select("key", "s.rec", F.lit(False)))
-        left = left.withColumn("is_t", F.col("t").isNotNull()).withColumn("rec", F.coalesce("t.rec", "s.rec")).join(gone, ["key", "rec", "is_t"], "left_anti")
-        side = lambda c: left.where(F.col(c).isNotNull()).select("key", f"{c}.rec", f"{c}.x", f"{c}.y", F.array(*[F.col(f"{c}.c{i}") for i in range(len(cfg.compared))]).alias("attributes"), f"{c}.line")  # noqa: E731, B023
-        near = settled(nearest_pairs(side("t"), side("s")))
-        by_rec = lambda c, name: left.where(F.col(c).isNotNull()).select("key", F.col(f"{c}.rec").alias(name), c)  # noqa: E731, B023
-        met = near.where("method in ('GEOMETRY', 'ELIMINATION')").join(by_rec("t", "db_rec"), ["key", "db_rec"]).join(by_rec("s", "file_rec"), ["key", "file_rec"])
+        free = left.join(gone, ["key", "rec", "is_t"], "left_anti")
+        side = lambda own: free.where(own).select("key", "rec", "x", "y", "attributes", "line")
+        near = written(nearest_pairs(side(is_t), side(~is_t)))
+        by_rec = lambda own, name, c: left.where(own).select("key", rec.alias(name), content.alias(c))
+        met = near.where("method in ('GEOMETRY', 'ELIMINATION')").join(by_rec(is_t, "db_rec", "t"), ["key", "db_rec"]).join(by_rec(~is_t, "file_rec", "s"), ["key", "file_rec"])
         pairs = pairs.unionByName(same).unionByName(met.select("key", "t", "s"))
         type_ = F.when(F.col("method") == "AMBIGUOUS", "DUPLICATE_SUID").when(F.col("db_rec").isNotNull(), "ONLY_IN_DB").otherwise("ONLY_IN_SHP")
         found = found.unionByName(near.where("method not in ('GEOMETRY', 'ELIMINATION')").select("key", item(type_, F.col("db_rec"), F.col("file_rec")).alias("i")).select("key", "i.*"))
+        used += [left, same, near]
     else:
-        found = found.unionByName(left.select("key", item("DUPLICATE_SUID", t, s).alias("i")).select("key", "i.*"))
+        found = found.unionByName(faced.where(several).select("key", item("DUPLICATE_SUID", t, s).alias("i")).select("key", "i.*"))
     # What each pair differs in.
     at = lambda c, i: F.col(f"{c}.{i}")
     fields = [F.when(~V.equivalent_cleaned(at("t", f"c{i}"), at("s", f"c{i}"), cfg.encoding), F.struct(F.lit(c).alias("field"), at("t", f"v{i}").alias("db_value"), at("s", f"v{i}").alias("file_value"))) for i, c in enumerate(cfg.compared)]
@@ -157,14 +179,10 @@ def items(target: DataFrame, source: DataFrame, cfg: ReconcileConfig) -> DataFra
     kind = F.when(F.size("diff") > 0, "ATTRIBUTE_MISMATCH").otherwise("MATCH")
     if cfg.geometry:
         kind = F.when(~same_geometry(at("t", "geom"), at("s", "geom")), "GEOMETRY_MISMATCH").otherwise(kind)
-    found = found.unionByName(compared.select("key", item(kind, t, s, found=F.col("diff")).alias("i")).select("key", "i.*"))
-    # Single rows: the target's after the first of a content, the source's of keys that clash there, keyless and collapsed ones.
-    first = rows.where("tn > 1 or (key_t = 0 and kinds_s > 1)").select("key", "sig", F.col("t.rec").alias("first"), "key_t")
-    rec, is_t = F.col("rec"), F.col("is_t")
-    twins = both.where("is_t or not flat").join(first, ["key", "sig"]).where((is_t & (rec != F.col("first"))) | (~is_t & (F.col("key_t") == 0)))
-    twins = twins.select("key", item("DUPLICATE_SUID", F.when(is_t, rec), F.when(~is_t, rec)).alias("i"))
-    odd = both.where("not is_t and (flat or key is null)").select("key", item(F.when(F.col("flat"), "DEGENERATE").otherwise("NULL_SUID"), file=rec).alias("i"))
-    return found.unionByName(twins.unionByName(odd).select("key", "i.*"))
+    compared = compared.select("key", item(kind, at("t", "rec"), at("s", "rec"), found=F.col("diff")).alias("i"))
+    found = written(found.unionByName(compared.select("key", "i.*")))
+    dropped(*used)
+    return found.unionByName(odd)
 
 
 TYPES = ("MATCH", "ATTRIBUTE_MISMATCH", "GEOMETRY_MISMATCH", "ONLY_IN_DB", "ONLY_IN_SHP", "DUPLICATE_SUID", "NULL_SUID", "SKIPPED_TWIN", "DEGENERATE")
@@ -190,16 +208,21 @@ def sql_patches(found: DataFrame, target: DataFrame, source: DataFrame, table: s
     value = lambda k: F.col(f"k.{k}").cast("string")
     where = [F.concat(F.lit(V.sql_identifier(k)), F.when(value(k).isNull(), F.lit(" IS NULL")).otherwise(F.concat(F.lit(" = "), V.sql_literal(value(k))))) for k in cfg.keys]
     changed = found.where("type in ('ATTRIBUTE_MISMATCH', 'GEOMETRY_MISMATCH')").join(stored, "db_rec")
+    inserted = found.where("type = 'ONLY_IN_SHP'")
     sets = F.transform("differences", lambda d: F.concat(quoted(d.field), F.lit(" = "), V.sql_literal(d.file_value)))
     columns, values = [*cfg.keys, *cfg.compared], [V.sql_literal(F.col(f"c{i}")) for i in range(len(names))]
     if cfg.geometry:
         shape = V.sql_geometry(F.col("geom"), file_srid, target_srid, multi)
-        changed = changed.join(given.select("file_rec", "geom"), "file_rec")
         moved = (F.col("type") == "GEOMETRY_MISMATCH") & F.col("geom").isNotNull()
         sets = F.concat(sets, F.when(moved, F.array(F.concat(F.lit(f"{V.sql_identifier(cfg.geometry)} = "), shape))).otherwise(F.array().cast("array<string>")))
         columns, values = [*columns, cfg.geometry], [*values, shape]
     update = F.concat(F.lit(f"UPDATE {name} SET "), F.array_join("sets", ", "), F.lit(" WHERE "), F.concat_ws(" AND ", *where))
-    updates = changed.withColumn("sets", sets).where("size(sets) > 0").select("key", update.alias("statement"))
     head = f"INSERT INTO {name} ({', '.join(map(V.sql_identifier, columns))}) VALUES ("
     insert = F.concat(F.lit(head), F.concat_ws(", ", *values), F.lit(")"))
-    return updates.unionByName(found.where("type = 'ONLY_IN_SHP'").join(given, "file_rec").select("key", insert.alias("statement")))
+    if cfg.geometry:  # the source's rows, with their geometries, meet changed and new records at once
+        needed = ["key", "type", "differences", "file_rec", "k"]
+        both = changed.select(*needed).unionByName(inserted.select(*needed[:-1]), allowMissingColumns=True).join(given, "file_rec").withColumn("sets", sets)
+        said = F.when(F.col("type") == "ONLY_IN_SHP", insert).when(F.size("sets") > 0, update)
+        return both.select("key", said.alias("statement")).where("statement is not null")
+    updates = changed.withColumn("sets", sets).where("size(sets) > 0").select("key", update.alias("statement"))
+    return updates.unionByName(inserted.join(given, "file_rec").select("key", insert.alias("statement")))
